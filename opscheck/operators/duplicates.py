@@ -32,25 +32,29 @@ def duplicate_groups(cases: DataFrame, area_locations: DataFrame, areas: DataFra
     (the keeper's location when it is in an available area) and ``live`` (the
     same test for the row itself).  A location in several areas counts once.
 
-    Group values are computed by one aggregate, pre-combined before its shuffle,
-    and joined back to the cases; a barcode with very many copies is split by
-    adaptive execution instead of being windowed in one task.
+    Group values come from one aggregate, pre-combined before its shuffle, and
+    are joined back to the cases; a barcode with very many copies is split by
+    adaptive execution instead of being windowed in one task.  Locations are
+    looked up only for what is left after that.
     """
     if ignore_null_barcode:
         cases = cases.filter(F.col("Barcode").isNotNull())
-    located = probe(cases, known_locations(area_locations, areas), "WarehouseLocationId", "left")
-    live_location = F.when(F.col("live"), F.col("WarehouseLocationId"))
-    groups = (located.groupBy("Barcode")
+    locations = known_locations(area_locations, areas)
+    groups = (cases.groupBy("Barcode")
               .agg(F.count("*").alias("cnt"),
-                   F.max(F.struct("InventoryId", live_location.alias("maxloc"))).alias("keeper"),
+                   F.max(F.struct("InventoryId", "WarehouseLocationId")).alias("keeper"),
                    F.max("WarehouseLocationId").alias("toploc"),
                    F.min("WarehouseLocationId").alias("botloc"))
               .filter("cnt > 1")
-              .select("Barcode", "cnt", F.col("keeper.InventoryId").alias("maxinvid"),
-                      "keeper.maxloc", "toploc", "botloc"))
-    reportable = located.filter(F.col("live").isNotNull()
-                                & ~F.col("WarehouseLocationId").isin(list(ignore_locations)))
-    return probe(reportable, groups, "Barcode", null_safe=True)
+              .select("Barcode", "cnt", "toploc", "botloc", F.col("keeper.InventoryId").alias("maxinvid"),
+                      F.col("keeper.WarehouseLocationId").alias("maxloc")))
+    live_keepers = locations.filter("live").select(
+        F.col("WarehouseLocationId").alias("maxloc"), F.col("live").alias("keeper_live"))
+    groups = (probe(groups, live_keepers, "maxloc", "left")
+              .withColumn("maxloc", F.when(F.col("keeper_live"), F.col("maxloc"))).drop("keeper_live"))
+    reportable = cases.filter(~F.col("WarehouseLocationId").isin(list(ignore_locations)))
+    copies = probe(reportable, groups, "Barcode", null_safe=True)
+    return probe(copies, locations, "WarehouseLocationId")
 
 
 def stale_duplicates(groups: DataFrame) -> DataFrame:

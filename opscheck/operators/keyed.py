@@ -19,8 +19,6 @@ No broadcast is forced anywhere; size checks are left to adaptive execution.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +29,6 @@ _INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 _ROUTABLE = _INTEGRAL | {"string", "boolean", "date", "timestamp", "timestamp_ntz"}
 
 
-def _hashable(df: DataFrame, keys: Sequence[str]) -> list[Column]:
-    types = dict(df.dtypes)
-    return [F.col(k).cast("bigint") if types[k] in _INTEGRAL else F.col(k) for k in keys]
-
-
 def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
     lt, rt = dict(left.dtypes), dict(right.dtypes)
     return all(
@@ -45,12 +38,15 @@ def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def _routed(df: DataFrame, keys: Sequence[str], spread_nulls: bool) -> DataFrame:
-    route = F.xxhash64(*_hashable(df, keys))
+    types = dict(df.dtypes)
+    route = "xxhash64({})".format(", ".join(
+        f"CAST(`{k}` AS BIGINT)" if types[k] in _INTEGRAL else f"`{k}`" for k in keys))
     rest = [c for c in df.columns if c not in keys]
     if spread_nulls and rest:
-        incomplete = reduce(or_, [F.col(k).isNull() for k in keys])
-        route = F.when(incomplete, F.xxhash64(*rest)).otherwise(route)
-    return df.withColumn(_ROUTE, F.pmod(route, F.lit(_ROUTES)))
+        incomplete = " OR ".join(f"`{k}` IS NULL" for k in keys)
+        others = ", ".join(f"`{c}`" for c in rest)
+        route = f"CASE WHEN {incomplete} THEN xxhash64({others}) ELSE {route} END"
+    return df.selectExpr("*", f"pmod({route}, {_ROUTES}) AS {_ROUTE}")
 
 
 def probe(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner",
@@ -72,10 +68,8 @@ def probe(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str
         joined = left.join(right, on, how)
     else:
         renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
-        condition = reduce(and_, [
-            F.col(k) == F.col(f"_right_{k}") if k == _ROUTE else F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-            for k in on
-        ])
+        condition = F.expr(" AND ".join(
+            f"`{k}` {'=' if k == _ROUTE else '<=>'} `_right_{k}`" for k in on))
         joined = left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on])
     return joined.drop(_ROUTE)
 
@@ -108,7 +102,7 @@ def first_per_key(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colu
 def repeated(df: DataFrame, n: str, keep: bool = False, block: int = 10_000) -> DataFrame:
     """Expand every row ``n`` times, one block per row first so that no task expands a hot row alone."""
     blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / block) - 1)))
-    spread = blocks.repartition(*[c for c in blocks.columns])
+    spread = blocks.repartition(*blocks.columns)
     copies = spread.withColumn("copy", F.explode(F.sequence(
         F.col("_block") * block + 1, F.least((F.col("_block") + 1) * block, F.col(n)))))
     return copies.drop("_block") if keep else copies.drop("_block", n, "copy")

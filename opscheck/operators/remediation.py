@@ -27,20 +27,17 @@ def remediation_plan(stale: DataFrame, allocations: DataFrame, qa_statuses: Data
 
     ``n_rows`` is the number of rows of the target table the id stands for.
     """
-    ids = stale_ids(stale)
-
-    def step(number: int, action: str, table: str, rows: DataFrame) -> DataFrame:
-        counted = rows.groupBy("InventoryId").agg(F.count("*").alias("n_rows"))
-        return counted.select(F.lit(number).alias("step"), F.lit(action).alias("action"),
-                              F.lit(table).alias("target_table"), "InventoryId", "n_rows")
-
-    def touched(table: DataFrame) -> DataFrame:
-        return probe(table.select("InventoryId"), ids, "InventoryId", "left_semi")
-
-    return (step(1, "DELETE", ALLOCATIONS_TABLE, touched(allocations))
-            .unionByName(step(2, "DELETE", QA_STATUSES_TABLE, touched(qa_statuses)))
-            .unionByName(step(3, "UPDATE", CASES_TABLE,
-                              stale.select(F.col("DuplicateInventoryId").alias("InventoryId")))))
+    children = (allocations.select(F.lit(1).alias("step"), "InventoryId")
+                .unionByName(qa_statuses.select(F.lit(2).alias("step"), "InventoryId")))
+    touched = probe(children, stale_ids(stale), "InventoryId", "left_semi")
+    cases = stale.select(F.lit(3).alias("step"), F.col("DuplicateInventoryId").alias("InventoryId"))
+    counted = touched.unionByName(cases).groupBy("step", "InventoryId").agg(F.count("*").alias("n_rows"))
+    step = F.col("step")
+    return counted.select(
+        "step", F.when(step == 3, "UPDATE").otherwise("DELETE").alias("action"),
+        F.when(step == 1, ALLOCATIONS_TABLE).when(step == 2, QA_STATUSES_TABLE).otherwise(CASES_TABLE)
+         .alias("target_table"),
+        "InventoryId", "n_rows")
 
 
 def remediate_cases(cases: DataFrame, stale: DataFrame, as_of: str | datetime.datetime | None = None,

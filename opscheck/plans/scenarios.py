@@ -109,10 +109,15 @@ def pallet_wont_replenish(pick_faces: DataFrame, inventory: DataFrame, tasks: Da
 
 def duplicate_inventory(cases: DataFrame, area_locations: DataFrame, areas: DataFrame,
                         allocations: DataFrame, qa_statuses: DataFrame,
-                        ignore_locations: Sequence[str] = IGNORED_LOCATIONS) -> ScenarioResult:
-    """Stale duplicates and what their remediation touches, for the whole site."""
+                        ignore_locations: Sequence[str] = IGNORED_LOCATIONS,
+                        reuse: bool = False) -> ScenarioResult:
+    """Stale duplicates and what their remediation touches, for the whole site.
+
+    ``reuse`` computes the stale copies now and keeps them in the checkpoint folder for all outputs.
+    """
     groups = duplicates.duplicate_groups(cases, area_locations, areas, ignore_locations)
-    stale = shared(duplicates.stale_duplicates(groups))
+    stale = duplicates.stale_duplicates(groups)
+    stale = shared(stale) if reuse else stale
     plan = remediation.remediation_plan(stale, allocations, qa_statuses)
     check = {1: "remediate_allocations", 2: "remediate_hold_statuses", 3: "remediate_cases"}
     parts = [findings(stale, "duplicate_inventory", key="DuplicateInventoryId")] + [
@@ -133,12 +138,15 @@ def missing_carcasses(staging: DataFrame, **options) -> ScenarioResult:
 
 
 def carcass_lookup(subjects: DataFrame, backtag: DataFrame, hot: DataFrame, epv: DataFrame,
-                   kill_groups: DataFrame, lots: DataFrame, raw: DataFrame, **options) -> ScenarioResult:
+                   kill_groups: DataFrame, lots: DataFrame, raw: DataFrame, reuse: bool = False,
+                   **options) -> ScenarioResult:
     """All records of the subjects (column ``CarcassId``); the wide records are the findings.
 
+    ``reuse`` computes them now and keeps them in the checkpoint folder.
     ``gate_failed`` in the summary: without a back-tag record, the only possible error here.
     """
-    record = shared(carcass.carcass_record(subjects, backtag, hot, epv, kill_groups, lots, raw, **options))
+    record = carcass.carcass_record(subjects, backtag, hot, epv, kill_groups, lots, raw, **options)
+    record = shared(record) if reuse else record
     statuses = carcass.carcass_statuses(record)
     summary = _summary("carcass_lookup", statuses).withColumn("gate_failed", F.col("errors") > 0)
     return ScenarioResult(record, statuses, summary)
