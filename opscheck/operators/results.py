@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from opscheck.fixed_values import BACKLOG_THRESHOLD
 from opscheck.functions.text import json_detail
-from opscheck.operators.keyed import probe
 
 
 @dataclass(frozen=True)
@@ -84,16 +83,19 @@ def check_status(subjects: DataFrame | None, found: DataFrame, checks: list[str]
     """One status per subject and check, including subjects without any finding.
 
     ``subjects`` has the column ``subject``; None stands for the whole site,
-    subject ``*``.  Findings are counted once for all checks together.
+    subject ``*``.  The expected (subject, check) pairs are stacked on the
+    findings with a count of zero, so a single aggregate gives all counts.
     """
     spark = found.sparkSession
     if subjects is None:
         subjects = spark.range(1).select(F.lit("*").alias("subject"))
-    grid = (subjects.select(F.col("subject").cast("string")).distinct()
-            .select("subject", F.explode(F.array(*[F.lit(c) for c in checks])).alias("check")))
-    counts = found.groupBy("subject", "check").agg(F.sum("n_rows").alias("n_findings"))
-    rows = probe(grid, counts, ["subject", "check"], "left").withColumn(
-        "n_findings", F.coalesce("n_findings", F.lit(0)))
+    expected = subjects.select(
+        F.col("subject").cast("string"), F.explode(F.array(*[F.lit(c) for c in checks])).alias("check"),
+        F.lit(0).cast("bigint").alias("n_rows"), F.lit(True).alias("expected"))
+    counted = found.select("subject", "check", "n_rows", F.lit(False).alias("expected"))
+    rows = (expected.unionByName(counted).groupBy("subject", "check")
+            .agg(F.sum("n_rows").alias("n_findings"), F.bool_or("expected").alias("expected"))
+            .filter("expected"))
 
     def per_rule(pick) -> Column:
         n = F.col("n_findings")
