@@ -29,21 +29,24 @@ def latest_tasks(tasks: DataFrame, closed_status: int = CLOSED_TASK_STATUS) -> D
     return newest.select("PalletNumber", "newest.n_latest", "newest.n_open")
 
 
-def replenishment_blocked(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
-                          area_locations: DataFrame, settings: DataFrame, subjects=None,
-                          per: str = "pallet") -> DataFrame:
-    """Blocked pallets per pick face, with the reason.
+def face_products(pick_faces: DataFrame, subjects=None) -> DataFrame:
+    """The product of each pick face; of several the smallest id counts."""
+    return (restrict(pick_faces, "LocationId", subjects)
+            .groupBy("LocationId").agg(F.min("ProductId").alias("ProductId")))
+
+
+def blocked_pallets(products: DataFrame, inventory: DataFrame, tasks: DataFrame,
+                    area_locations: DataFrame, settings: DataFrame) -> DataFrame:
+    """Blocked pallets of the given products in replenishment zones, with the reason.
 
     A pallet is blocked when any of its inventory rows has a delivery, or when
     one of its newest tasks has a known status other than closed.  The checked
-    system lists one line per inventory row and tied task; ``n_rows`` holds that
-    number for ``per='pallet'``, and ``per='row'`` repeats the lines.
+    system lists one line per inventory row and tied task; ``n_rows`` is that
+    number of lines.
     """
-    faces = (restrict(pick_faces, "LocationId", subjects)
-             .groupBy("LocationId").agg(F.min("ProductId").alias("ProductId")))
     in_zone = (probe(area_locations.select("LocationId", "ZoneId"), zone_list(settings), "ZoneId", "left_semi")
                .select(F.col("LocationId").alias("WarehouseLocationId")).distinct())
-    wanted = faces.select("ProductId").distinct()
+    wanted = products.select("ProductId").distinct()
 
     on_pallet = inventory.filter(F.col("PalletNumber").isNotNull())
     committed = (on_pallet.filter(F.col("DeliveryNumber").isNotNull())
@@ -57,13 +60,36 @@ def replenishment_blocked(pick_faces: DataFrame, inventory: DataFrame, tasks: Da
     state = probe(state, latest_tasks(tasks), "PalletNumber", "left")
     is_committed = F.coalesce("committed", F.lit(False))
     n_latest, n_open = F.coalesce("n_latest", F.lit(0)), F.coalesce("n_open", F.lit(0))
-    blocked = (state
-               .filter(is_committed | (n_open > 0))
-               .select("PalletNumber", "ProductId",
-                       F.when(is_committed, REASON_COMMITTED)
-                        .when(n_open > 0, REASON_ACTIVE_TASK)
-                        .otherwise(REASON_UNKNOWN).alias("Reason"),
-                       (F.col("n_stock") * F.when(is_committed, F.greatest(n_latest, F.lit(1)))
-                        .otherwise(n_open)).alias("n_rows")))
+    return (state
+            .filter(is_committed | (n_open > 0))
+            .select("ProductId", "PalletNumber",
+                    F.when(is_committed, REASON_COMMITTED)
+                     .when(n_open > 0, REASON_ACTIVE_TASK)
+                     .otherwise(REASON_UNKNOWN).alias("Reason"),
+                    (F.col("n_stock") * F.when(is_committed, F.greatest(n_latest, F.lit(1)))
+                     .otherwise(n_open)).alias("n_rows")))
+
+
+def replenishment_blocked(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
+                          area_locations: DataFrame, settings: DataFrame, subjects=None,
+                          per: str = "pallet") -> DataFrame:
+    """:func:`blocked_pallets` listed per pick face (``LocationId``).
+
+    ``per='pallet'`` gives one row per pick face and pallet with ``n_rows``;
+    ``per='row'`` repeats the lines.  Pick faces that share a product repeat its
+    pallets; for counts alone use :func:`blocked_counts`.
+    """
+    faces = face_products(pick_faces, subjects)
+    blocked = blocked_pallets(faces, inventory, tasks, area_locations, settings)
     listed = probe(blocked, faces, "ProductId").select("LocationId", "PalletNumber", "Reason", "n_rows")
     return listed if per == "pallet" else repeated(listed, "n_rows")
+
+
+def blocked_counts(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
+                   area_locations: DataFrame, settings: DataFrame, subjects=None) -> DataFrame:
+    """Number of blocked pallets and lines per pick face, summed per product before faces are joined."""
+    faces = face_products(pick_faces, subjects)
+    per_product = (blocked_pallets(faces, inventory, tasks, area_locations, settings)
+                   .groupBy("ProductId")
+                   .agg(F.count("*").alias("n_pallets"), F.sum("n_rows").alias("n_rows")))
+    return probe(faces, per_product, "ProductId").select("LocationId", "n_pallets", "n_rows")

@@ -316,6 +316,8 @@ ORACLES: dict[str, str] = {
     "replenishment_blocked": f"WITH {_REPLENISHMENT} SELECT LocationId, PalletNumber, Reason, count(*) AS n_rows "
                              "FROM blocked GROUP BY 1, 2, 3",
     "replenishment_blocked_rows": f"WITH {_REPLENISHMENT} SELECT LocationId, PalletNumber, Reason FROM blocked",
+    "blocked_counts": f"""WITH {_REPLENISHMENT}
+        SELECT LocationId, count(DISTINCT PalletNumber) AS n_pallets, count(*) AS n_rows FROM blocked GROUP BY LocationId""",
     "blocked_pallet_lines": f"""WITH {_REPLENISHMENT}
         SELECT LocationId, rpad(CAST(PalletNumber AS VARCHAR), 20, ' ') || ' ' || Reason AS line
         FROM blocked GROUP BY LocationId, PalletNumber, Reason""",

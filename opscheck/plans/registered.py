@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opscheck.fixed_values import (
+    SHIPPING_POINT_FIELD,
+    WAREHOUSE_CODE_FIELD,
+    WAREHOUSE_CODES_SETTING,
+    ZONES_SETTING,
+)
 from opscheck.functions.text import field_lines, padded, row_text
 from opscheck.operators import carcass, duplicates, payloads, queues, remediation, results, shipping
 from opscheck.operators.batches import in_clause
 from opscheck.operators.holds import missing_hold_reason
-from opscheck.operators.replenishment import replenishment_blocked
+from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
 from opscheck.operators.settings import warehouse_codes
 from opscheck.operators.vendors import vendor_lookup
 from opscheck.plans import scenarios
@@ -101,7 +107,7 @@ class Roles:
 
     def zone_settings(self):
         return self.spark.createDataFrame(
-            [("Protein.ShopFloor.Dashboard", "ReplenishmentZones", "1, 3,5,7")],
+            [(*ZONES_SETTING, "1, 3,5,7")],
             "PackageName STRING, Code STRING, Value STRING")
 
     # duplicates
@@ -202,13 +208,13 @@ class Roles:
     def code_settings(self):
         """One site per supplier, with readable, empty, and broken settings."""
         key, nation = _text("s_suppkey"), _text("s_nationkey")
-        entry = F.concat(F.lit('{"ProntoWhseCode":"W'), nation, F.lit('","SFShippingPoint":"P'), key, F.lit('"}'))
+        entry = F.to_json(F.struct(F.concat(F.lit("W"), nation).alias(WAREHOUSE_CODE_FIELD),
+                                   F.concat(F.lit("P"), key).alias(SHIPPING_POINT_FIELD)))
         broken = (F.when(F.col("s_suppkey") % 10 == 1, "").when(F.col("s_suppkey") % 10 == 2, '{"a":1}')
                   .when(F.col("s_suppkey") % 10 == 3, "[]").when(F.col("s_suppkey") % 10 == 4, "[{"))
         return adapt(
             self.table("supplier"), site_code="s_name",
-            PackageName=F.lit("Protein.ShopFloor.InterfaceTasks.ProntoFileInterface"),
-            Code=F.lit("ProntoWhseCodeSFShippingPointMapping"),
+            PackageName=F.lit(WAREHOUSE_CODES_SETTING[0]), Code=F.lit(WAREHOUSE_CODES_SETTING[1]),
             Value=F.coalesce(broken, F.concat(F.lit("["), entry, F.lit(","), entry, F.lit("]"))))
 
 
@@ -304,6 +310,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
         r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings()),
     "replenishment_blocked_rows": lambda r: replenishment_blocked(
         r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings(), per="row"),
+    "blocked_counts": lambda r: blocked_counts(
+        r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings()),
     # duplicates and remediation
     "duplicate_groups": lambda r: r.groups(),
     "stale_duplicates": lambda r: r.stale(),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opscheck.fixed_values import BACKLOG_THRESHOLD, IGNORED_LOCATIONS
 from opscheck.operators import carcass, duplicates, holds, payloads, queues, remediation, shipping
-from opscheck.operators.replenishment import replenishment_blocked
+from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
 from opscheck.operators.results import RULES, check_status, findings, scenario_summary
 from opscheck.session import shared
 
@@ -101,10 +101,18 @@ def message_delay(messages: DataFrame, as_of=None, threshold: int = BACKLOG_THRE
 
 def pallet_wont_replenish(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
                           area_locations: DataFrame, settings: DataFrame) -> ScenarioResult:
-    """Blocked pallets per pick face (column ``LocationId``)."""
-    blocked = replenishment_blocked(pick_faces, inventory, tasks, area_locations, settings)
-    found = findings(blocked, "replenishment_blocked", "LocationId", "PalletNumber", "n_rows")
-    return _result("pallet_wont_replenish", found, pick_faces.select(F.col("LocationId").alias("subject")))
+    """Blocked pallets per pick face (column ``LocationId``).
+
+    Statuses come from counts per product, so pick faces that share a product do
+    not multiply its pallets; only the listed findings spell them out.
+    """
+    tables = (pick_faces, inventory, tasks, area_locations, settings)
+    name = "pallet_wont_replenish"
+    found = findings(replenishment_blocked(*tables), "replenishment_blocked", "LocationId", "PalletNumber", "n_rows")
+    counted = findings(blocked_counts(*tables), "replenishment_blocked", "LocationId", n_rows="n_rows")
+    statuses = check_status(pick_faces.select(F.col("LocationId").alias("subject")), counted,
+                            list(SCENARIOS[name].checks))
+    return ScenarioResult(found, statuses, _summary(name, statuses))
 
 
 def duplicate_inventory(cases: DataFrame, area_locations: DataFrame, areas: DataFrame,

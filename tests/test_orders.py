@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from opscheck.fixed_values import WAREHOUSE_CODES_SETTING
 from opscheck.operators import payloads
 from opscheck.operators.settings import warehouse_codes
 from opscheck.operators.vendors import vendor_lookup
@@ -9,7 +10,7 @@ from opscheck.plans import scenarios
 from opscheck.sources.sinks import write_order_payloads
 from tests.fixtures import keys, make, rows
 
-KEY = ("Protein.ShopFloor.InterfaceTasks.ProntoFileInterface", "ProntoWhseCodeSFShippingPointMapping")
+KEY = WAREHOUSE_CODES_SETTING
 
 
 def header(number, file_name, **fields):

@@ -1,7 +1,9 @@
 import pytest
 
-from opscheck.operators.replenishment import replenishment_blocked
+from opscheck.fixed_values import ZONES_SETTING
+from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
 from opscheck.operators.settings import zone_list
+from opscheck.plans import scenarios
 from tests.fixtures import at, keys, make, rows
 
 COMMITTED = "Pallet is committed to a delivery"
@@ -26,8 +28,8 @@ def tables(spark):
         inventory=make(spark, "inventory_details", *stock, columns=STOCK),
         tasks=make(spark, "directed_tasks", *tasks),
         area_locations=make(spark, "area_locations", ("in", "W", "A", 3), ("in", "W", "B", 5), ("out", "W", "A", 4)),
-        settings=make(spark, "settings", ("Protein.ShopFloor.Dashboard", "ReplenishmentZones", "1, 3 ,5"),
-                      ("Protein.ShopFloor.Dashboard", "Other", "4"), ("Else", "ReplenishmentZones", "4")))
+        settings=make(spark, "settings", (*ZONES_SETTING, "1, 3 ,5"),
+                      (ZONES_SETTING[0], "Other", "4"), ("Else", ZONES_SETTING[1], "4")))
 
 
 def test_reasons_and_row_counts(tables):
@@ -47,6 +49,16 @@ def test_unknown_pick_face_is_silent(spark, tables):
 
 
 def test_zone_that_is_no_number_raises(spark):
-    settings = make(spark, "settings", ("Protein.ShopFloor.Dashboard", "ReplenishmentZones", "1,x"))
+    settings = make(spark, "settings", (*ZONES_SETTING, "1,x"))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         zone_list(settings).collect()
+
+
+def test_counts_per_pick_face(spark, tables):
+    tables["pick_faces"] = make(spark, "pick_faces", ("F1", 1), ("F2", 99), ("F3", 1))
+    assert rows(blocked_counts(**tables)) == [("F1", 3, 7), ("F3", 3, 7)]
+
+
+def test_scenario_statuses(spark, tables):
+    statuses = scenarios.pallet_wont_replenish(**tables).statuses
+    assert rows(statuses, "subject", "status", "n_findings") == [("F1", "issues_found", 7), ("F2", "ok", 0)]
