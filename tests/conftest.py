@@ -11,8 +11,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (SparkSession.builder.master("local[8]").appName("opscheck-tests")
-               .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.sql.shuffle.partitions", "4")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.default.parallelism", "2")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "4g")
                .getOrCreate())

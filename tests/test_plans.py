@@ -32,7 +32,8 @@ def settings(spark, **values):
 
 def large_data(spark):
     """Thresholds at which the small test tables behave like large ones."""
-    return settings(spark, autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1",
+    return settings(spark, shuffle__partitions="8", autoBroadcastJoinThreshold="-1",
+                    adaptive__autoBroadcastJoinThreshold="-1",
                     adaptive__skewJoin__skewedPartitionThresholdInBytes="40KB",
                     adaptive__skewJoin__skewedPartitionFactor="2",
                     adaptive__advisoryPartitionSizeInBytes="20KB")
@@ -75,7 +76,7 @@ def test_hot_probe_key_is_split(spark):
 
 
 def test_null_probe_keys_spread_without_help(spark):
-    with settings(spark, autoBroadcastJoinThreshold="-1", adaptive__enabled="false"):
+    with settings(spark, shuffle__partitions="8", autoBroadcastJoinThreshold="-1", adaptive__enabled="false"):
         inventory = spark.range(0, 60000, 1, 8).selectExpr(
             "concat('D', id % 5000) AS ExitDeliveryNumber", f"{hot(60000, 'id', 'NULL')} AS InventoryId")
         allocations = spark.range(0, 60000, 2, 8).selectExpr("id AS InventoryId")
