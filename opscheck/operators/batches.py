@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opscheck.functions.text import quoted
+from opscheck.operators.keyed import complete
 
 
 def batched(df: DataFrame, key: str, size: int, by: Sequence[str] = ()) -> DataFrame:
@@ -18,10 +19,10 @@ def batched(df: DataFrame, key: str, size: int, by: Sequence[str] = ()) -> DataF
     that comes out fuller continues in another ``part``.  Up to ``size`` keys in
     all make a single batch.
     """
-    keys = df.select(*by, key).distinct()
+    keys = complete(df.select(*by, key), key).distinct()
     buckets = F.greatest(F.ceil(keys.agg(F.count("*")).scalar() / size), F.lit(1))
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("bigint")
-    bucketed = keys.dropna(subset=[key]).withColumn("bucket", F.pmod(digest, buckets))
+    bucketed = keys.withColumn("bucket", F.pmod(digest, buckets))
     window = Window.partitionBy(*by, "bucket").orderBy(key)
     return (bucketed
             .withColumn("part", F.floor((F.row_number().over(window) - 1) / size)))

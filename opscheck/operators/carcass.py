@@ -1,4 +1,7 @@
-"""Records of one tracked unit across its six sources, for one unit or all of them."""
+"""Records of one tracked unit across its six sources, for one unit or all of them.
+
+``subjects`` holds every unit once, in the column ``CarcassId``.
+"""
 
 from __future__ import annotations
 
@@ -17,31 +20,31 @@ LOT_FIELDS = ["ScheduledHeadCount", "ReceivedHeadCount"]
 
 
 def _attach(left: DataFrame, right: DataFrame, key: str, order: list[Column], prefix: str,
-            keep: tuple[str, ...] = ()) -> DataFrame:
+            unique: bool = False) -> DataFrame:
     """Left-join the first record per key, prefixed, with a ``<prefix>_found`` flag."""
     record = first_per_key(right, key, order)
     record = record.withColumnsRenamed({
-        c: f"{prefix}_{c}" for c in record.columns if c != key and c not in keep
+        c: f"{prefix}_{c}" for c in record.columns if c != key
     }).withColumn(f"{prefix}_found", F.lit(True))
-    return (probe(left, record, key, "left")
+    return (probe(left, record, key, "left", unique=unique)
             .withColumn(f"{prefix}_found", F.coalesce(f"{prefix}_found", F.lit(False))))
 
 
 def latest_backtag(subjects: DataFrame, backtag: DataFrame) -> DataFrame:
     """Newest back-tag record per subject; NULL dates come last, ties go by the other columns."""
-    return _attach(subjects.select("CarcassId"), backtag.select("CarcassId", *BACKTAG_FIELDS),
-                   "CarcassId", [F.desc_nulls_last("KillDate")], "bt")
+    return _attach(subjects, backtag.select("CarcassId", *BACKTAG_FIELDS),
+                   "CarcassId", [F.desc_nulls_last("KillDate")], "bt", unique=True)
 
 
 def hot_record(subjects: DataFrame, hot: DataFrame) -> DataFrame:
     """Newest hot-line record per subject, found by its back-tag id."""
     records = hot.select(F.col("BackTagCarcassId").alias("CarcassId"), *HOT_FIELDS)
-    return _attach(subjects.select("CarcassId"), records, "CarcassId", [F.desc_nulls_last("KillDate")], "hot")
+    return _attach(subjects, records, "CarcassId", [F.desc_nulls_last("KillDate")], "hot", unique=True)
 
 
 def epv_record(subjects: DataFrame, epv: DataFrame) -> DataFrame:
     """One grading record per subject: the first by its columns in ascending order."""
-    return _attach(subjects.select("CarcassId"), epv.select("CarcassId", *EPV_FIELDS), "CarcassId", [], "epv")
+    return _attach(subjects, epv.select("CarcassId", *EPV_FIELDS), "CarcassId", [], "epv", unique=True)
 
 
 def kill_group(chain: DataFrame, kill_groups: DataFrame) -> DataFrame:
@@ -92,17 +95,17 @@ def carcass_record(subjects: DataFrame, backtag: DataFrame, hot: DataFrame, epv:
                    service: str = MESSAGE_SERVICE, mode: str = "substring") -> DataFrame:
     """One wide row per subject: all fields of the six sources, and the number of raw messages.
 
-    The messages themselves are rows of :func:`raw_messages`; a subject may have
+    All sources keyed by subject share one partitioning; only the chained kill
+    group and lot are shuffled on their own keys.  The messages themselves are rows of :func:`raw_messages`; a subject may have
     any number of them.
     """
     subjects = subjects.select("CarcassId").distinct()
-    chain = lot_details(kill_group(latest_backtag(subjects, backtag), kill_groups), lots)
-    wide = probe(chain, hot_record(subjects, hot), "CarcassId", "left")
-    wide = probe(wide, epv_record(subjects, epv), "CarcassId", "left")
     counts = (message_pairs(subjects, raw, service, mode)
               .groupBy("CarcassId").agg(F.count("*").alias("n_messages")))
-    return (probe(wide, counts, "CarcassId", "left")
+    wide = epv_record(hot_record(latest_backtag(subjects, backtag), hot), epv)
+    wide = (probe(wide, counts, "CarcassId", "left", unique=True)
             .withColumn("n_messages", F.coalesce("n_messages", F.lit(0))))
+    return lot_details(kill_group(wide, kill_groups), lots)
 
 
 def carcass_statuses(record: DataFrame) -> DataFrame:

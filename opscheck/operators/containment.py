@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opscheck.operators.keyed import probe
+from opscheck.operators.keyed import complete, probe
 
 _PIECE = 65_536
 
@@ -50,7 +50,7 @@ def texts_with_token(ids: DataFrame, texts: DataFrame, id_column: str, text_colu
     Cheaper than the substring form, and equal to it only when ids are always
     written as whole tokens.
     """
-    wanted = ids.select(id_column).dropna().distinct()
+    wanted = complete(ids.select(id_column), id_column).distinct()
     words = F.array_distinct(F.regexp_extract_all(F.col(text_column), F.lit("([A-Za-z0-9]+)"), F.lit(1)))
     tokens = texts.select(text_key, F.explode(words).alias(id_column))
     return probe(tokens, wanted, id_column).select(id_column, text_key)

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ROUTES = 4096
+_ROUTES = 4096  # a power of two
 _ROUTE = "_route"
 _INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 _ROUTABLE = _INTEGRAL | {"string", "boolean", "date", "timestamp", "timestamp_ntz"}
@@ -46,21 +46,29 @@ def _routed(df: DataFrame, keys: Sequence[str], spread_nulls: bool) -> DataFrame
         incomplete = " OR ".join(f"`{k}` IS NULL" for k in keys)
         others = ", ".join(f"`{c}`" for c in rest)
         route = f"CASE WHEN {incomplete} THEN xxhash64({others}) ELSE {route} END"
-    return df.selectExpr("*", f"pmod({route}, {_ROUTES}) AS {_ROUTE}")
+    return df.selectExpr("*", f"({route}) & {_ROUTES - 1} AS {_ROUTE}")
+
+
+def complete(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Rows whose key columns are all set; the filter reaches the scan."""
+    return df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in ([keys] if isinstance(keys, str) else keys)))
 
 
 def probe(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner",
-          null_safe: bool = False) -> DataFrame:
+          null_safe: bool = False, unique: bool = False) -> DataFrame:
     """Join ``left`` to a ``right`` that was reduced beforehand (few rows per key).
 
     ``how`` is inner, left, left_semi or left_anti.  NULL keys match nothing
     unless ``null_safe``.  Key columns appear once, with the left side's values.
+    ``unique`` says that the left side has one row per key, so nothing can be
+    hot: the join is then made on the key alone and uses the partitioning that
+    both sides already have.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    routed = _can_route(left, right, keys)
+    routed = not unique and _can_route(left, right, keys)
     spread = not null_safe and how in ("left", "left_anti")
     if how in ("inner", "left_semi") and not null_safe:
-        left = left.dropna(subset=keys)
+        left = complete(left, keys)
     if routed:
         left, right = _routed(left, keys, spread), _routed(right, keys, False)
     on = keys + [_ROUTE] if routed else keys
@@ -93,7 +101,7 @@ def first_per_key(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colu
     keys = [keys] if isinstance(keys, str) else list(keys)
     ties = [F.asc_nulls_first(c) for c in df.columns if c not in keys]
     window = Window.partitionBy(*keys).orderBy(*order, *ties)
-    return (df.dropna(subset=keys)
+    return (complete(df, keys)
               .withColumn("_position", F.row_number().over(window))
               .filter(F.col("_position") == 1)
               .drop("_position"))

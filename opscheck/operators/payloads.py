@@ -1,4 +1,7 @@
-"""Order payloads: delimited header and detail lines in a JSON envelope."""
+"""Order payloads: delimited header and detail lines in a JSON envelope.
+
+``orders`` holds every order number once; ``lines`` any number of lines per order.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ from opscheck.fixed_values import (
     WAREHOUSE_CODE_FIELD,
 )
 from opscheck.functions.text import clean, delimited
-from opscheck.operators.keyed import probe, repeated
+from opscheck.operators.keyed import complete, probe, repeated
 from opscheck.operators.vendors import VENDOR_FIELDS, vendor_lookup
 
 LINE_FIELDS = ["ProductCode", "BaseQty", "Instructions", "MinSellBy"]
@@ -74,7 +77,7 @@ def number_lines(lines: DataFrame, min_large: int = 1_000_000, tasks: int = 10_0
     ``min_large``) are numbered by counting; there are fewer than ``tasks`` of
     them by arithmetic, which bounds the broadcast list of their numbers.
     """
-    lines = lines.select("OrderNumber", "Seq", *LINE_FIELDS).dropna(subset=["OrderNumber"])
+    lines = complete(lines.select("OrderNumber", "Seq", *LINE_FIELDS), "OrderNumber")
     counts = line_counts(lines)
     share = counts.agg(F.sum("n_lines")).scalar() / tasks
     large = F.broadcast(counts.filter(F.col("n_lines") > F.greatest(F.lit(min_large), share))
@@ -94,7 +97,7 @@ def order_detail_lines(lines: DataFrame, **numbering: int) -> DataFrame:
 
 def order_header_lines(orders: DataFrame, lines: DataFrame, third_parties: DataFrame) -> DataFrame:
     """``H`` lines with the vendor's address and the number of detail lines; absent fields keep their position."""
-    counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left")
+    counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left", unique=True)
 
     def field(name: str, default: str = "") -> Column:
         return F.coalesce(name, F.lit(default))
@@ -154,7 +157,7 @@ def validate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """
     by_order = lines.groupBy("OrderNumber").agg(
         F.count("*").alias("_lines"), F.bool_or(_has_delimiter(LINE_FIELDS)).alias("_delimiter"))
-    joined = probe(orders, by_order, "OrderNumber", "left")
+    joined = probe(orders, by_order, "OrderNumber", "left", unique=True)
     reason = (F.when(clean(F.col("OrderNumber")) == "", "order number is required")
                .when(~F.coalesce(F.startswith("FileName", F.lit(FILE_NAME_PREFIX)), F.lit(False)),
                      f"file name must begin with {FILE_NAME_PREFIX}")
@@ -165,7 +168,7 @@ def validate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _configured(codes: DataFrame, code_column: str) -> DataFrame:
-    return codes.select(F.col(code_column).alias("WarehouseCode")).dropna().distinct()
+    return complete(codes.select(F.col(code_column).alias("WarehouseCode")), "WarehouseCode").distinct()
 
 
 def unknown_warehouse_codes(orders: DataFrame, codes: DataFrame,

@@ -11,7 +11,7 @@ from opscheck.fixed_values import (
     REASON_COMMITTED,
     REASON_UNKNOWN,
 )
-from opscheck.operators.keyed import probe, repeated, restrict
+from opscheck.operators.keyed import complete, probe, repeated, restrict
 from opscheck.operators.settings import zone_list
 
 
@@ -21,7 +21,7 @@ def latest_tasks(tasks: DataFrame, closed_status: int = CLOSED_TASK_STATUS) -> D
     Counts per (pallet, date) come first, so tied tasks never travel as rows.
     """
     open_task = F.col("StatusId") != closed_status
-    per_date = (tasks.dropna(subset=["PalletNumber", "CreatedDate"])
+    per_date = (complete(tasks, ["PalletNumber", "CreatedDate"])
                 .groupBy("PalletNumber", "CreatedDate")
                 .agg(F.count("*").alias("n_latest"), F.count_if(open_task).alias("n_open")))
     newest = per_date.groupBy("PalletNumber").agg(
@@ -56,8 +56,8 @@ def blocked_pallets(products: DataFrame, inventory: DataFrame, tasks: DataFrame,
     stock = (probe(stock, in_zone, "WarehouseLocationId", "left_semi")
              .groupBy("PalletNumber", "ProductId").agg(F.count("*").alias("n_stock")))
 
-    state = probe(stock, committed, "PalletNumber", "left")
-    state = probe(state, latest_tasks(tasks), "PalletNumber", "left")
+    pallets = committed.join(latest_tasks(tasks), "PalletNumber", "full")
+    state = probe(stock, pallets, "PalletNumber", "left")
     is_committed = F.coalesce("committed", F.lit(False))
     n_latest, n_open = F.coalesce("n_latest", F.lit(0)), F.coalesce("n_open", F.lit(0))
     return (state

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opscheck.functions.text import row_text
+from opscheck.operators.keyed import complete
 from opscheck.operators.results import RULES, check_status, scenario_summary
 
 
@@ -109,7 +110,7 @@ def _taken(source: DataFrame, key: str, target: str) -> DataFrame:
     column = next((c for c in source.columns if c.lower() == key.lower()), None)
     if column is None:
         raise ValueError(f"no column {key!r} among {source.columns}")
-    return source.select(F.col(column).alias(target)).dropna().distinct()
+    return complete(source.select(F.col(f"`{column}`").alias(target)), target).distinct()
 
 
 def _run_step(spark: SparkSession, step: dict, args: Mapping, results: dict[str, DataFrame],
