@@ -11,9 +11,10 @@ def clean(column: Column) -> Column:
     return F.trim(F.coalesce(column.cast("string"), F.lit("")))
 
 
-def delimited(columns: list[Column], delimiter: str) -> Column:
-    """Join cleaned fields; every field keeps its position."""
-    return F.concat_ws(delimiter, *[clean(c) for c in columns])
+def delimited(fields: list[str], delimiter: str) -> Column:
+    """Join fields, given as SQL expressions, trimmed and with NULL as the empty text; positions are kept."""
+    cleaned = ", ".join(f"trim(coalesce(CAST({f} AS STRING), ''))" for f in fields)
+    return F.expr(f"concat_ws('{delimiter}', {cleaned})")
 
 
 def quoted(column: Column) -> Column:

@@ -89,8 +89,7 @@ def number_lines(lines: DataFrame, min_large: int = 1_000_000, tasks: int = 10_0
 def order_detail_lines(lines: DataFrame, **numbering: int) -> DataFrame:
     """``D`` lines: order number, position as ``001.00``, product, quantity, instructions, minimum sell-by."""
     numbered = number_lines(lines, **numbering)
-    position = F.format_string("%03d.00", "LineNo")
-    text = delimited([F.lit("D"), F.col("OrderNumber"), position, *[F.col(c) for c in LINE_FIELDS], F.lit("")],
+    text = delimited(["'D'", "OrderNumber", "format_string('%03d.00', LineNo)", *LINE_FIELDS, "''"],
                      FIELD_DELIMITER)
     return numbered.select("OrderNumber", "LineNo", text.alias("line"))
 
@@ -98,17 +97,12 @@ def order_detail_lines(lines: DataFrame, **numbering: int) -> DataFrame:
 def order_header_lines(orders: DataFrame, lines: DataFrame, third_parties: DataFrame) -> DataFrame:
     """``H`` lines with the vendor's address and the number of detail lines; absent fields keep their position."""
     counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left", unique=True)
-
-    def field(name: str, default: str = "") -> Column:
-        return F.coalesce(name, F.lit(default))
-
     text = delimited([
-        F.lit("H"), F.col("OrderNumber"), F.coalesce("n_lines", F.lit(0)), F.col("ThirdPartyId"),
-        *[F.col(c) for c in VENDOR_FIELDS],
-        F.col("ReferenceOrder"), field("Priority", DEFAULT_PRIORITY), F.col("OrderType"), F.col("Instructions"),
-        F.col("DeliveryDate"), F.col("LoadDate"), field("DeliveryTime", DEFAULT_DELIVERY_TIME),
-        field("GeoCode", DEFAULT_GEO_CODE), F.col("OrderNumber"), F.col("WarehouseCode"), F.col("ShipTo"),
-        F.col("PlantCode"), F.col("SenderId"), F.col("ReceiverId"), F.lit(""),
+        "'H'", "OrderNumber", "coalesce(n_lines, 0)", "ThirdPartyId", *VENDOR_FIELDS,
+        "ReferenceOrder", f"coalesce(Priority, '{DEFAULT_PRIORITY}')", "OrderType", "Instructions",
+        "DeliveryDate", "LoadDate", f"coalesce(DeliveryTime, '{DEFAULT_DELIVERY_TIME}')",
+        f"coalesce(GeoCode, '{DEFAULT_GEO_CODE}')", "OrderNumber", "WarehouseCode", "ShipTo",
+        "PlantCode", "SenderId", "ReceiverId", "''",
     ], FIELD_DELIMITER)
     return counted.select("OrderNumber", "FileName", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
                           text.alias("line"))

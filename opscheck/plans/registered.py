@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opscheck.fixed_values import (
     SHIPPING_POINT_FIELD,
@@ -37,6 +38,9 @@ def _text(column: str):
     return F.col(column).cast("string")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Roles:
     """The test tables in the roles of the checks."""
 
@@ -44,7 +48,11 @@ class Roles:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; its schema is inferred once per process."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # deliveries, shipments, trailers
     def inventory(self):
