@@ -74,3 +74,8 @@ SITE_DEFAULTS = {
     "environment": "PROD",
     "notes": "",
 }
+
+# Where scenarios apply: site environments and business units
+SITE_ENVIRONMENTS = ("PROD", "QA")
+MESSAGING_ENVIRONMENTS = ("IWS",)
+BUSINESS_UNITS = ("Beef/Pork",)

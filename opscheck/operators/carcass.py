@@ -70,7 +70,9 @@ def message_pairs(subjects: DataFrame, raw: DataFrame, service: str = MESSAGE_SE
     ``mode`` is 'substring' (literal containment anywhere) or 'token' (whole
     alphanumeric tokens only, cheaper).
     """
-    match = {"substring": texts_with_substring, "token": texts_with_token}[mode]
+    if mode not in ("substring", "token"):
+        raise ValueError(f"mode {mode!r} is not for a DataFrame of ids")
+    match = texts_with_substring if mode == "substring" else texts_with_token
     return match(subjects, _service_messages(raw, service), "CarcassId", "Data", "MessageId")
 
 

@@ -30,11 +30,12 @@ _ROUTABLE = _INTEGRAL | {"string", "boolean", "date", "timestamp", "timestamp_nt
 
 
 def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether equal keys have equal hashes: same type without a collation, or both integral."""
+    def routable(a: str, b: str) -> bool:
+        return (a == b and (a in _ROUTABLE or a.startswith("decimal"))) or (a in _INTEGRAL and b in _INTEGRAL)
+
     lt, rt = dict(left.dtypes), dict(right.dtypes)
-    return all(
-        lt[k] in _ROUTABLE and (lt[k] == rt[k] or (lt[k] in _INTEGRAL and rt[k] in _INTEGRAL))
-        for k in keys
-    )
+    return all(routable(lt[k], rt[k]) for k in keys)
 
 
 def _routed(df: DataFrame, keys: Sequence[str], spread_nulls: bool) -> DataFrame:

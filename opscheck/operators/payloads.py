@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,26 +135,29 @@ def order_payloads(orders: DataFrame, lines: DataFrame, third_parties: DataFrame
 
 
 def _has_delimiter(fields: list[str]) -> Column:
-    return reduce(or_, [F.coalesce(F.contains(F.col(f).cast("string"), F.lit(FIELD_DELIMITER)), F.lit(False))
-                        for f in fields])
+    return F.expr(" OR ".join(
+        f"coalesce(contains(CAST({f} AS STRING), '{FIELD_DELIMITER}'), false)" for f in fields))
 
 
-def validate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def validate_orders(orders: DataFrame, lines: DataFrame, third_parties: DataFrame | None = None) -> DataFrame:
     """Orders with ``reject_reason``, NULL for a valid one.
 
     The order number and a file name with the required prefix (tested before
     trimming) are needed, as is at least one line.  Fields are not escaped in
-    a payload, so a delimiter inside one is a reason too.
+    a payload, so a delimiter inside one is a reason too; with ``third_parties``
+    the vendor's fields are tested as well.
     """
     by_order = lines.groupBy("OrderNumber").agg(
         F.count("*").alias("_lines"), F.bool_or(_has_delimiter(LINE_FIELDS)).alias("_delimiter"))
     joined = probe(orders, by_order, "OrderNumber", "left", unique=True)
+    fields = ["OrderNumber", *HEADER_FIELDS]
+    if third_parties is not None:
+        joined, fields = vendor_lookup(joined, third_parties), fields + VENDOR_FIELDS
     reason = (F.when(clean(F.col("OrderNumber")) == "", "order number is required")
                .when(~F.coalesce(F.startswith("FileName", F.lit(FILE_NAME_PREFIX)), F.lit(False)),
                      f"file name must begin with {FILE_NAME_PREFIX}")
                .when(F.col("_lines").isNull(), "at least one line is required")
-               .when(F.coalesce("_delimiter", F.lit(False))
-                     | _has_delimiter(["OrderNumber", *HEADER_FIELDS]), "field contains delimiter"))
+               .when(F.coalesce("_delimiter", F.lit(False)) | _has_delimiter(fields), "field contains delimiter"))
     return joined.select(*orders.columns, reason.alias("reject_reason"))
 
 

@@ -9,7 +9,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opscheck.fixed_values import BACKLOG_THRESHOLD, IGNORED_LOCATIONS
+from opscheck.fixed_values import (
+    BACKLOG_THRESHOLD,
+    BUSINESS_UNITS,
+    IGNORED_LOCATIONS,
+    MESSAGING_ENVIRONMENTS,
+    SITE_ENVIRONMENTS,
+)
 from opscheck.operators import carcass, duplicates, holds, payloads, queues, remediation, shipping
 from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
 from opscheck.operators.results import RULES, check_status, findings, scenario_summary
@@ -20,8 +26,8 @@ from opscheck.session import shared
 class Scenario:
     title: str
     checks: tuple[str, ...]
-    environments: tuple[str, ...] = ("PROD", "QA")
-    business_units: tuple[str, ...] = ("Beef/Pork",)
+    environments: tuple[str, ...] = SITE_ENVIRONMENTS
+    business_units: tuple[str, ...] = BUSINESS_UNITS
 
 
 @dataclass(frozen=True)
@@ -35,7 +41,7 @@ SCENARIOS = {
     "load_wont_close": Scenario("Load Won't Close", (
         "missing_shipment", "missing_trailer", "missing_trailer_capacity", "missing_allocations")),
     "inventory_cant_release": Scenario("Inventory Can't Be Released", ("missing_hold_reason",)),
-    "message_delay": Scenario("Message Delay", ("pending_backlog",), environments=("IWS",)),
+    "message_delay": Scenario("Message Delay", ("pending_backlog",), environments=MESSAGING_ENVIRONMENTS),
     "pallet_wont_replenish": Scenario("Pallet Won't Replenish to Location", ("replenishment_blocked",)),
     "duplicate_inventory": Scenario("Duplicate Inventory", (
         "duplicate_inventory", "remediate_cases", "remediate_allocations", "remediate_hold_statuses")),
@@ -172,7 +178,7 @@ def order_files(orders: DataFrame, lines: DataFrame, third_parties: DataFrame,
 
     With ``codes`` an order's warehouse has to be one of the configured codes.
     """
-    checked = payloads.validate_orders(orders, lines)
+    checked = payloads.validate_orders(orders, lines, third_parties)
     valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = checked.filter(F.col("reject_reason").isNotNull())
     if codes is not None:

@@ -75,6 +75,8 @@ def test_raw_messages_modes(spark):
     assert found(subjects, raw) == [("12", 1), ("12", 2), ("1_2", 3)]
     assert found(subjects, raw, mode="token") == [("12", 2)]
     assert found("1_2", raw) == [("1_2", 3)]
+    with pytest.raises(ValueError, match="like"):
+        carcass.raw_messages(subjects, raw, mode="like")
     assert found("1_2", raw, mode="like") == [("1_2", 3), ("1_2", 4)]
 
 

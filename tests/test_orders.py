@@ -90,6 +90,12 @@ def test_validation_order_and_reasons(orders, lines):
         ("7", "field contains delimiter")], key=repr)
 
 
+def test_a_delimiter_in_a_vendor_field_rejects(spark, orders, lines):
+    piped = make(spark, "third_parties", ("V1", "Ven|dor", None, None, None, None, None))
+    reasons = dict(rows(payloads.validate_orders(orders, lines, piped), "OrderNumber", "reject_reason"))
+    assert (reasons["1"], reasons["5"]) == ("field contains delimiter", None)
+
+
 def test_order_files_split_valid_and_rejected(spark, orders, lines, vendors, tmp_path):
     settings = make(spark, "settings", (*KEY, '[{"ProntoWhseCode":"W1","SFShippingPoint":"P1"}]'))
     files = scenarios.order_files(orders, lines, vendors, warehouse_codes(settings))
