@@ -109,15 +109,19 @@ def check_status(subjects: DataFrame | None, found: DataFrame, checks: list[str]
 
 
 def scenario_summary(statuses: DataFrame, scenario: str, environments: tuple[str, ...] = (),
-                     business_units: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of check outcomes per subject; an error outranks an issue, skipped checks did not run."""
+                     business_units: tuple[str, ...] = (), **counts: Column) -> DataFrame:
+    """Counts of check outcomes per subject; an error outranks an issue, skipped checks did not run.
+
+    ``counts`` adds further aggregates over the statuses as columns.
+    """
     state = F.col("status")
     counted = statuses.groupBy("subject").agg(
         F.count_if(state != "skipped").alias("ran"),
         F.count_if(state == "ok").alias("clean"),
         F.count_if(state == "issues_found").alias("issues"),
         F.count_if(state == "error").alias("errors"),
-        F.count_if(state == "skipped").alias("skipped"))
+        F.count_if(state == "skipped").alias("skipped"),
+        *[column.alias(name) for name, column in counts.items()])
     overall = (F.when(F.col("errors") > 0, "error").when(F.col("issues") > 0, "issues_found").otherwise("ok"))
 
     def tags(values: tuple[str, ...]) -> Column:
@@ -126,7 +130,7 @@ def scenario_summary(statuses: DataFrame, scenario: str, environments: tuple[str
     return counted.select(
         F.lit(scenario).alias("scenario"), "subject", "ran", "clean", "issues", "errors", "skipped",
         overall.alias("overall"), tags(environments).alias("environments"),
-        tags(business_units).alias("business_units"))
+        tags(business_units).alias("business_units"), *counts)
 
 
 # Listing order per check, for reports; operators themselves do not sort.

@@ -410,6 +410,12 @@ ORACLES: dict[str, str] = {
                coalesce(Street2, '') AS Street2, coalesce(City, '') AS City, coalesce(ZipCode, '') AS ZipCode,
                coalesce(StateProvince, '') AS StateProvince, v.ThirdPartyId IS NOT NULL AS vendor_found
         FROM headers h LEFT JOIN vendors v ON v.ThirdPartyId = h.ThirdPartyId""",
+    "vendor_statuses": f"""WITH {_ORDERS}
+        SELECT 'vendor_lookup' AS "check", h.OrderNumber AS subject,
+               CASE WHEN v.ThirdPartyId IS NULL THEN 'issues_found' ELSE 'ok' END AS status,
+               CASE WHEN v.ThirdPartyId IS NULL THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_findings,
+               CASE WHEN v.ThirdPartyId IS NULL THEN 'No vendor found (0)' ELSE '1 vendor(s) found' END AS headline
+        FROM headers h LEFT JOIN vendors v ON v.ThirdPartyId = h.ThirdPartyId""",
     "warehouse_codes": f"WITH {_ORDERS} SELECT * FROM codes",
     "order_header_lines": f"WITH {_ORDERS} SELECT * FROM header_lines",
     "order_detail_lines": f"WITH {_ORDERS} SELECT * FROM details",
@@ -465,9 +471,10 @@ ORACLES: dict[str, str] = {
                ELSE 'remediate_cases' END, '*', CAST(InventoryId AS VARCHAR), n_rows FROM plan""",
     "duplicate_inventory_summary": f"WITH {_CASES}" + _summary(
         "Duplicate Inventory",
-        "(SELECT '*' AS subject, CASE WHEN n > 0 THEN 'issues_found' ELSE 'ok' END AS status FROM "
-        "(SELECT count(*) AS n FROM stale UNION ALL SELECT count(*) FROM plan WHERE step = 1 UNION ALL "
-        "SELECT count(*) FROM plan WHERE step = 2 UNION ALL SELECT count(*) FROM plan WHERE step = 3))"),
+        "(SELECT '*' AS subject, step, CASE WHEN n > 0 THEN 'issues_found' ELSE 'ok' END AS status FROM "
+        "(SELECT 0 AS step, count(*) AS n FROM stale UNION ALL SELECT 1, count(*) FROM plan WHERE step = 1 UNION ALL "
+        "SELECT 2, count(*) FROM plan WHERE step = 2 UNION ALL SELECT 3, count(*) FROM plan WHERE step = 3))",
+        extra=", count(*) FILTER (status = 'issues_found' AND step > 0) AS scripts"),
     "missing_carcasses": _summary(
         "Missing Carcasses",
         f"(SELECT '*' AS subject, CASE WHEN count(*) > 0 THEN 'issues_found' ELSE 'ok' END AS status FROM ({_FAILED}))"),

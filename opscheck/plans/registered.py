@@ -292,6 +292,14 @@ def _kill_group_chain(r: Roles) -> DataFrame:
     return adapt(r.table("customer"), CarcassId=_text("c_custkey"), bt_KillGroupId="c_nationkey")
 
 
+def _vendor_statuses(r: Roles) -> DataFrame:
+    found = vendor_lookup(r.order_headers().select("OrderNumber", "ThirdPartyId"), r.third_parties())
+    return results.check_status(
+        r.order_headers().select(F.col("OrderNumber").alias("subject")),
+        results.findings(found.filter("vendor_found"), "vendor_lookup", "OrderNumber", "ThirdPartyId"),
+        ["vendor_lookup"])
+
+
 def _document_stops(r: Roles):
     return adapt(r.table("documents"), DeliveryNumber="source", ShipmentNumber="doc_id")
 
@@ -356,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
     # orders
     "vendor_lookup": lambda r: vendor_lookup(
         r.order_headers().select("OrderNumber", "ThirdPartyId"), r.third_parties()),
+    "vendor_statuses": lambda r: _vendor_statuses(r),
     "warehouse_codes": lambda r: warehouse_codes(r.code_settings(), by=("site_code",)),
     "order_header_lines": lambda r: payloads.order_header_lines(
         r.order_headers(), r.order_lines(), r.third_parties()),

@@ -58,15 +58,15 @@ def scenarios_for(environment: str, business_unit: str | None = None) -> list[st
             if environment in s.environments and business_unit in (None, *s.business_units)]
 
 
-def _result(name: str, found: DataFrame, subjects: DataFrame | None, rules=RULES) -> ScenarioResult:
+def _result(name: str, found: DataFrame, subjects: DataFrame | None, rules=RULES, **counts) -> ScenarioResult:
     scenario = SCENARIOS[name]
     statuses = check_status(subjects, found, list(scenario.checks), rules)
-    return ScenarioResult(found, statuses, _summary(name, statuses))
+    return ScenarioResult(found, statuses, _summary(name, statuses, **counts))
 
 
-def _summary(name: str, statuses: DataFrame) -> DataFrame:
+def _summary(name: str, statuses: DataFrame, **counts) -> DataFrame:
     scenario = SCENARIOS[name]
-    return scenario_summary(statuses, scenario.title, scenario.environments, scenario.business_units)
+    return scenario_summary(statuses, scenario.title, scenario.environments, scenario.business_units, **counts)
 
 
 def load_wont_close(subjects: DataFrame, stops: DataFrame, shipments: DataFrame, trailers: DataFrame,
@@ -127,6 +127,7 @@ def duplicate_inventory(cases: DataFrame, area_locations: DataFrame, areas: Data
                         reuse: bool = False) -> ScenarioResult:
     """Stale duplicates and what their remediation touches, for the whole site.
 
+    ``scripts`` in the summary counts the remediation steps that have something to do.
     ``reuse`` computes the stale copies now and keeps them in the checkpoint folder for all outputs.
     """
     groups = duplicates.duplicate_groups(cases, area_locations, areas, ignore_locations)
@@ -138,7 +139,8 @@ def duplicate_inventory(cases: DataFrame, area_locations: DataFrame, areas: Data
         findings(plan.filter(F.col("step") == step), name, key="InventoryId", n_rows="n_rows")
         for step, name in check.items()
     ]
-    return _result("duplicate_inventory", reduce(DataFrame.unionByName, parts), None)
+    scripts = F.count_if(F.startswith("check", F.lit("remediate_")) & (F.col("status") == "issues_found"))
+    return _result("duplicate_inventory", reduce(DataFrame.unionByName, parts), None, scripts=scripts)
 
 
 def failed_transactions(staging: DataFrame, scenario: str = "failed_transactions", **options) -> ScenarioResult:

@@ -114,3 +114,4 @@ def test_scenario_statuses(spark, cases, places):
     assert rows(result.statuses, "check", "status", "n_findings") == [
         ("duplicate_inventory", "issues_found", 5), ("remediate_allocations", "issues_found", 2),
         ("remediate_cases", "issues_found", 5), ("remediate_hold_statuses", "ok", 0)]
+    assert rows(result.summary, "overall", "issues", "scripts") == [("issues_found", 3, 2)]
