@@ -14,7 +14,6 @@ from opscheck.fixed_values import (
     DEFAULT_PRIORITY,
     FIELD_DELIMITER,
     FILE_NAME_PREFIX,
-    WAREHOUSE_CODE_FIELD,
 )
 from opscheck.functions.text import clean, delimited
 from opscheck.operators.keyed import complete, probe, repeated
@@ -161,17 +160,15 @@ def validate_orders(orders: DataFrame, lines: DataFrame, third_parties: DataFram
     return joined.select(*orders.columns, reason.alias("reject_reason"))
 
 
-def _configured(codes: DataFrame, code_column: str) -> DataFrame:
-    return complete(codes.select(F.col(code_column).alias("WarehouseCode")), "WarehouseCode").distinct()
+def _configured(codes: DataFrame) -> DataFrame:
+    return complete(codes.select("WarehouseCode"), "WarehouseCode").distinct()
 
 
-def unknown_warehouse_codes(orders: DataFrame, codes: DataFrame,
-                            code_column: str = WAREHOUSE_CODE_FIELD) -> DataFrame:
+def unknown_warehouse_codes(orders: DataFrame, codes: DataFrame) -> DataFrame:
     """Orders whose warehouse code is not among the configured ones."""
-    return probe(orders, _configured(codes, code_column), "WarehouseCode", "left_anti").select(*orders.columns)
+    return probe(orders, _configured(codes), "WarehouseCode", "left_anti").select(*orders.columns)
 
 
-def known_warehouse_codes(orders: DataFrame, codes: DataFrame,
-                          code_column: str = WAREHOUSE_CODE_FIELD) -> DataFrame:
+def known_warehouse_codes(orders: DataFrame, codes: DataFrame) -> DataFrame:
     """The orders :func:`unknown_warehouse_codes` leaves out."""
-    return probe(orders, _configured(codes, code_column), "WarehouseCode", "left_semi").select(*orders.columns)
+    return probe(orders, _configured(codes), "WarehouseCode", "left_semi").select(*orders.columns)

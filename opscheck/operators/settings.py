@@ -27,7 +27,7 @@ def zone_list(settings: DataFrame, key: tuple[str, str] = ZONES_SETTING) -> Data
 
 def warehouse_codes(settings: DataFrame, by: tuple[str, ...] = (),
                     key: tuple[str, str] = WAREHOUSE_CODES_SETTING) -> DataFrame:
-    """Warehouse codes listed in a JSON setting, one row per code.
+    """Warehouse codes (and shipping points) listed in a JSON setting, one row per code.
 
     ``by`` names site columns when several sites are read together.  A setting
     without codes yields one row with NULL codes, so that its status
@@ -46,4 +46,5 @@ def warehouse_codes(settings: DataFrame, by: tuple[str, ...] = (),
                .otherwise("ok"))
     listed = F.when(F.col("status") == "ok", F.col("entries"))
     return (parsed.withColumn("status", status)
-            .select(*by, "status", F.inline_outer(listed)))
+            .select(*by, "status", F.inline_outer(listed))
+            .withColumnsRenamed({WAREHOUSE_CODE_FIELD: "WarehouseCode", SHIPPING_POINT_FIELD: "ShippingPoint"}))

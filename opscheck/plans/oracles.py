@@ -170,8 +170,8 @@ _ORDERS = """
     codes AS (
         SELECT s_name AS site_code,
                CASE s_suppkey % 10 WHEN 1 THEN 'issues_found' WHEN 2 THEN 'error' WHEN 4 THEN 'error' ELSE 'ok' END AS status,
-               CASE WHEN s_suppkey % 10 NOT IN (1, 2, 3, 4) THEN 'W' || s_nationkey END AS ProntoWhseCode,
-               CASE WHEN s_suppkey % 10 NOT IN (1, 2, 3, 4) THEN 'P' || s_suppkey END AS SFShippingPoint
+               CASE WHEN s_suppkey % 10 NOT IN (1, 2, 3, 4) THEN 'W' || s_nationkey END AS WarehouseCode,
+               CASE WHEN s_suppkey % 10 NOT IN (1, 2, 3, 4) THEN 'P' || s_suppkey END AS ShippingPoint
         FROM supplier, range(2) copies(i)
         WHERE i = 0 OR s_suppkey % 10 NOT IN (1, 2, 3, 4))
 """
@@ -270,7 +270,7 @@ _REJECTS = """
     UNION ALL
     SELECT OrderNumber, 'unknown warehouse code' FROM validated
     WHERE reject_reason IS NULL
-      AND WarehouseCode NOT IN (SELECT ProntoWhseCode FROM codes WHERE ProntoWhseCode IS NOT NULL)
+      AND WarehouseCode NOT IN (SELECT c.WarehouseCode FROM codes c WHERE c.WarehouseCode IS NOT NULL)
 """
 _PAYLOADS = """
     SELECT d.OrderNumber, trim(h.FileName) AS FileName, d.part,
@@ -423,7 +423,7 @@ ORACLES: dict[str, str] = {
     "order_payload_parts": f"WITH {_ORDERS}" + _PAYLOADS.format(size=3),
     "validate_orders": f"WITH {_ORDERS} SELECT OrderNumber, FileName, reject_reason FROM validated",
     "unknown_warehouse_codes": f"""WITH {_ORDERS} SELECT OrderNumber, WarehouseCode FROM headers
-        WHERE WarehouseCode NOT IN (SELECT ProntoWhseCode FROM codes WHERE ProntoWhseCode IS NOT NULL)""",
+        WHERE WarehouseCode NOT IN (SELECT c.WarehouseCode FROM codes c WHERE c.WarehouseCode IS NOT NULL)""",
     "order_file_rejects": f"WITH {_ORDERS}" + _REJECTS,
     "findings": f"""
         SELECT 'missing_allocations' AS "check", CAST(DeliveryNumber AS VARCHAR) AS subject,

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from opscheck.fixed_values import WAREHOUSE_CODES_SETTING
+from opscheck.fixed_values import SHIPPING_POINT_FIELD, WAREHOUSE_CODE_FIELD, WAREHOUSE_CODES_SETTING
 from opscheck.operators import payloads
 from opscheck.operators.settings import warehouse_codes
 from opscheck.operators.vendors import vendor_lookup
@@ -13,6 +13,10 @@ from tests.fixtures import keys, make, rows
 KEY = WAREHOUSE_CODES_SETTING
 
 
+def coded(code, point):
+    return {WAREHOUSE_CODE_FIELD: code, SHIPPING_POINT_FIELD: point}
+
+
 def header(number, file_name, **fields):
     names = ["ThirdPartyId", "ReferenceOrder", "Priority", "OrderType", "Instructions", "DeliveryDate", "LoadDate",
              "DeliveryTime", "GeoCode", "WarehouseCode", "ShipTo", "PlantCode", "SenderId", "ReceiverId"]
@@ -97,7 +101,7 @@ def test_a_delimiter_in_a_vendor_field_rejects(spark, orders, lines):
 
 
 def test_order_files_split_valid_and_rejected(spark, orders, lines, vendors, tmp_path):
-    settings = make(spark, "settings", (*KEY, '[{"ProntoWhseCode":"W1","SFShippingPoint":"P1"}]'))
+    settings = make(spark, "settings", (*KEY, json.dumps([coded("W1", "P1")])))
     files = scenarios.order_files(orders, lines, vendors, warehouse_codes(settings))
     assert rows(files.payloads, "OrderNumber") == [("1",)]
     assert ("5", "unknown warehouse code") in rows(files.rejects, "OrderNumber", "reject_reason")
@@ -111,14 +115,13 @@ def test_order_files_split_valid_and_rejected(spark, orders, lines, vendors, tmp
 
 
 @pytest.mark.parametrize("value, status, codes", [
-    ('[{"ProntoWhseCode":"W1","SFShippingPoint":"P1"},{"ProntoWhseCode":"W2","SFShippingPoint":null}]', "ok",
-     [("W1", "P1"), ("W2", None)]),
+    (json.dumps([coded("W1", "P1"), coded("W2", None)]), "ok", [("W1", "P1"), ("W2", None)]),
     ("[]", "ok", [(None, None)]), ("", "issues_found", [(None, None)]), (None, "issues_found", [(None, None)]),
     ("[{", "error", [(None, None)]), ('{"a":1}', "error", [(None, None)])])
 def test_warehouse_codes(spark, value, status, codes):
     settings = make(spark, "settings", (*KEY, value), ("Else", KEY[1], "[]"))
     found = warehouse_codes(settings)
-    assert rows(found, "ProntoWhseCode", "SFShippingPoint") == sorted(codes, key=repr)
+    assert rows(found, "WarehouseCode", "ShippingPoint") == sorted(codes, key=repr)
     assert {r["status"] for r in found.collect()} == {status}
 
 
