@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 _ROUTES = 4096  # a power of two
 _ROUTE = "_route"
 _INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
-_ROUTABLE = _INTEGRAL | {"string", "boolean", "date", "timestamp", "timestamp_ntz"}
+_ROUTABLE = _INTEGRAL | {"string", "binary", "boolean", "date", "timestamp", "timestamp_ntz"}
 
 
 def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
