@@ -16,9 +16,9 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A 128-bit key of a row's id and text; repeated rows share it, and with it every result."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(text))))
+def row_key() -> Column:
+    """A 128-bit key of a row's ``doc_id`` and ``text``; repeated rows share it, and with it every result."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), "text")))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -35,3 +35,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_rows(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` that passes ``doc_id`` as text, since pandas turns a number with NULLs into a float."""
+    mapped = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        function, schema.replace("doc_id bigint", "doc_id string"))
+    return mapped.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opscheck.llm.common import row_key, texts
+from opscheck.llm.common import map_rows, row_key, texts
 
 # Words and signs read as units.
 UNITS = set("""
@@ -125,11 +125,10 @@ def benchmark_windows(benchmark: DataFrame, p: DecontaminationParameters) -> Dat
                 tokens, hashes, kinds = templates.of(text)
                 rows = list(_rows(tokens, hashes, kinds, [min(p.window, len(tokens))] if tokens else [], p))
                 out += [(item, h, s, size, slots, len(rows)) for h, s, size, slots in rows]
-            frame = pd.DataFrame(out, columns=["item_id", "hash", "item_at", "size", "item_slots", "item_windows"])
-            yield frame.astype({"item_id": "Int64"})
+            yield pd.DataFrame(out, columns=["item_id", "hash", "item_at", "size", "item_slots", "item_windows"])
 
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return items.mapInPandas(cut, f"item_id bigint, hash bigint, item_at int, size int, item_slots {_SLOTS}, "
+    items = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    return items.mapInPandas(cut, f"item_id string, hash bigint, item_at int, size int, item_slots {_SLOTS}, "
                                   "item_windows int").dropDuplicates(["item_id", "hash", "item_at"])
 
 
@@ -158,10 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame,
             for key, doc, text in zip(batch["key"], batch["doc_id"], batch["text"], strict=True):
                 out += [(key, doc, *row) for row in _rows(*templates.of(text), sizes, p, bits.value)]
             frame = pd.DataFrame(out, columns=["key", "doc_id", "hash", "doc_at", "size", "doc_slots"])
-            yield frame.drop(columns="size").astype({"doc_id": "Int64"})
+            yield frame.drop(columns="size")
 
-    found = (texts(docs).withColumn("key", row_key())
-             .mapInPandas(cut, f"key binary, doc_id bigint, hash bigint, doc_at int, doc_slots {_SLOTS}"))
+    found = map_rows(texts(docs).withColumn("key", row_key()), cut,
+                     f"key binary, doc_id bigint, hash bigint, doc_at int, doc_slots {_SLOTS}")
     shared = found.join(windows, "hash")
     pairs = F.expr("""transform(item_slots, (s, i) -> named_struct(
         'type', s.type, 'own', s.value, 'other', doc_slots[i].value))""")
@@ -178,4 +177,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame,
     return (consistent.groupBy("key", "doc_id", "item_id", "item_windows")
             .agg(share.alias("share"), F.max(F.size("slots")).alias("n_slots"), changed.alias("reparameterised"))
             .filter(F.col("share") >= p.min_share)
-            .select("key", "doc_id", "item_id", "share", "n_slots", "reparameterised"))
+            .select("key", "doc_id", F.col("item_id").cast("bigint").alias("item_id"), "share", "n_slots", "reparameterised"))

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from opscheck.llm.common import TOKENIZERS, texts
+from opscheck.llm.common import TOKENIZERS, map_rows, texts
 
 MARK = "▁"
 _OWN_MARK = "\ud800"  # stands for a mark of the text itself; no text holds half a surrogate pair
@@ -146,7 +146,7 @@ def encoded(docs: DataFrame, p: PieceParameters = PieceParameters()) -> DataFram
                                     "n_tokens": [len(i) for i in ids],
                                     "ids": [np.array(i, dtype=np.int32) for i in ids], "exact": exact})
 
-    return texts(docs).mapInPandas(coded, "doc_id bigint, n_chars bigint, n_tokens bigint, ids array<int>, exact boolean")
+    return map_rows(texts(docs), coded, "doc_id bigint, n_chars bigint, n_tokens bigint, ids array<int>, exact boolean")
 
 
 def decoded(encoded_docs: DataFrame, p: PieceParameters = PieceParameters()) -> DataFrame:
@@ -160,4 +160,4 @@ def decoded(encoded_docs: DataFrame, p: PieceParameters = PieceParameters()) ->
             yield pd.DataFrame({"doc_id": batch["doc_id"],
                                 "text": ["" if i is None else codec.decode(i) for i in batch["ids"]]})
 
-    return encoded_docs.select("doc_id", "ids").mapInPandas(read, "doc_id bigint, text string")
+    return map_rows(encoded_docs.select("doc_id", "ids"), read, "doc_id bigint, text string")

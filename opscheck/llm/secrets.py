@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from opscheck.llm.common import TOKENIZERS, texts
+from opscheck.llm.common import TOKENIZERS, map_rows, texts
 
 # The patterns and shortest lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -107,8 +107,8 @@ def secret_spans(docs: DataFrame, p: SecretParameters = SecretParameters()) -> D
             yield pd.DataFrame({"doc_id": batch["doc_id"], **counts, "base_spans": [joined(b) for b in base],
                                 "spans": [joined(b + m) for b, m in zip(base, more, strict=True)]})
 
-    return texts(docs).mapInPandas(scanned, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
-                                            "n_random bigint, base_spans string, spans string")
+    return map_rows(texts(docs), scanned, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
+                                          "n_random bigint, base_spans string, spans string")
 
 
 def base_digest(spans: str) -> str:

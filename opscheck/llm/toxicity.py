@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opscheck.llm.common import texts
+from opscheck.llm.common import map_rows, texts
 
 _WORD = re.compile(r"\w+")
 _MEMO = 400_000
@@ -196,5 +196,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame,
             yield batch.assign(score=score_texts(model.value, batch["text"], memo))
 
     rows = texts(docs).withColumn("held_out", held_out())
-    scores = rows.mapInPandas(scored, "doc_id bigint, text string, held_out boolean, score double")
+    scores = map_rows(rows, scored, "doc_id bigint, text string, held_out boolean, score double")
     return scores.withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
