@@ -40,15 +40,15 @@ _ANCHOR_BYTES = 6
 _ANCHORS = np.uint64((1 << 48) - 1)
 _PIECE = 64  # windows of a run at most; a periodic text would else be one long run
 _BUFFER = 1 << 20
-_SLICE = 600_000
+_SLICE = 300_000
 
 
 @dataclass(frozen=True)
 class RepeatParameters:
     length: int = 50
     gram: int = 20
-    batch_bytes: int = 16 << 20
-    bucket_bytes: int = 24 << 20
+    batch_bytes: int = 4 << 20
+    bucket_bytes: int = 4 << 20
 
 
 class Hashes:
@@ -58,12 +58,16 @@ class Hashes:
     _inverse = pow(_BASE, -1, 1 << 64)
 
     def __init__(self, buffer: np.ndarray):
-        powers = np.full(len(buffer) + 1, _BASE, np.uint64)
-        inverse = np.full(len(buffer) + 1, self._inverse, np.uint64)
-        powers[0] = inverse[0] = 1
-        self.inverse = np.cumprod(inverse, dtype=np.uint64)
-        self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(self._table[buffer] * np.cumprod(powers, dtype=np.uint64)[:-1], dtype=np.uint64, out=self.sums[1:])
+        n = len(buffer)
+        self.inverse = np.full(n + 1, self._inverse, np.uint64)
+        self.inverse[0] = 1
+        np.cumprod(self.inverse, out=self.inverse)
+        powers = np.full(n, _BASE, np.uint64)
+        powers[:1] = 1
+        np.cumprod(powers, out=powers)
+        powers *= self._table[buffer]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(powers, out=self.sums[1:])
 
     def of(self, starts, lengths) -> np.ndarray:
         return (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
