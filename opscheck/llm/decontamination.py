@@ -20,12 +20,12 @@ hits; further columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,33 +57,31 @@ class _Templates:
     """Template tokens of texts; a token's kinds are kept in a memo."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, bool]] = {}
+        self.memo: dict[str, int] = {}
 
-    def _kind(self, token: str) -> tuple[int, int, bool]:
-        """Hash of the template token, its kind, and whether it is a name inside a sentence."""
+    def _code(self, token: str) -> int:
+        """Hash of the template token, above four bits: its kind and whether it begins with a capital."""
         lowered = token.lower()
         kind = (_END if token in ".!?\n" else _NUMBER if token[0].isdigit() else _UNIT if lowered in UNITS else _WORD)
         value = lowered if kind == _WORD else f"<{kind}>"
-        return int.from_bytes(zlib.crc32(value.encode()).to_bytes(4, "big") + zlib.adler32(value.encode()).to_bytes(4, "big"), "big"), \
-            kind, kind == _WORD and token[0].isupper()
+        return xxhash.xxh64_intdigest(value) >> 4 << 4 | (kind == _WORD and token[0].isupper()) << 3 | kind
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens without sentence ends, their template hashes and kinds."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens; places of those that are no sentence ends, their template hashes and kinds."""
         tokens, memo = _TOKEN.findall(text), self.memo
         if len(memo) > _MEMO:
             memo.clear()
         for t in set(tokens):
             if t not in memo:
-                memo[t] = self._kind(t)
-        rows = [memo[t] for t in tokens]
-        hashes = np.fromiter((r[0] for r in rows), np.uint64, len(rows))
-        kinds = np.fromiter((r[1] for r in rows), np.int8, len(rows))
-        capital = np.fromiter((r[2] for r in rows), bool, len(rows))
-        initial = np.concatenate(([True], kinds[:-1] == _END))[:len(rows)]
-        named = capital & ~initial
-        kinds[named], hashes[named] = _NAME, zlib.crc32(b"<name>")
+                memo[t] = self._code(t)
+        codes = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+        kinds = (codes & np.uint64(7)).astype(np.int8)
+        initial = np.concatenate(([True], kinds[:-1] == _END))[:len(kinds)]
+        named = (codes & np.uint64(8) != 0) & ~initial
+        hashes = codes >> np.uint64(4)
+        kinds[named], hashes[named] = _NAME, _NAME
         kept = np.flatnonzero(kinds != _END)
-        return [tokens[i] for i in kept], hashes[kept], kinds[kept]
+        return tokens, kept, hashes[kept], kinds[kept]
 
 
 def _window_hashes(hashes: np.ndarray, kinds: np.ndarray, size: int, p: DecontaminationParameters) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +98,7 @@ def _window_hashes(hashes: np.ndarray, kinds: np.ndarray, size: int, p: Decontam
     return starts, mixed[starts]
 
 
-def _rows(tokens, hashes, kinds, sizes, p, bits=None) -> Iterator[tuple[int, int, int, list]]:
+def _rows(tokens, kept, hashes, kinds, sizes, p, bits=None) -> Iterator[tuple[int, int, int, list]]:
     for size in sizes:
         starts, mixed = _window_hashes(hashes, kinds, size, p)
         if bits is not None:
@@ -108,7 +106,7 @@ def _rows(tokens, hashes, kinds, sizes, p, bits=None) -> Iterator[tuple[int, int
             through = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             starts, mixed = starts[through], mixed[through]
         for s, h in zip(starts.tolist(), mixed.astype(np.int64).tolist(), strict=True):
-            slots = [[k, TYPES[int(kinds[s + k])], tokens[s + k].lower()] for k in range(size) if kinds[s + k] != _WORD]
+            slots = [[k, TYPES[int(kinds[s + k])], tokens[kept[s + k]].lower()] for k in range(size) if kinds[s + k] != _WORD]
             yield h, s, size, slots
 
 
@@ -122,8 +120,8 @@ def benchmark_windows(benchmark: DataFrame, p: DecontaminationParameters) -> Dat
         for batch in batches:
             out = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
-                tokens, hashes, kinds = templates.of(text)
-                rows = list(_rows(tokens, hashes, kinds, [min(p.window, len(tokens))] if tokens else [], p))
+                tokens, kept, hashes, kinds = templates.of(text)
+                rows = list(_rows(tokens, kept, hashes, kinds, [min(p.window, len(kept))] if len(kept) else [], p))
                 out += [(item, h, s, size, slots, len(rows)) for h, s, size, slots in rows]
             yield pd.DataFrame(out, columns=["item_id", "hash", "item_at", "size", "item_slots", "item_windows"])
 

@@ -55,26 +55,29 @@ class Hashes:
     """Prefix polynomial hashes of a buffer; the hash of any stretch takes two look-ups."""
 
     _table = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    _inverse = pow(_BASE, -1, 1 << 64)
+    _powers = _inverses = np.empty(0, np.uint64)  # grown to the longest buffer of the process
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
-        self.inverse = np.full(n + 1, self._inverse, np.uint64)
-        self.inverse[0] = 1
-        np.cumprod(self.inverse, out=self.inverse)
-        powers = np.full(n, _BASE, np.uint64)
-        powers[:1] = 1
-        np.cumprod(powers, out=powers)
-        powers *= self._table[buffer]
+        if len(Hashes._powers) <= n:
+            Hashes._powers, Hashes._inverses = self._grown(_BASE, n + 1), self._grown(pow(_BASE, -1, 1 << 64), n + 1)
+        self.inverse = Hashes._inverses
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(powers, out=self.sums[1:])
+        np.multiply(self._table[buffer], Hashes._powers[:n], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
+
+    @staticmethod
+    def _grown(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, out=out)
 
     def of(self, starts, lengths) -> np.ndarray:
         return (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
 
     def all(self, length: int) -> np.ndarray:
         """Well mixed hashes of every stretch of one length."""
-        value = (self.sums[length:] - self.sums[:-length]) * self.inverse[:-length]
+        value = (self.sums[length:] - self.sums[:-length]) * self.inverse[:len(self.sums) - length]
         value = (value ^ (value >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return value ^ (value >> np.uint64(29))
 
@@ -150,8 +153,10 @@ def _runs_of(contents: list[bytes], p: RepeatParameters) -> _Runs:
 
 def _classes(anchor, digest, windows, doc, buffer, starts, length) -> tuple[np.ndarray, np.ndarray]:
     """Order by anchor, content and document, and for each place the first of its class of equal, verified runs."""
-    order = np.lexsort((doc, digest, windows, anchor))
-    a, d, w = anchor[order], digest[order], windows[order]
+    by_doc = np.arange(len(doc)) if (doc[1:] >= doc[:-1]).all() else np.argsort(doc, kind="stable")
+    content = digest + windows.astype(np.uint64)
+    order = by_doc[np.lexsort((content[by_doc], anchor[by_doc]))]
+    a, d, w = anchor[order], content[order], windows[order]
     first = np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (w[1:] != w[:-1])))[:len(order)]
     head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     tested = np.flatnonzero(~first)
