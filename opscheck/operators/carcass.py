@@ -60,12 +60,15 @@ def lot_details(chain: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def _service_messages(raw: DataFrame, service: str) -> DataFrame:
-    return raw.filter(F.col("ServiceId") == service).select("MessageId", "StatusId", "Data")
+    """Messages of one service; ``_message`` tells them apart by all their columns, since ids may repeat."""
+    content = F.to_json(F.struct("MessageId", "StatusId", F.md5("Data").alias("digest")))
+    return (raw.filter(F.col("ServiceId") == service)
+            .select("MessageId", "StatusId", "Data", F.md5(content).alias("_message")))
 
 
 def message_pairs(subjects: DataFrame, raw: DataFrame, service: str = MESSAGE_SERVICE,
                   mode: str = "substring") -> DataFrame:
-    """Pairs (CarcassId, MessageId) for every message of a service that contains the id.
+    """Distinct pairs (CarcassId, _message) for every message of a service that contains the id.
 
     ``mode`` is 'substring' (literal containment anywhere) or 'token' (whole
     alphanumeric tokens only, cheaper).
@@ -73,7 +76,7 @@ def message_pairs(subjects: DataFrame, raw: DataFrame, service: str = MESSAGE_SE
     if mode not in ("substring", "token"):
         raise ValueError(f"mode {mode!r} is not for a DataFrame of ids")
     match = texts_with_substring if mode == "substring" else texts_with_token
-    return match(subjects, _service_messages(raw, service), "CarcassId", "Data", "MessageId")
+    return match(subjects, _service_messages(raw, service), "CarcassId", "Data", "_message").distinct()
 
 
 def raw_messages(subjects: DataFrame | str, raw: DataFrame, service: str = MESSAGE_SERVICE,
@@ -88,7 +91,7 @@ def raw_messages(subjects: DataFrame | str, raw: DataFrame, service: str = MESSA
     if isinstance(subjects, str):
         hit = F.col("Data").like(f"%{subjects}%") if mode == "like" else F.col("Data").contains(subjects)
         return messages.filter(hit).select(F.lit(subjects).alias("CarcassId"), "MessageId", "StatusId", "Data")
-    return (probe(message_pairs(subjects, raw, service, mode), messages, "MessageId")
+    return (probe(message_pairs(subjects, raw, service, mode), messages, "_message")
             .select("CarcassId", "MessageId", "StatusId", "Data"))
 
 
@@ -102,8 +105,9 @@ def carcass_record(subjects: DataFrame, backtag: DataFrame, hot: DataFrame, epv:
     any number of them.
     """
     subjects = subjects.select("CarcassId").distinct()
-    counts = (message_pairs(subjects, raw, service, mode)
-              .groupBy("CarcassId").agg(F.count("*").alias("n_messages")))
+    copies = _service_messages(raw, service).groupBy("_message").agg(F.count("*").alias("n"))
+    counts = (probe(message_pairs(subjects, raw, service, mode), copies, "_message")
+              .groupBy("CarcassId").agg(F.sum("n").alias("n_messages")))
     wide = epv_record(hot_record(latest_backtag(subjects, backtag), hot), epv)
     wide = (probe(wide, counts, "CarcassId", "left", unique=True)
             .withColumn("n_messages", F.coalesce("n_messages", F.lit(0))))

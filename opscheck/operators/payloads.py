@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from opscheck.fixed_values import (
     DEFAULT_DELIVERY_TIME,
@@ -29,19 +30,17 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("OrderNumber").agg(F.count("*").alias("n_lines"))
 
 
-def _numbered_usual(lines: DataFrame) -> DataFrame:
-    window = Window.partitionBy("OrderNumber").orderBy(*[F.asc_nulls_first(c) for c in ["Seq", *LINE_FIELDS]])
-    return lines.withColumn("LineNo", F.row_number().over(window).cast("bigint"))
-
-
-def _numbered_large(lines: DataFrame, block: int = 10_000) -> DataFrame:
-    """Line numbers inside very long orders, by counting instead of sorting a whole order.
+def number_lines(lines: DataFrame, block: int = 10_000) -> DataFrame:
+    """Add ``LineNo``, the position of each line in its order by Seq and then its other fields.
 
-    A line's number is the count of the order's lines in earlier blocks of
-    ``Seq``, plus those of earlier ``Seq`` in its block, plus those of earlier
-    products at its ``Seq``, plus its position among the rest.  Identical lines
-    are counted once with their number of copies.
+    Every order is numbered by counting, so that no task sorts a whole order. A line's number is the count
+    of the order's lines in earlier blocks of ``Seq``, plus those of earlier ``Seq`` in its block, plus
+    those of earlier products at its ``Seq``, plus its position among the rest.  Identical lines are
+    counted once with their number of copies.  ``Seq`` is a number; blocks of a text would not follow its order.
     """
+    if not isinstance(lines.schema["Seq"].dataType, NumericType):
+        raise ValueError("Seq has to be a number")
+    lines = complete(lines.select("OrderNumber", "Seq", *LINE_FIELDS), "OrderNumber")
     levels = [("_block", ["OrderNumber"]), ("Seq", ["OrderNumber", "_block"]),
               ("ProductCode", ["OrderNumber", "_block", "Seq"])]
     keys = ["OrderNumber", "Seq", *LINE_FIELDS]
@@ -66,25 +65,9 @@ def _numbered_large(lines: DataFrame, block: int = 10_000) -> DataFrame:
             .select(*keys, "LineNo"))
 
 
-def number_lines(lines: DataFrame, min_large: int = 1_000_000, tasks: int = 10_000) -> DataFrame:
-    """Add ``LineNo``, the position of each line in its order by Seq and then its other fields.
-
-    Orders that hold more than one ``tasks``-th of all lines (and more than
-    ``min_large``) are numbered by counting; there are fewer than ``tasks`` of
-    them by arithmetic, which bounds the broadcast list of their numbers.
-    """
-    lines = complete(lines.select("OrderNumber", "Seq", *LINE_FIELDS), "OrderNumber")
-    counts = line_counts(lines)
-    share = counts.agg(F.sum("n_lines")).scalar() / tasks
-    large = F.broadcast(counts.filter(F.col("n_lines") > F.greatest(F.lit(min_large), share))
-                        .select("OrderNumber"))
-    usual = _numbered_usual(lines.join(large, "OrderNumber", "left_anti"))
-    return usual.unionByName(_numbered_large(lines.join(large, "OrderNumber", "left_semi")))
-
-
-def order_detail_lines(lines: DataFrame, **numbering: int) -> DataFrame:
+def order_detail_lines(lines: DataFrame) -> DataFrame:
     """``D`` lines: order number, position as ``001.00``, product, quantity, instructions, minimum sell-by."""
-    numbered = number_lines(lines, **numbering)
+    numbered = number_lines(lines)
     text = delimited(["'D'", "OrderNumber", "format_string('%03d.00', LineNo)", *LINE_FIELDS, "''"],
                      FIELD_DELIMITER)
     return numbered.select("OrderNumber", "LineNo", text.alias("line"))
@@ -92,7 +75,7 @@ def order_detail_lines(lines: DataFrame, **numbering: int) -> DataFrame:
 
 def order_header_lines(orders: DataFrame, lines: DataFrame, third_parties: DataFrame) -> DataFrame:
     """``H`` lines with the vendor's address and the number of detail lines; absent fields keep their position."""
-    counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left", unique=True)
+    counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left")
     text = delimited([
         "'H'", "OrderNumber", "coalesce(n_lines, 0)", "ThirdPartyId", *VENDOR_FIELDS,
         "ReferenceOrder", f"coalesce(Priority, '{DEFAULT_PRIORITY}')", "OrderType", "Instructions",
@@ -111,15 +94,14 @@ def _json_items(texts: Column) -> Column:
 
 
 def order_payloads(orders: DataFrame, lines: DataFrame, third_parties: DataFrame,
-                   part_lines: int = 10_000, **numbering: int) -> DataFrame:
+                   part_lines: int = 10_000) -> DataFrame:
     """The JSON text ``{FileName, FileLines: [H, D ...], ExtraInfo: null}`` of every order with lines.
 
-    An order of up to ``part_lines`` lines is one row.  A longer one comes in
-    ``n_parts`` rows whose texts, joined by ``part``, are the same JSON text, so
-    that no task has to hold a whole order of any length.
+    Every order comes in ``n_parts`` rows of up to ``part_lines`` lines whose texts, joined by ``part``, are the
+    JSON text, so that no task has to hold a whole order of any length.
     """
     headers = order_header_lines(orders, lines, third_parties)
-    details = order_detail_lines(lines, **numbering).withColumn("part", F.floor((F.col("LineNo") - 1) / part_lines))
+    details = order_detail_lines(lines).withColumn("part", F.floor((F.col("LineNo") - 1) / part_lines))
     bodies = (details.groupBy("OrderNumber", "part")
               .agg(F.sort_array(F.collect_list(F.struct("LineNo", "line"))).alias("parts"))
               .select("OrderNumber", "part", _json_items(F.col("parts.line")).alias("body")))
@@ -144,20 +126,22 @@ def validate_orders(orders: DataFrame, lines: DataFrame, third_parties: DataFram
     The order number and a file name with the required prefix (tested before
     trimming) are needed, as is at least one line.  Fields are not escaped in
     a payload, so a delimiter inside one is a reason too; with ``third_parties``
-    the vendor's fields are tested as well.
+    the vendor's fields are tested as well.  Orders without a number are rejected
+    before the joins, which their common key would make one-sided.
     """
+    blank = F.coalesce(clean(F.col("OrderNumber")) == "", F.lit(True))
+    unnumbered = orders.filter(blank).select(*orders.columns, F.lit("order number is required").alias("reject_reason"))
     by_order = lines.groupBy("OrderNumber").agg(
         F.count("*").alias("_lines"), F.bool_or(_has_delimiter(LINE_FIELDS)).alias("_delimiter"))
-    joined = probe(orders, by_order, "OrderNumber", "left", unique=True)
+    joined = probe(orders.filter(~blank), by_order, "OrderNumber", "left", unique=True)
     fields = ["OrderNumber", *HEADER_FIELDS]
     if third_parties is not None:
         joined, fields = vendor_lookup(joined, third_parties), fields + VENDOR_FIELDS
-    reason = (F.when(clean(F.col("OrderNumber")) == "", "order number is required")
-               .when(~F.coalesce(F.startswith("FileName", F.lit(FILE_NAME_PREFIX)), F.lit(False)),
+    reason = (F.when(~F.coalesce(F.startswith("FileName", F.lit(FILE_NAME_PREFIX)), F.lit(False)),
                      f"file name must begin with {FILE_NAME_PREFIX}")
                .when(F.col("_lines").isNull(), "at least one line is required")
                .when(F.coalesce("_delimiter", F.lit(False)) | _has_delimiter(fields), "field contains delimiter"))
-    return joined.select(*orders.columns, reason.alias("reject_reason"))
+    return joined.select(*orders.columns, reason.alias("reject_reason")).unionByName(unnumbered)
 
 
 def _configured(codes: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ _CASES = """
         FROM labels l WHERE l.doc_id IN (SELECT InventoryId FROM stale) GROUP BY l.doc_id
         UNION ALL
         SELECT 2, 'DELETE', 'InventoryCasesQAStatuses', l.doc_id, count(*)
-        FROM labels l WHERE toxic = 0 AND l.doc_id IN (SELECT InventoryId FROM stale) GROUP BY l.doc_id
+        FROM labels l WHERE l.doc_id IN (SELECT InventoryId FROM stale) GROUP BY l.doc_id
         UNION ALL
         SELECT 3, 'UPDATE', 'InventoryCases', InventoryId, count(*) FROM stale GROUP BY InventoryId)
 """
@@ -49,7 +49,7 @@ _REPLENISHMENT = """
                CASE WHEN c.PalletNumber IS NOT NULL THEN 'Pallet is committed to a delivery'
                     ELSE 'Active directed task already exists for pallet' END AS Reason
         FROM stock s
-        JOIN part p ON p.p_partkey = s.ProductId AND p.p_size <= 5
+        JOIN part p ON p.p_partkey = s.ProductId
         LEFT JOIN committed c ON c.PalletNumber = s.PalletNumber
         LEFT JOIN latest t ON t.PalletNumber = s.PalletNumber
         WHERE s.LocationId IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 3, 5, 7))
@@ -82,8 +82,8 @@ _CARCASS = """
         SELECT n_nationkey AS KillGroupId, CAST(nullif(n_regionkey, 4) AS VARCHAR) AS ScheduleGroup,
                n_name AS kg_PurchaseGroup, n_nationkey AS kg_HeadCount FROM nation),
     lots AS (
-        SELECT CAST(r_regionkey AS VARCHAR) AS ScheduleGroup, r_regionkey AS lot_ScheduledHeadCount,
-               CAST(length(r_name) AS INTEGER) AS lot_ReceivedHeadCount FROM region WHERE r_regionkey < 3)
+        SELECT nullif(CAST(r_regionkey AS VARCHAR), '3') AS ScheduleGroup, r_regionkey AS lot_ScheduledHeadCount,
+               CAST(length(r_name) AS INTEGER) AS lot_ReceivedHeadCount FROM region)
 """
 
 _RECORD = _CARCASS + """,
@@ -343,7 +343,7 @@ ORACLES: dict[str, str] = {
     "deleted_allocations": f"WITH {_CASES} SELECT doc_id AS InventoryId, quality AS Quality FROM labels "
                            "WHERE doc_id IN (SELECT InventoryId FROM stale)",
     "remediate_hold_statuses": f"WITH {_CASES} SELECT doc_id AS InventoryId, toxic AS QAStatusCode FROM labels "
-                               "WHERE toxic = 0 AND doc_id NOT IN (SELECT InventoryId FROM stale)",
+                               "WHERE doc_id NOT IN (SELECT InventoryId FROM stale)",
     "remediation_scripts": f"""WITH {_CASES},
         ids AS (
             SELECT step, target_table, action, InventoryId,
@@ -462,7 +462,7 @@ ORACLES: dict[str, str] = {
     "pallet_wont_replenish": f"WITH {_REPLENISHMENT}" + _summary(
         "Pallet Won't Replenish to Location",
         "(SELECT CAST(p_partkey AS VARCHAR) AS subject, CASE WHEN EXISTS (SELECT 1 FROM blocked b "
-        "WHERE b.LocationId = p_partkey) THEN 'issues_found' ELSE 'ok' END AS status FROM part WHERE p_size <= 5)"),
+        "WHERE b.LocationId = p_partkey) THEN 'issues_found' ELSE 'ok' END AS status FROM part)"),
     "duplicate_inventory_findings": f"""WITH {_CASES}
         SELECT 'duplicate_inventory' AS "check", '*' AS subject, CAST(InventoryId AS VARCHAR) AS finding_key,
                1 AS n_rows FROM stale

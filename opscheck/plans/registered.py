@@ -108,7 +108,7 @@ class Roles:
                      StatusId=F.when(F.col("l_returnflag") == "R", 7).otherwise(1))
 
     def pick_faces(self):
-        return adapt(self.table("part").filter("p_size <= 5"), LocationId="p_partkey", ProductId="p_partkey")
+        return adapt(self.table("part"), LocationId="p_partkey", ProductId="p_partkey")
 
     def zoned_locations(self):
         return adapt(self.table("supplier"), LocationId="s_suppkey", ZoneId="s_nationkey")
@@ -140,7 +140,7 @@ class Roles:
         return adapt(self.table("labels"), InventoryId="doc_id", Quality="quality")
 
     def case_holds(self):
-        return adapt(self.table("labels").filter("toxic = 0"), InventoryId="doc_id", QAStatusCode="toxic")
+        return adapt(self.table("labels"), InventoryId="doc_id", QAStatusCode="toxic")
 
     def groups(self):
         return duplicates.duplicate_groups(self.cases(), self.area_locations(), self.areas(), IGNORED_SOURCES)
@@ -175,7 +175,7 @@ class Roles:
                      HeadCount="n_nationkey")
 
     def lots(self):
-        return adapt(self.table("region").filter("r_regionkey < 3"), ScheduleGroup=_text("r_regionkey"),
+        return adapt(self.table("region"), ScheduleGroup=F.nullif(_text("r_regionkey"), F.lit("3")),
                      ScheduledHeadCount="r_regionkey", ReceivedHeadCount=F.length("r_name"))
 
     def raw(self):

@@ -89,20 +89,24 @@ def _ordered(steps: list[dict]) -> list[dict]:
 
 
 class _Views:
-    """Temporary views of one run; they never replace a view of the session."""
+    """Temporary views of one run; views of the session with the same names come back afterwards."""
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._names = spark, []
+        self._spark, self._names, self._hidden = spark, [], {}
 
     def add(self, name: str, df: DataFrame, replace: bool = False) -> None:
-        if name in self._names and replace:
-            self._spark.catalog.dropTempView(name)
-        df.createTempView(name)
+        if name in self._names and not replace:
+            raise ValueError(f"two results are named {name!r}")
+        if name not in self._names and any(t.isTemporary and t.name == name for t in self._spark.catalog.listTables()):
+            self._hidden[name] = self._spark.table(name)
+        df.createOrReplaceTempView(name)
         self._names.append(name)
 
     def drop_all(self) -> None:
         for name in self._names:
             self._spark.catalog.dropTempView(name)
+        for name, df in self._hidden.items():
+            df.createOrReplaceTempView(name)
 
 
 def _taken(source: DataFrame, key: str, target: str) -> DataFrame:
@@ -115,16 +119,27 @@ def _taken(source: DataFrame, key: str, target: str) -> DataFrame:
 
 def _run_step(spark: SparkSession, step: dict, args: Mapping, results: dict[str, DataFrame],
               views: _Views) -> DataFrame:
+    blocks = step.get("sql_blocks")
+    if not blocks or not all((b.get("sql") or "").strip() for b in blocks):
+        raise ValueError("a step needs SQL in every block")
     bound = {p["name"]: args.get(p["name"], p.get("default", "")) for p in step.get("parameters", [])}
     for take in step.get("takes", []):
         target = _view_name(take["target_param"])
         views.add(target, _taken(results[take["source_query_id"]], take["extracted_key"], target), replace=True)
-    blocks = step["sql_blocks"]
     for name, block in zip(_created(step), blocks[:-1]):
         views.add(name, spark.sql(block["sql"], args=bound))
     return spark.sql(blocks[-1]["sql"], args=bound)
 
 
+def suite_problems(suite: Mapping) -> list[str]:
+    """What a suite lacks: title, environment, business unit, queries, or SQL in each of them."""
+    problems = [f"a suite needs {name}" for name, key in (
+        ("a title", "title"), ("an environment", "environments"), ("a business unit", "business_units"),
+        ("at least one query", "queries")) if not suite.get(key)]
+    return problems + [f"query {q.get('id')!r} needs SQL in every block" for q in suite.get("queries") or []
+                       if not q.get("sql_blocks") or not all((b.get("sql") or "").strip() for b in q["sql_blocks"])]
+
+
 def run_suite(spark: SparkSession, suite: dict, args: Mapping | None = None,
               results_path: str | None = None) -> SuiteResult:
     """Run a suite and return its findings, statuses and summary.
@@ -161,7 +176,9 @@ def run_suite(spark: SparkSession, suite: dict, args: Mapping | None = None,
     titles = {s["id"]: s.get("title", s["id"]) for s in suite.get("queries", [])}
     found = _suite_findings(spark, results)
     statuses = _suite_statuses(spark, found, list(results), failed)
-    labelled = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[F.col("check")]
+    labelled = F.col("check")
+    if titles:
+        labelled = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[F.col("check")]
     tags = {
         "environments": tuple(suite.get("environments", [])),
         "business_units": tuple(suite.get("business_units", [])),

@@ -9,8 +9,10 @@ def shared(df: DataFrame) -> DataFrame:
     """A result that several outputs read, computed once where a checkpoint folder is configured.
 
     The folder is the cluster's shared one (``spark.checkpoint.dir``), so the
-    result outlives lost executors.  Without a folder the plan stays lazy.
+    result outlives lost executors.  Without a folder nothing could be shared, which is an error.
     """
     spark = df.sparkSession
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return df.checkpoint() if configured else df
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to reuse an intermediate result")
+    return df.checkpoint()

@@ -18,11 +18,8 @@ def write_lines(findings: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def write_order_payloads(payloads: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Order payloads: ``whole`` holds one JSON text per line, ``parts`` the pieces of very long orders.
+    """Order payloads as Parquet rows; an order's parts, joined by ``part``, are its JSON text.
 
-    Parts are kept as rows with their position, since a text file has no order
-    across tasks; joined by ``part`` they give the same JSON text.
+    All orders are written alike and in one job, whatever their length.
     """
-    single = F.col("n_parts") == 1
-    payloads.filter(single).select(F.col("payload").alias("value")).write.mode(mode).text(f"{path}/whole")
-    payloads.filter(~single).write.mode(mode).parquet(f"{path}/parts")
+    payloads.write.mode(mode).parquet(path)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
                .config("spark.default.parallelism", "2")
                .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoints-"))
                .config("spark.driver.memory", "4g")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -89,3 +89,10 @@ def test_substring_match_equals_brute_force(spark, monkeypatch):
     found = texts_with_substring(keys(spark, "id", *ids), spark.createDataFrame(texts, "n INT, text STRING"),
                                  "id", "text", "n")
     assert rows(found, "id", "n") == sorted(((i, n) for i in ids for n, t in texts if i in t), key=repr)
+
+
+def test_messages_with_one_id_stay_apart(spark):
+    raw = make(spark, "raw_interface", (1, 0, "EPVService", "has ab"), (1, 0, "EPVService", "none"), (2, 0, "EPVService", "ab"),
+               (2, 0, "EPVService", "ab"))
+    every = rows(carcass.raw_messages(keys(spark, "CarcassId", "ab"), raw), "CarcassId", "MessageId", "Data")
+    assert every == rows(carcass.raw_messages("ab", raw), "CarcassId", "MessageId", "Data") and len(every) == 3

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from opscheck.fixed_values import SHIPPING_POINT_FIELD, WAREHOUSE_CODE_FIELD, WAREHOUSE_CODES_SETTING
 from opscheck.operators import payloads
@@ -80,10 +82,13 @@ def test_large_orders_are_numbered_alike(spark):
                CAST(NULL AS STRING) AS Instructions, CAST(id % 2 AS STRING) AS MinSellBy
         FROM range(3000) UNION ALL
         SELECT '1', 3, 'copy', '1', NULL, NULL FROM range(25000)""")
-    usual = payloads._numbered_usual(lines)
-    large = payloads.number_lines(lines, min_large=0, tasks=1000)
-    assert rows(usual.exceptAll(large.select(*usual.columns))) == []
-    assert usual.count() == large.count() == 28000
+    order = Window.partitionBy("OrderNumber").orderBy(*[F.asc_nulls_first(c) for c in ["Seq", *payloads.LINE_FIELDS]])
+    sorted_ = lines.withColumn("LineNo", F.row_number().over(order).cast("bigint"))
+    counted = payloads.number_lines(lines, block=20)
+    assert rows(sorted_.exceptAll(counted.select(*sorted_.columns))) == []
+    assert sorted_.count() == counted.count() == 28000
+    with pytest.raises(ValueError, match="Seq"):
+        payloads.number_lines(lines.withColumn("Seq", F.col("Seq").cast("string")))
 
 
 def test_validation_order_and_reasons(orders, lines):
@@ -109,9 +114,21 @@ def test_order_files_split_valid_and_rejected(spark, orders, lines, vendors, tmp
 
     free = scenarios.order_files(orders, lines, vendors, part_lines=5)
     write_order_payloads(free.payloads, str(tmp_path / "out"))
-    written = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out" / "whole")).collect()]
-    assert [w["FileLines"][1] for w in written] == ['D|5|001.00|P|1|say "hi"||']
-    assert spark.read.parquet(str(tmp_path / "out" / "parts")).count() == 3
+    texts = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("part").collect():
+        texts[r["OrderNumber"]] = texts.get(r["OrderNumber"], "") + r["payload"]
+    written = {k: json.loads(v)["FileLines"] for k, v in texts.items()}
+    assert written["5"][1] == 'D|5|001.00|P|1|say "hi"||' and len(written["1"]) == 13
+
+
+def test_orders_without_a_number_are_spread(spark, lines):
+    numbers = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN ' ' ELSE CAST(id AS STRING) END AS OrderNumber")
+    orders = numbers.select("OrderNumber", F.lit("SO").alias("FileName"), *[F.lit(None).cast("string").alias(c) for c in payloads.HEADER_FIELDS])
+    checked = payloads.validate_orders(orders, lines)
+    assert checked.count() == 4000
+    assert checked.filter("reject_reason = 'order number is required'").count() == 2000
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
 
 
 @pytest.mark.parametrize("value, status, codes", [

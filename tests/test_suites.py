@@ -92,3 +92,18 @@ def test_suite_file_repeats_a_built_in_check(spark, tmp_path):
     built_in = missing_trailer(spark.read.parquet(str(tmp_path / "stops")),
                                spark.read.parquet(str(tmp_path / "shipments")), ["D1"])
     assert rows(result.findings.filter("check = 'trailers'"), "finding_key") == rows(built_in, "ShipmentNumber")
+
+
+def test_bad_suites_are_reported(spark):
+    from opscheck.plans.suites import run_suite, suite_problems
+
+    assert len(suite_problems({})) == 4
+    empty = run_suite(spark, {})
+    assert empty.statuses.count() == 0 and empty.findings.count() == 0
+    spark.range(3).createOrReplaceTempView("taken_name")
+    suite = {"title": "t", "queries": [{"id": "no_sql"}, {"id": "no_block", "sql_blocks": []},
+                                       {"id": "taken_name", "sql_blocks": [{"sql": "SELECT 1 AS one"}]}]}
+    statuses = {r["check"]: r["status"] for r in run_suite(spark, suite).statuses.collect()}
+    assert (statuses["no_sql"], statuses["no_block"]) == ("error", "error") and statuses["taken_name"] != "error"
+    assert spark.table("taken_name").count() == 3
+    spark.catalog.dropTempView("taken_name")
