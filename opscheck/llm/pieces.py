@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,15 +49,19 @@ class PieceCodec:
                                                 or model.is_unused(i))]
         self.scores = {model.id_to_piece(i): (model.get_score(i), i) for i in usual}
         self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(size) if model.is_byte(i)}
-        self.prefixes: dict[str, float | None] = {p[:n]: None for p in self.scores for n in range(1, len(p))}
-        self.prefixes |= {p: score for p, (score, _) in self.scores.items()}
+        self.trie: dict[str, tuple] = {}  # by character: the score of the piece that ends there, if any, and the children
+        for piece, (score, _) in sorted(self.scores.items(), key=lambda x: len(x[0])):  # shorter pieces first
+            children = self.trie
+            for character in piece[:-1]:
+                children = children.setdefault(character, (None, {}))[1]
+            children[piece[-1]] = (score, children.get(piece[-1], (None, {}))[1])
         self.longest = max(map(len, self.scores))
         self.unknown = min(s for s, _ in self.scores.values()) - 10.0
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.scores.items()}
         self.bytes_of |= {i: bytes([b]) for b, i in self.byte_ids.items()}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
         self.words = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, piece: str) -> list[int]:
         if piece in self.scores:
@@ -65,27 +70,29 @@ class PieceCodec:
 
     def viterbi(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in order, a list for each committed stretch."""
-        start, best, back, length = 0, [0.0], [0], len(text)  # best and back: of the boundaries from ``start`` on
-        known_of, unreached = self.prefixes.get, -np.inf
+        length, longest, unreached, root = len(text), self.longest, -np.inf, self.trie
+        start, nothing = 0, (None, {})  # best and back: of the boundaries from ``start`` on
+        best, back = [0.0] + [unreached] * min(length, 2 * longest), [0] * (min(length, 2 * longest) + 1)
         for begin in range(length):
-            at = begin - start
-            if (here := best[at]) == unreached:
-                continue
-            for end in range(begin + 1, min(length, begin + self.longest) + 1):
-                score = known_of(text[begin:end], 0.5)  # 0.5: no piece begins so
-                if score == 0.5 or score is None:
-                    if end == begin + 1 and text[begin:end] not in self.scores:
-                        score = self.unknown
-                    elif score == 0.5:
-                        break
-                    else:
-                        continue
-                while len(best) <= end - start:
-                    best.append(unreached)
-                    back.append(0)
-                if here + score > best[end - start]:
-                    best[end - start], back[end - start] = here + score, begin
-            if (at + 1) % self.longest == 0 or begin == length - 1:
+            at = end = begin - start
+            if at + longest >= len(best) and len(best) <= length - start:
+                best += [unreached] * longest
+                back += [0] * longest
+            here = best[at]  # reached: every boundary is, from the one before it at the latest
+            score, children = root.get(text[begin], nothing)
+            if score is None:
+                score = self.unknown
+            end += 1
+            if here + score > best[end]:
+                best[end], back[end] = here + score, begin
+            for character in text[begin + 1:begin + longest]:
+                if (node := children.get(character)) is None:
+                    break
+                score, children = node
+                end += 1
+                if score is not None and here + score > best[end]:
+                    best[end], back[end] = here + score, begin
+            if (at + 1) % longest == 0 or begin == length - 1:
                 boundary = length if begin == length - 1 else self._meeting(
                     back, start, [start + k for k in range(at + 1, len(best)) if best[k] > unreached])
                 if boundary > start:
@@ -118,7 +125,7 @@ class PieceCodec:
         for word in self.words.findall(marked):
             known = self.memo.get(word)
             if known is None:
-                known = [i for part in self.viterbi(word) for i in part]
+                known = tuple(i for part in self.viterbi(word) for i in part)
                 if len(word) <= _MEMO_WORD:
                     if len(self.memo) >= _MEMO:
                         self.memo.clear()
@@ -130,13 +137,19 @@ class PieceCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
 
+@lru_cache(maxsize=2)
+def _codec(content: bytes) -> PieceCodec:
+    """The codec of a Python worker; the tasks it runs one after the other share the memo."""
+    return PieceCodec(content)
+
+
 def encoded(docs: DataFrame, p: PieceParameters = PieceParameters()) -> DataFrame:
     """``ids`` of every text, their number, and ``exact``: whether decoding them gives the text again."""
     with open(p.model, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())  # a model file, under 1 MB
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = PieceCodec(content.value)
+        codec = _codec(content.value)
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low:low + 1000]
@@ -155,7 +168,7 @@ def decoded(encoded_docs: DataFrame, p: PieceParameters = PieceParameters()) ->
         content = encoded_docs.sparkSession.sparkContext.broadcast(file.read())  # a model file, under 1 MB
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = PieceCodec(content.value)
+        codec = _codec(content.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"],
                                 "text": ["" if i is None else codec.decode(i) for i in batch["ids"]]})
