@@ -30,6 +30,7 @@ from opscheck.llm.common import map_rows, texts
 
 _WORD = re.compile(r"\w+")
 _MEMO = 400_000
+_BLOCK_WORDS, _BLOCK_TOKENS = 20_000, 250_000
 
 
 @dataclass(frozen=True)
@@ -88,27 +89,70 @@ def _bags(words: np.ndarray, window: int) -> np.ndarray:
     return (sums[window:] - sums[:-window]) / window
 
 
+def _sliced(values: list, sizes: np.ndarray, limit: int) -> list[list]:
+    """Consecutive parts of ``values`` whose sizes sum up to about ``limit``."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // limit)) + 1
+    return [values[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)]
+
+
+class _WordBlock:
+    """Subwords of some words. Work by blocks bounds what the driver holds beside the indices."""
+
+    def __init__(self, words: list[str], p: ToxicityParameters):
+        buckets, self.sizes = subwords(words, p)
+        self.flat = buckets.astype(np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def values(self, direction: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(direction[self.flat], self.starts) / self.sizes
+
+    def gradient(self, pull: np.ndarray, buckets: int) -> np.ndarray:
+        return np.bincount(self.flat, np.repeat(pull / self.sizes, self.sizes), buckets)
+
+
+class _TextBlock:
+    """The words of some texts, one after the other."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.tokens = np.concatenate(docs)
+        self.lengths = np.array([len(d) for d in docs])
+        self.first = np.cumsum(self.lengths) - self.lengths
+
+    def means(self, by_word: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(by_word[self.tokens], self.first) / self.lengths
+
+    def spread(self, error: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.tokens, np.repeat(error / self.lengths, self.lengths), size)
+
+    def highest_bags(self, by_word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Value of every text's highest bag, and the words of its first such bag."""
+        sums = np.concatenate(([0.0], np.cumsum(by_word[self.tokens])))
+        value = (sums[window:] - sums[:-window]) / window
+        ends = np.column_stack((self.first, self.first + self.lengths - window + 1)).ravel()[:-1]
+        best = np.maximum.reduceat(value, ends)[::2]
+        # a bag that runs on into the next text comes after all of its own text's bags
+        owner = np.repeat(np.arange(len(best)), self.lengths)[:len(value)]
+        hits = np.flatnonzero(value == best[owner])
+        _, once = np.unique(owner[hits], return_index=True)
+        return best, self.tokens[hits[once][:, None] + np.arange(window)]
+
+
 def fit(rows: list[tuple[str, int]], p: ToxicityParameters = ToxicityParameters()) -> ToxicityModel:
     """Train on (text, label) rows: first on the average over each text, then on each text's highest bag."""
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int64)
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int32)
             for text, _ in rows]
     labels = np.array([label for (_, label), d in zip(rows, docs, strict=True) if len(d)], dtype=float)
     docs = [d for d in docs if len(d)]
     if not len(docs):
         return ToxicityModel(np.zeros(p.buckets), 0.0, p)
-    flat, sizes = subwords(list(vocabulary), p)
-    starts, owner = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(sizes)), sizes)
-
+    words = [_WordBlock(block, p) for block in _sliced(list(vocabulary), np.ones(len(vocabulary)), _BLOCK_WORDS)]
+    n_words = len(vocabulary)
+    del vocabulary
     # a text shorter than the window is padded with a word of value zero
-    padded = [d if len(d) >= p.window else np.concatenate((d, np.full(p.window - len(d), len(sizes)))) for d in docs]
-    tokens = np.concatenate(padded)
-    lengths = np.array([len(d) for d in padded])
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    starts_of_bags = np.concatenate([np.arange(f, f + n - p.window + 1) for f, n in zip(first, lengths, strict=True)])
-    bags = lengths - p.window + 1
-    first_bag = np.concatenate(([0], np.cumsum(bags)[:-1]))
-    doc_of_bag = np.repeat(np.arange(len(docs)), bags)
+    docs = [d if len(d) >= p.window else np.concatenate((d, np.full(p.window - len(d), n_words, np.int32))) for d in docs]
+    blocks = [_TextBlock(block) for block in _sliced(docs, np.array([len(d) for d in docs]), _BLOCK_TOKENS)]
+    del docs
 
     random = np.random.default_rng(p.seed)
     embeddings = random.normal(0, 0.1, (p.buckets, p.dims))
@@ -123,25 +167,26 @@ def fit(rows: list[tuple[str, int]], p: ToxicityParameters = ToxicityParameters(
             np.sqrt(state[k + 1] / (1 - 0.99 ** step)) + 1e-8)
 
     for step in range(1, p.average_epochs + p.window_epochs + 1):
-        by_word = np.append(np.add.reduceat((embeddings @ softmax)[flat], starts) / sizes, 0.0)
-        sums = np.concatenate(([0.0], np.cumsum(by_word[tokens])))
+        direction = embeddings @ softmax
+        by_word = np.concatenate([*[w.values(direction) for w in words], [0.0]])
         if step <= p.average_epochs:
-            logits = np.add.reduceat(by_word[tokens], first) / lengths * 10
+            logits = np.concatenate([t.means(by_word) for t in blocks]) * 10
             error = (1 / (1 + np.exp(-(logits + bias))) - labels) / len(labels)
-            by_token = np.repeat(error / lengths * 10, lengths)
-            pull = np.bincount(tokens, by_token, len(sizes) + 1)[:-1]
+            pull, low = np.zeros(n_words + 1), 0
+            for t in blocks:
+                pull += t.spread(error[low:low + len(t.first)] * 10, n_words + 1)
+                low += len(t.first)
         else:
-            value = (sums[starts_of_bags + p.window] - sums[starts_of_bags]) / p.window
-            best = np.maximum.reduceat(value, first_bag)
-            at_best = np.flatnonzero(value == best[doc_of_bag])
-            _, once = np.unique(doc_of_bag[at_best], return_index=True)
-            chosen = starts_of_bags[at_best[once]]
+            tops = [t.highest_bags(by_word, p.window) for t in blocks]
+            best, chosen = np.concatenate([x for x, _ in tops]), np.concatenate([x for _, x in tops])
             error = (1 / (1 + np.exp(-(best + bias))) - labels) / len(labels)
-            pull = np.zeros(len(sizes) + 1)
+            pull = np.zeros(n_words + 1)
             for k in range(p.window):
-                pull += np.bincount(tokens[chosen + k], error / p.window, len(sizes) + 1)
-            pull = pull[:-1]
-        by_bucket = np.bincount(flat, (pull / sizes)[owner], p.buckets)
+                pull += np.bincount(chosen[:, k], error / p.window, n_words + 1)
+        by_bucket, low = np.zeros(p.buckets), 0
+        for w in words:
+            by_bucket += w.gradient(pull[low:low + len(w.sizes)], p.buckets)
+            low += len(w.sizes)
         towards = by_bucket[:, None] * softmax + p.decay * embeddings
         softmax_towards = by_bucket @ embeddings + p.decay * softmax
         embeddings = adam(embeddings, towards, 0, step)
