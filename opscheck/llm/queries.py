@@ -9,7 +9,9 @@ from opscheck.llm.common import table
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
 from opscheck.llm.line_dedup import line_decisions
+from opscheck.llm.merkle import manifest, tampered
 from opscheck.llm.near_duplicates import near_duplicates
+from opscheck.llm.oracles import ORACLES as _ORACLES
 from opscheck.llm.pieces import encoded
 from opscheck.llm.repeats import repeated_spans
 from opscheck.llm.secrets import secret_spans
@@ -83,6 +85,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and whether it still holds for the tampered ones."""
+    found = manifest(table(spark, sf_dir, "documents"), tampered(), siblings=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_near_duplicates": near_duplicate_classes,
@@ -94,6 +102,6 @@ QUERIES = {
     "op8_fuzzy_lines": fuzzy_lines,
     "op9_licenses": license_scan,
     "op10_toxicity": toxicity,
+    "op13_merkle_manifest": merkle_manifest,
 }
-#: No operator here can be written as SQL; tests/llm compares each with brute force instead.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(_ORACLES)
