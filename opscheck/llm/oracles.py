@@ -86,4 +86,34 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, {folded} AS folded_root, {fold
 """
 
 
-ORACLES = {"op13_merkle_manifest": merkle()}
+#: Products may pass 64 bits.
+COLLOCATIONS = """
+WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents),
+    lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+    runs AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+        FROM lists, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL),
+    totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+    cuts AS (
+        SELECT lang, k, phrase, a, i, array_to_string(ws[1:i], ' ') AS p1, array_to_string(ws[i + 1:], ' ') AS p2
+        FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+    scored AS (
+        SELECT cuts.lang, cuts.phrase, cuts.k, cuts.a, cuts.i, l.a AS l, r.a AS r, n,
+               (1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a) AS score
+        FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = p1 AND l.k = i
+        JOIN f r ON r.lang = cuts.lang AND r.phrase = p2 AND r.k = cuts.k - i JOIN totals ON totals.lang = cuts.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+    kept AS (
+        SELECT * FROM best b WHERE NOT EXISTS (
+            SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 100 * b.a
+            AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op13_merkle_manifest": merkle()}

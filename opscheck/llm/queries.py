@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opscheck.llm.collocations import collocations
 from opscheck.llm.common import table
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
@@ -15,9 +18,11 @@ from opscheck.llm.oracles import ORACLES as _ORACLES
 from opscheck.llm.pieces import encoded
 from opscheck.llm.repeats import repeated_spans
 from opscheck.llm.secrets import secret_spans
+from opscheck.llm.token_files import token_checksums, write_token_files
 from opscheck.llm.toxicity import toxicity_scores
 from opscheck.llm.url_filter import judged_urls
 from opscheck.llm.vector_search import nearest
+from opscheck.session import checkpoint_folder
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +90,18 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, number and checksum of every document's ids, read back from the files that were written."""
+    path = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_checksums(spark, path)
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language by the score of their loosest cut."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document, and whether it still holds for the tampered ones."""
     found = manifest(table(spark, sf_dir, "documents"), tampered(), siblings=False)
@@ -102,6 +119,8 @@ QUERIES = {
     "op8_fuzzy_lines": fuzzy_lines,
     "op9_licenses": license_scan,
     "op10_toxicity": toxicity,
+    "op11_token_files": token_files,
+    "op12_collocations": phrase_collocations,
     "op13_merkle_manifest": merkle_manifest,
 }
 ORACLES: dict[str, str] = dict(_ORACLES)
