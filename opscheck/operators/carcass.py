@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opscheck.fixed_values import MESSAGE_SERVICE
-from opscheck.operators.containment import texts_with_substring, texts_with_token
+from opscheck.operators.containment import texts_like, texts_with_substring, texts_with_token
 from opscheck.operators.keyed import first_per_key, probe
 
 BACKTAG_FIELDS = ["KillDate", "KillGroupId", "PurchaseGroup", "CpsTransferStatus", "Eid"]
@@ -70,26 +70,27 @@ def message_pairs(subjects: DataFrame, raw: DataFrame, service: str = MESSAGE_SE
                   mode: str = "substring") -> DataFrame:
     """Distinct pairs (CarcassId, _message) for every message of a service that contains the id.
 
-    ``mode`` is 'substring' (literal containment anywhere) or 'token' (whole
-    alphanumeric tokens only, cheaper).
+    ``mode`` is 'substring' (literal containment anywhere), 'like' (``%`` and ``_`` in an id are
+    wildcards) or 'token' (whole alphanumeric tokens only, cheaper).
     """
-    if mode not in ("substring", "token"):
-        raise ValueError(f"mode {mode!r} is not for a DataFrame of ids")
-    match = texts_with_substring if mode == "substring" else texts_with_token
-    return match(subjects, _service_messages(raw, service), "CarcassId", "Data", "_message").distinct()
+    matches = {"substring": texts_with_substring, "like": texts_like, "token": texts_with_token}
+    if mode not in matches:
+        raise ValueError(f"mode {mode!r} is none of {sorted(matches)}")
+    return matches[mode](subjects, _service_messages(raw, service), "CarcassId", "Data", "_message").distinct()
 
 
 def raw_messages(subjects: DataFrame | str, raw: DataFrame, service: str = MESSAGE_SERVICE,
                  mode: str = "substring") -> DataFrame:
     """Messages of one service whose payload contains the subject's id.
 
-    A single id given as text becomes a filter of the scan; ``mode='like'`` then
-    reads ``%`` and ``_`` in it as wildcards.  For a DataFrame of ids see
+    A single id given as text becomes a filter of the scan.  With ``mode='like'``
+    ``%`` and ``_`` in an id are wildcards.  For a DataFrame of ids see
     :func:`message_pairs`.
     """
     messages = _service_messages(raw, service)
     if isinstance(subjects, str):
-        hit = F.col("Data").like(f"%{subjects}%") if mode == "like" else F.col("Data").contains(subjects)
+        pattern = "%" + subjects.replace("\\", "\\\\") + "%"
+        hit = F.col("Data").like(pattern) if mode == "like" else F.col("Data").contains(subjects)
         return messages.filter(hit).select(F.lit(subjects).alias("CarcassId"), "MessageId", "StatusId", "Data")
     return (probe(message_pairs(subjects, raw, service, mode), messages, "_message")
             .select("CarcassId", "MessageId", "StatusId", "Data"))

@@ -399,6 +399,12 @@ ORACLES: dict[str, str] = {
     "raw_messages": _MESSAGES.format(match="contains(props, CAST(s_suppkey AS VARCHAR))"),
     "raw_messages_by_token": _MESSAGES.format(
         match="list_contains(regexp_extract_all(props, '[A-Za-z0-9]+'), CAST(s_suppkey AS VARCHAR))"),
+    "raw_messages_like": """
+        WITH ids AS (
+            SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'k%' || s_suppkey WHEN 1 THEN s_suppkey || '_'
+                   ELSE CAST(s_suppkey AS VARCHAR) END AS CarcassId FROM supplier)
+        SELECT CarcassId, event_id AS MessageId, user_id AS StatusId, props AS Data
+        FROM ids JOIN events ON event_type = 'error' AND props LIKE '%' || CarcassId || '%'""",
     "raw_messages_of_one": "SELECT '7' AS CarcassId, event_id AS MessageId, user_id AS StatusId, props AS Data "
                            "FROM events WHERE event_type = 'error' AND contains(props, '7')",
     "carcass_record": f"WITH {_RECORD} SELECT * FROM record",

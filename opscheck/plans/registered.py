@@ -185,6 +185,12 @@ class Roles:
     def searched_ids(self):
         return adapt(self.table("supplier"), CarcassId=_text("s_suppkey"))
 
+    def searched_patterns(self):
+        """Ids with wildcards at the end, in the middle and without any."""
+        key, rest = _text("s_suppkey"), F.col("s_suppkey") % 3
+        return adapt(self.table("supplier"), CarcassId=F.when(rest == 0, F.concat(F.lit("k%"), key))
+                     .when(rest == 1, F.concat(key, F.lit("_"))).otherwise(key))
+
     # orders
     def order_headers(self):
         key = _text("o_orderkey")
@@ -354,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
         carcass.kill_group(_kill_group_chain(r), r.kill_groups()), r.lots()),
     "raw_messages": lambda r: carcass.raw_messages(r.searched_ids(), r.raw(), "error"),
     "raw_messages_by_token": lambda r: carcass.raw_messages(r.searched_ids(), r.raw(), "error", "token"),
+    "raw_messages_like": lambda r: carcass.raw_messages(r.searched_patterns(), r.raw(), "error", "like"),
     "raw_messages_of_one": lambda r: carcass.raw_messages("7", r.raw(), "error"),
     "carcass_record": lambda r: _carcass_lookup(r).findings,
     "carcass_statuses": lambda r: _carcass_lookup(r).statuses,

@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from opscheck.operators import carcass
 from opscheck.operators.containment import texts_with_substring
@@ -75,8 +78,9 @@ def test_raw_messages_modes(spark):
     assert found(subjects, raw) == [("12", 1), ("12", 2), ("1_2", 3)]
     assert found(subjects, raw, mode="token") == [("12", 2)]
     assert found("1_2", raw) == [("1_2", 3)]
-    with pytest.raises(ValueError, match="like"):
-        carcass.raw_messages(subjects, raw, mode="like")
+    assert found(subjects, raw, mode="like") == [("12", 1), ("12", 2), ("1_2", 3), ("1_2", 4)]
+    with pytest.raises(ValueError, match="glob"):
+        carcass.raw_messages(subjects, raw, mode="glob")
     assert found("1_2", raw, mode="like") == [("1_2", 3), ("1_2", 4)]
 
 
@@ -96,3 +100,35 @@ def test_messages_with_one_id_stay_apart(spark):
                (2, 0, "EPVService", "ab"))
     every = rows(carcass.raw_messages(keys(spark, "CarcassId", "ab"), raw), "CarcassId", "MessageId", "Data")
     assert every == rows(carcass.raw_messages("ab", raw), "CarcassId", "MessageId", "Data") and len(every) == 3
+
+
+def as_regex(pattern):
+    return re.compile("(?s)" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in pattern))
+
+
+def test_wildcards_equal_brute_force(spark, monkeypatch):
+    from opscheck.operators import containment
+
+    monkeypatch.setattr(containment, "_PIECE", 9)
+    texts = [(i, "a\\b%" * (i % 3) + "lot-" + "xy" * (i % 7) + f"{i}é𝄞" * (i % 4)) for i in range(40)] + [(99, ""), (3, "lot-3")]
+    ids = ["lot", "l_t%7", "%xyxy%é", "_1é", "a\\b%", "x_x_", "\\", "%", "__", "", "l%t%-%1", "%zz%"]
+    found = containment.texts_like(keys(spark, "id", *ids, "lot"), spark.createDataFrame(texts, "n INT, text STRING"), "id", "text", "n")
+    literal = [i for i in ids if i.strip("%_")]
+    first = {n: t for n, t in reversed(sorted(texts, key=lambda x: x[1]))}
+    assert rows(found, "id", "n") == sorted(((i, n) for i in literal for n, t in first.items() if as_regex(i).search(t)), key=repr)
+
+
+def test_a_text_gives_one_row_per_position(spark):
+    """Not one per position and id length: the windows come from one expression, and heads drop most of them."""
+    from opscheck.operators import containment
+
+    text = "".join(chr(97 + (i * i) % 26) for i in range(500))
+    ids = keys(spark, "id", *["zq" + "x" * n for n in range(1, 30)])
+    texts = spark.createDataFrame([(1, text)], "n INT, text STRING")
+    found = containment.texts_with_substring(ids, texts, "id", "text", "n")
+    assert found.collect() == []
+    graph = found._jdf.queryExecution().executedPlan().toString()
+    assert graph.count("regexp_extract_all") >= 1
+    counts = spark.createDataFrame([(text,)], "t STRING").select(
+        F.size(containment._windows(F.col("t"), F.lit(3), F.lit(31)))).first()[0]
+    assert counts == 498
