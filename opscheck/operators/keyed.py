@@ -27,10 +27,16 @@ _ROUTES = 4096  # a power of two
 _ROUTE = "_route"
 _INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 _ROUTABLE = _INTEGRAL | {"string", "binary", "boolean", "date", "timestamp", "timestamp_ntz"}
+#: Collations and what texts that are equal under them have in common, as an expression over the plain text.
+_CASE_RULES = {
+    "string collate UTF8_LCASE": "translate(lower(CAST({} AS STRING)), 'ς', 'σ')",
+    "string collate UTF8_LCASE_RTRIM": "translate(lower(rtrim(CAST({} AS STRING))), 'ς', 'σ')",
+}
+_ROUTABLE |= set(_CASE_RULES)
 
 
 def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether equal keys have equal hashes: same type without a collation, or both integral."""
+    """Whether equal keys have equal hashes: same type, without a collation or with one that is known, or both integral."""
     def routable(a: str, b: str) -> bool:
         return (a == b and (a in _ROUTABLE or a.startswith("decimal"))) or (a in _INTEGRAL and b in _INTEGRAL)
 
@@ -41,7 +47,7 @@ def _can_route(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
 def _routed(df: DataFrame, keys: Sequence[str], spread_nulls: bool) -> DataFrame:
     types = dict(df.dtypes)
     route = "xxhash64({})".format(", ".join(
-        f"CAST(`{k}` AS BIGINT)" if types[k] in _INTEGRAL else f"`{k}`" for k in keys))
+        f"CAST(`{k}` AS BIGINT)" if types[k] in _INTEGRAL else _CASE_RULES.get(types[k], "{}").format(f"`{k}`") for k in keys))
     rest = [c for c in df.columns if c not in keys]
     if spread_nulls and rest:
         incomplete = " OR ".join(f"`{k}` IS NULL" for k in keys)

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -17,7 +17,8 @@ from opscheck.fixed_values import (
     FILE_NAME_PREFIX,
 )
 from opscheck.functions.text import clean, delimited
-from opscheck.operators.keyed import complete, probe, repeated
+from opscheck.operators.keyed import complete, probe
+from opscheck.operators.ranking import numbered_within
 from opscheck.operators.vendors import VENDOR_FIELDS, vendor_lookup
 
 LINE_FIELDS = ["ProductCode", "BaseQty", "Instructions", "MinSellBy"]
@@ -30,61 +31,45 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("OrderNumber").agg(F.count("*").alias("n_lines"))
 
 
-def number_lines(lines: DataFrame, block: int = 10_000) -> DataFrame:
-    """Add ``LineNo``, the position of each line in its order by Seq and then its other fields.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``LineNo``, the position of each line in its order by Seq and then its other fields, and the order's ``n_lines``.
 
-    Every order is numbered by counting, so that no task sorts a whole order. A line's number is the count
-    of the order's lines in earlier blocks of ``Seq``, plus those of earlier ``Seq`` in its block, plus
-    those of earlier products at its ``Seq``, plus its position among the rest.  Identical lines are
-    counted once with their number of copies.  ``Seq`` is a number; blocks of a text would not follow its order.
+    All lines are sorted in ranges, so that an order of any length spreads over as many tasks as it
+    fills, whatever its lines have in common.  ``Seq`` is a number; a text would not follow its order.
     """
     if not isinstance(lines.schema["Seq"].dataType, NumericType):
         raise ValueError("Seq has to be a number")
     lines = complete(lines.select("OrderNumber", "Seq", *LINE_FIELDS), "OrderNumber")
-    levels = [("_block", ["OrderNumber"]), ("Seq", ["OrderNumber", "_block"]),
-              ("ProductCode", ["OrderNumber", "_block", "Seq"])]
-    keys = ["OrderNumber", "Seq", *LINE_FIELDS]
-    unique = (lines.groupBy(*keys).agg(F.count("*").alias("n_copies"))
-              .withColumn("_block", F.floor(F.col("Seq") / block)))
-    before = None
-    for digit, group in levels:
-        window = Window.partitionBy(*group).orderBy(F.asc_nulls_first(digit))
-        counted = (unique.groupBy(*group, digit).agg(F.sum("n_copies").alias("_n"))
-                   .withColumn("_here", F.sum("_n").over(window) - F.col("_n")).drop("_n"))
-        if before is None:
-            before = counted.withColumnRenamed("_here", "_before")
-        else:
-            before = (probe(counted, before, group, null_safe=True)
-                      .withColumn("_before", F.col("_before") + F.col("_here")).drop("_here"))
-    group = ["OrderNumber", "_block", "Seq", "ProductCode"]
-    window = Window.partitionBy(*group).orderBy(*[F.asc_nulls_first(c) for c in LINE_FIELDS[1:]])
-    placed = probe(unique, before, group, null_safe=True).withColumn(
-        "_before", F.col("_before") + F.sum("n_copies").over(window) - F.col("n_copies"))
-    return (repeated(placed, "n_copies", keep=True)
-            .withColumn("LineNo", F.col("_before") + F.col("copy"))
-            .select(*keys, "LineNo"))
+    placed = numbered_within(lines, ["OrderNumber"], [F.asc_nulls_first(c) for c in ["Seq", *LINE_FIELDS]], "LineNo",
+                             size="n_lines", spread=True)
+    return placed.withColumn("LineNo", F.col("LineNo") + 1)
+
+
+def _detail_text(numbered: DataFrame) -> DataFrame:
+    text = delimited(["'D'", "OrderNumber", "format_string('%03d.00', LineNo)", *LINE_FIELDS, "''"], FIELD_DELIMITER)
+    return numbered.select("OrderNumber", "LineNo", "n_lines", text.alias("line"))
 
 
 def order_detail_lines(lines: DataFrame) -> DataFrame:
     """``D`` lines: order number, position as ``001.00``, product, quantity, instructions, minimum sell-by."""
-    numbered = number_lines(lines)
-    text = delimited(["'D'", "OrderNumber", "format_string('%03d.00', LineNo)", *LINE_FIELDS, "''"],
-                     FIELD_DELIMITER)
-    return numbered.select("OrderNumber", "LineNo", text.alias("line"))
+    return _detail_text(number_lines(lines)).drop("n_lines")
 
 
 def order_header_lines(orders: DataFrame, lines: DataFrame, third_parties: DataFrame) -> DataFrame:
     """``H`` lines with the vendor's address and the number of detail lines; absent fields keep their position."""
     counted = probe(vendor_lookup(orders, third_parties), line_counts(lines), "OrderNumber", "left")
-    text = delimited([
-        "'H'", "OrderNumber", "coalesce(n_lines, 0)", "ThirdPartyId", *VENDOR_FIELDS,
+    counted = counted.withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    return counted.select("OrderNumber", "FileName", "n_lines", _header_text().alias("line"))
+
+
+def _header_text() -> Column:
+    return delimited([
+        "'H'", "OrderNumber", "n_lines", "ThirdPartyId", *VENDOR_FIELDS,
         "ReferenceOrder", f"coalesce(Priority, '{DEFAULT_PRIORITY}')", "OrderType", "Instructions",
         "DeliveryDate", "LoadDate", f"coalesce(DeliveryTime, '{DEFAULT_DELIVERY_TIME}')",
         f"coalesce(GeoCode, '{DEFAULT_GEO_CODE}')", "OrderNumber", "WarehouseCode", "ShipTo",
         "PlantCode", "SenderId", "ReceiverId", "''",
     ], FIELD_DELIMITER)
-    return counted.select("OrderNumber", "FileName", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-                          text.alias("line"))
 
 
 def _json_items(texts: Column) -> Column:
@@ -100,19 +85,19 @@ def order_payloads(orders: DataFrame, lines: DataFrame, third_parties: DataFrame
     Every order comes in ``n_parts`` rows of up to ``part_lines`` lines whose texts, joined by ``part``, are the
     JSON text, so that no task has to hold a whole order of any length.
     """
-    headers = order_header_lines(orders, lines, third_parties)
-    details = order_detail_lines(lines).withColumn("part", F.floor((F.col("LineNo") - 1) / part_lines))
-    bodies = (details.groupBy("OrderNumber", "part")
+    details = _detail_text(number_lines(lines)).withColumn("part", F.floor((F.col("LineNo") - 1) / part_lines))
+    bodies = (details.groupBy("OrderNumber", "part", "n_lines")
               .agg(F.sort_array(F.collect_list(F.struct("LineNo", "line"))).alias("parts"))
-              .select("OrderNumber", "part", _json_items(F.col("parts.line")).alias("body")))
+              .select("OrderNumber", "part", "n_lines", _json_items(F.col("parts.line")).alias("body")))
+    headers = vendor_lookup(orders, third_parties)
     n_parts = F.ceil(F.col("n_lines") / part_lines)
+    joined = probe(bodies, headers.drop("part", "n_lines", "body"), "OrderNumber").withColumn("line", _header_text())
     opening = F.concat(F.lit('{"FileName":'), _json_items(F.array(clean(F.col("FileName")))),
                        F.lit(',"FileLines":['), _json_items(F.array("line")))
     text = F.concat(F.when(F.col("part") == 0, opening).otherwise(F.lit("")), F.lit(","), F.col("body"),
                     F.when(F.col("part") == n_parts - 1, F.lit('],"ExtraInfo":null}')).otherwise(F.lit("")))
-    return (probe(bodies, headers, "OrderNumber")
-            .select("OrderNumber", clean(F.col("FileName")).alias("FileName"), "part",
-                    n_parts.alias("n_parts"), text.alias("payload")))
+    return joined.select("OrderNumber", clean(F.col("FileName")).alias("FileName"), "part",
+                         n_parts.alias("n_parts"), text.alias("payload"))
 
 
 def _has_delimiter(fields: list[str]) -> Column:

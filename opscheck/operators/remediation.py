@@ -108,4 +108,4 @@ def render_scripts(plan: DataFrame, plant: Column | str, server: str, batch: int
         F.when(F.col("action") == "UPDATE", update).otherwise(delete),
         F.concat(F.lit("WHERE InventoryId IN (\n    "), "literals"),
         F.lit(")\n\n-- COMMIT TRAN t1\n-- ROLLBACK TRAN t1"))
-    return lists.select("step", "target_table", "bucket", "part", "n_ids", script.alias("script"))
+    return lists.select("step", "target_table", "batch", "n_ids", script.alias("script"))

@@ -294,6 +294,12 @@ _CARCASSES = "(SELECT CAST(c_custkey AS VARCHAR) AS CarcassId FROM customer) s L
 
 ORACLES: dict[str, str] = {
     "missing_allocations": _UNALLOCATED,
+    "missing_allocations_any_case": """
+        WITH inventory AS (
+            SELECT o_custkey AS DeliveryNumber,
+                   CASE WHEN o_orderkey % 3 = 0 THEN 'HOT' ELSE 'LOT É' || o_orderkey END AS InventoryId FROM orders)
+        SELECT DeliveryNumber, InventoryId FROM inventory
+        WHERE lower(InventoryId) NOT IN (SELECT 'lot é' || l_orderkey FROM lineitem WHERE l_linenumber > 3)""",
     "missing_shipment": "SELECT doc_id AS DeliveryNumber FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "found_shipments": "SELECT o_custkey AS DeliveryNumber, o_orderkey AS ShipmentNumber FROM orders "
                        "WHERE o_custkey IN (SELECT c_custkey FROM customer)",
@@ -347,13 +353,8 @@ ORACLES: dict[str, str] = {
     "remediation_scripts": f"""WITH {_CASES},
         ids AS (
             SELECT step, target_table, action, InventoryId,
-                   CAST(('0x' || substr(md5(CAST(InventoryId AS VARCHAR)), 1, 7)) AS BIGINT)
-                   % CAST(greatest(ceil((SELECT count(*) FROM plan) / 10), 1) AS BIGINT) AS bucket
-            FROM plan),
-        parts AS (
-            SELECT *, CAST((row_number() OVER (PARTITION BY step, bucket ORDER BY InventoryId) - 1) // 10 AS BIGINT) AS part
-            FROM ids)
-        SELECT step, target_table, bucket, part, count(*) AS n_ids,
+                   (row_number() OVER (PARTITION BY step ORDER BY InventoryId) - 1) // 10 AS batch FROM plan)
+        SELECT step, target_table, batch, count(*) AS n_ids,
                '-- ' || (SELECT upper(min(PlantCode)) FROM cases) || chr(10) || '-- DB01' || chr(10) || chr(10)
                || 'BEGIN TRAN t1' || chr(10) || chr(10)
                || CASE WHEN action = 'UPDATE' THEN 'UPDATE InventoryCases' || chr(10)
@@ -364,18 +365,13 @@ ORACLES: dict[str, str] = {
                || 'WHERE InventoryId IN (' || chr(10) || '    '
                || string_agg('''' || InventoryId || '''', ',' || chr(10) || '    ' ORDER BY InventoryId) || chr(10)
                || ')' || chr(10) || chr(10) || '-- COMMIT TRAN t1' || chr(10) || '-- ROLLBACK TRAN t1' AS script
-        FROM parts GROUP BY step, target_table, action, bucket, part""",
+        FROM ids GROUP BY step, target_table, action, batch""",
     "in_clause": f"""
-        WITH ids AS (SELECT DISTINCT InventoryId FROM ({_UNALLOCATED})),
-        bucketed AS (
-            SELECT InventoryId, CAST(('0x' || substr(md5(CAST(InventoryId AS VARCHAR)), 1, 7)) AS BIGINT)
-                   % CAST(greatest(ceil((SELECT count(*) FROM ids) / 100), 1) AS BIGINT) AS bucket FROM ids),
-        parts AS (
-            SELECT *, CAST((row_number() OVER (PARTITION BY bucket ORDER BY InventoryId) - 1) // 100 AS BIGINT) AS part
-            FROM bucketed)
-        SELECT bucket, part, count(*) AS n_ids,
-               '(' || string_agg('''' || InventoryId || '''', ', ' ORDER BY InventoryId) || ')' AS clause
-        FROM parts GROUP BY bucket, part""",
+        WITH ids AS (
+            SELECT InventoryId, (row_number() OVER (ORDER BY InventoryId) - 1) // 100 AS batch
+            FROM (SELECT DISTINCT InventoryId FROM ({_UNALLOCATED})))
+        SELECT batch, count(*) AS n_ids, '(' || string_agg('''' || InventoryId || '''', ', ' ORDER BY InventoryId) || ')' AS clause
+        FROM ids GROUP BY batch""",
     "latest_backtag": f"WITH {_CARCASS} SELECT {_BACKTAG_COLUMNS} FROM {_CARCASSES}",
     "backtag_lines": f"""WITH {_CARCASS},
         fields AS (

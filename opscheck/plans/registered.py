@@ -23,7 +23,7 @@ from opscheck.operators.settings import warehouse_codes
 from opscheck.operators.vendors import vendor_lookup
 from opscheck.plans import scenarios
 from opscheck.plans.suites import run_suite
-from opscheck.roles import adapt
+from opscheck.roles import adapt, under_collation
 from opscheck.sources.sites import Site, across_sites
 
 AS_OF = "2024-01-15"
@@ -61,6 +61,15 @@ class Roles:
     def allocations(self):
         return adapt(self.table("lineitem"), InventoryId="l_orderkey")
 
+    def inventory_in_capitals(self):
+        """Text ids in capitals, a third of them the same."""
+        key = F.when(F.col("o_orderkey") % 3 == 0, "HOT").otherwise(F.concat(F.lit("LOT É"), _text("o_orderkey")))
+        return under_collation(adapt(self.table("orders"), ExitDeliveryNumber="o_custkey", InventoryId=key))
+
+    def allocations_in_lower_case(self):
+        return under_collation(adapt(self.table("lineitem").filter("l_linenumber > 3"),
+                                     InventoryId=F.concat(F.lit("lot é"), _text("l_orderkey"))))
+
     def deliveries(self):
         return adapt(self.table("customer"), DeliveryNumber="c_custkey")
 
@@ -313,6 +322,8 @@ def _document_stops(r: Roles):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(build) for name, build in {
     # single checks
     "missing_allocations": lambda r: shipping.missing_allocations(r.inventory(), r.allocations()),
+    "missing_allocations_any_case": lambda r: shipping.missing_allocations(
+        r.inventory_in_capitals(), r.allocations_in_lower_case()).withColumn("InventoryId", F.collate("InventoryId", "UTF8_BINARY")),
     "missing_shipment": lambda r: shipping.missing_shipment(
         adapt(r.table("documents"), DeliveryNumber="doc_id"),
         adapt(r.table("labels"), DeliveryNumber="doc_id", ShipmentNumber="quality")),

@@ -57,3 +57,13 @@ def adapt(df: DataFrame, **roles: str | Column) -> DataFrame:
         (F.col(source) if isinstance(source, str) else source).alias(role)
         for role, source in roles.items()
     ])
+
+
+def under_collation(df: DataFrame, *columns: str, collation: str = "UTF8_LCASE") -> DataFrame:
+    """``df`` with text columns (default: all) that compare under a collation, as on the server they come from.
+
+    ``UTF8_LCASE`` ignores case, ``UTF8_LCASE_RTRIM`` trailing blanks too; ``UTF8_BINARY`` is Spark's own rule. Joins,
+    groups, filters and the routing of hot keys then follow it; both sides of a comparison need the same one.
+    """
+    texts = columns or [c for c, kind in df.dtypes if kind.startswith("string")]
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in texts})

@@ -84,13 +84,25 @@ def test_large_orders_are_numbered_alike(spark):
         SELECT '1', 3, 'copy', '1', NULL, NULL FROM range(25000)""")
     order = Window.partitionBy("OrderNumber").orderBy(*[F.asc_nulls_first(c) for c in ["Seq", *payloads.LINE_FIELDS]])
     sorted_ = lines.withColumn("LineNo", F.row_number().over(order).cast("bigint"))
-    counted = payloads.number_lines(lines, block=20)
+    counted = payloads.number_lines(lines)
     assert rows(sorted_.exceptAll(counted.select(*sorted_.columns))) == []
     assert sorted_.count() == counted.count() == 28000
+    assert {r["n_lines"] for r in counted.filter("OrderNumber = '1'").select("n_lines").distinct().collect()} == {26000}
     with pytest.raises(ValueError, match="Seq"):
         payloads.number_lines(lines.withColumn("Seq", F.col("Seq").cast("string")))
 
 
+def test_equal_lines_of_one_order_spread_over_tasks(spark):
+    """An order of 30,000 lines with one Seq and product, a third of them equal in all fields."""
+    lines = spark.range(30_000, numPartitions=4).selectExpr(
+        "'1' AS OrderNumber", "1 AS Seq", "'P' AS ProductCode", "CASE WHEN id % 3 > 0 THEN CAST(id AS STRING) END AS BaseQty",
+        "CAST(NULL AS STRING) AS Instructions", "CAST(NULL AS STRING) AS MinSellBy")
+    numbered = payloads.number_lines(lines)
+    assert sorted(r["LineNo"] for r in numbered.select("LineNo").collect()) == list(range(1, 30_001))
+    plan = payloads.order_detail_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange") <= 6 and "Window" not in plan
+
+
 def test_validation_order_and_reasons(orders, lines):
     checked = payloads.validate_orders(orders, lines)
     assert rows(checked, "OrderNumber", "reject_reason") == sorted([

@@ -39,6 +39,14 @@ def test_empty_and_equal_rows(spark):
     assert sorted(x.position for x in numbered(equal, [F.col("v")]).collect()) == list(range(50))
 
 
+def test_equal_rows_spread_over_ranges(spark):
+    equal = spark.range(20_000, numPartitions=3).select(F.lit(1).alias("v"))
+    placed = numbered(equal, [F.col("v")], spread=True)
+    files = placed.groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 10_000
+    assert placed.agg(F.countDistinct("position"), F.max("position")).first()[:] == (20_000, 19_999)
+
+
 def test_no_task_sorts_the_whole_order(spark):
     df = spark.range(30_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     plan = numbered_within(df, ["g"], [F.col("v")])._jdf.queryExecution().executedPlan().toString()
