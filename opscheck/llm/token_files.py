@@ -26,13 +26,16 @@ table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,7 +50,7 @@ from opscheck.session import stored
 _MAGIC, _VERSION = b"TOKIDS", 1
 _HEADER = "<6sBBQ32sQ"
 _INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_tokens", "<u8"), ("end", "<u8")])
-_MEMO = 250_000
+_MEMO = 160_000  # words, twice that number at most
 
 
 @dataclass(frozen=True)
@@ -63,61 +66,102 @@ class TokenParameters:
 
 
 class _Memo(dict):
-    """Values of short texts, kept up to a bound."""
+    """Values of short texts, in two halves: a full one becomes the older half, which is looked up before a value is made."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
-        made = self.make(text)
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
         if len(text) <= 40:
-            if len(self) >= _MEMO:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
-            self[text] = made
-        return made
+            self[text] = found
+        return found
+
+
+class _AfterSpace(_Memo):
+    """The ids of stretches after a space; those that are no word are kept apart, or put together from a word and a mark."""
+
+    codec: TokenCodec
+
+    def __missing__(self, text: str) -> bytes:
+        if text.isalpha():  # letters in the sense of the pattern
+            return super().__missing__(text)
+        if text[-1:] in _MARKS and text[:-1].isalpha():
+            return self[text[:-1]] + self.codec.matches[text[-1]]
+        return self.codec.mixed[text]
 
 
 class TokenCodec:
     """Serialised ids of texts, for the content of a tokenizers file.
 
     A byte-level vocabulary without prefix space treats the stretches before spaces that a visible character
-    follows apart from each other, and within them the matches of its pattern. The ids of short stretches are kept; the
-    library makes all of them. For any other kind of vocabulary the library encodes whole texts.
+    follows apart from each other, and within them the matches of its pattern. The library's model makes the ids of each match, and
+    those of words are kept. For any other kind of vocabulary the library encodes whole texts.
     """
 
     def __init__(self, content: str):
-        import json
-
         import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_str(content)
-        described = json.loads(content)
-        self.width = 2 if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
+        self.model, self.width = self.library.model, 2 if self.library.get_vocab_size() < 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
+        described = _described(content)
         split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        kind = described.get("pre_tokenizer") or {}
-        self.apart = described.get("normalizer") is None and all(kind.get(k) == v for k, v in split.items())
+        self.apart = described.get("normalizer") is None and all((described.get("pre_tokenizer") or {}).get(k) == v for k, v in split.items())
         self.special = [x["content"] for x in described.get("added_tokens", [])]
         # fixed value: the pattern of byte-level vocabularies
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.stretches = regex.compile(r" (?=\S)")
-        self.words = _Memo(self._by_library)
-        self.spaced = _Memo(lambda stretch: self._by_words(" " + stretch))
-
-    def _by_library(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def _by_words(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        self.visible = _byte_characters()
+        self.words = _AfterSpace(lambda text: self.of_match(" " + text), _MEMO)
+        self.words.codec = self
+        self.matches = _Memo(self.of_match, _MEMO // 8)
+        self.mixed = _Memo(lambda text: self.of_stretch(" " + text), _MEMO // 8)
+
+    def _serialised(self, ids: list[int]) -> bytes:
+        made = array(self.kind, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
+    def of_match(self, match: str) -> bytes:
+        """The ids of one match of the pattern, by the library's model."""
+        shown = match.encode().decode("latin-1").translate(self.visible)
+        return self._serialised([t.id for t in self.model.tokenize(shown)])
+
+    def of_stretch(self, text: str) -> bytes:
+        return b"".join([self.words[m[1:]] if m[0] == " " and m[1:].isalpha() else self.matches[m] for m in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         if not self.apart or any(x in text for x in self.special):
-            return self._by_library(text)
-        first, *others = self.stretches.split(text)
-        return b"".join(chain((self._by_words(first),), map(self.spaced.__getitem__, others)))
+            return self._serialised(self.library.encode(text, add_special_tokens=False).ids)
+        first, *others = _STRETCHES.split(text) if _OPEN_SPACE.search(text) else text.split(" ")
+        return self.of_stretch(first) + b"".join(map(self.words.__getitem__, others))
+
+
+_MARKS = frozenset(".,;:!?)\"\n")
+_STRETCHES, _OPEN_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible ones for themselves, the others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
+
+
+def _described(content: str) -> dict:
+    """What a tokenizers file says beside its model."""
+    described = json.loads(content)
+    described.pop("model", None)
+    return described
 
 
 @lru_cache(maxsize=1)
