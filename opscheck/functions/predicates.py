@@ -28,8 +28,10 @@ def has_text(column: Column) -> Column:
     return F.rtrim(column) != ""
 
 
-def on_day(column: Column, day: str | datetime.date) -> Column:
+def on_day(column: Column, day: str | datetime.date | Column) -> Column:
     """``column`` falls on ``day``, written as a range so that it reaches the scan."""
+    if isinstance(day, Column):
+        return (column >= day) & (column < F.date_add(day, 1))
     start = datetime.date.fromisoformat(day) if isinstance(day, str) else day
     after = start + datetime.timedelta(days=1)
     return (column >= F.lit(start)) & (column < F.lit(after))

@@ -26,9 +26,9 @@ def pending_backlog(messages: DataFrame, as_of: str | datetime.date | None = Non
                     done: Sequence[str] = FINAL_MESSAGE_STATUSES) -> DataFrame:
     """Messages of one day that are not final, counted per name.
 
-    A NULL status counts as unknown and is left out.
+    A NULL status counts as unknown and is left out.  Without ``as_of`` the day is the session's current one.
     """
-    day = as_of or datetime.date.today()
+    day = as_of or F.current_date()
     return (messages
             .filter(on_day(F.col("CreateTime"), day) & ~F.col("Status").isin(list(done)))
             .groupBy("MessageName").agg(F.count("*").alias("PendingCount")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,23 @@ from opscheck.operators.keyed import complete, probe, repeated, restrict
 from opscheck.operators.settings import zone_list
 
 
-def latest_tasks(tasks: DataFrame, closed_status: int = CLOSED_TASK_STATUS) -> DataFrame:
-    """Per pallet, how many tasks share its newest date and how many of those are known to be open.
+def pallet_states(inventory: DataFrame, tasks: DataFrame, closed_status: int = CLOSED_TASK_STATUS) -> DataFrame:
+    """The pallets that are blocked: ``committed`` to a delivery, or with newest tasks (``n_latest``) that are open (``n_open``).
 
-    Counts per (pallet, date) come first, so tied tasks never travel as rows.
+    Tasks and inventory rows with a delivery go through the same two aggregates, first by pallet and date, so tied
+    tasks never travel as rows; pallets that nothing blocks end there.
     """
-    open_task = F.col("StatusId") != closed_status
-    per_date = (complete(tasks, ["PalletNumber", "CreatedDate"])
-                .groupBy("PalletNumber", "CreatedDate")
-                .agg(F.count("*").alias("n_latest"), F.count_if(open_task).alias("n_open")))
-    newest = per_date.groupBy("PalletNumber").agg(
-        F.max(F.struct("CreatedDate", "n_latest", "n_open")).alias("newest"))
-    return newest.select("PalletNumber", "newest.n_latest", "newest.n_open")
+    open_task = F.coalesce(F.col("StatusId") != closed_status, F.lit(False))
+    seen = (complete(tasks, ["PalletNumber", "CreatedDate"])
+            .select("PalletNumber", "CreatedDate", open_task.alias("is_open"), F.lit(False).alias("committed")))
+    held = (inventory.filter(F.col("PalletNumber").isNotNull() & F.col("DeliveryNumber").isNotNull())
+            .select("PalletNumber", F.lit(None).cast(tasks.schema["CreatedDate"].dataType).alias("CreatedDate"),
+                    F.lit(False).alias("is_open"), F.lit(True).alias("committed")))
+    per_date = seen.unionByName(held).groupBy("PalletNumber", "CreatedDate").agg(
+        F.count("CreatedDate").alias("n_latest"), F.count_if("is_open").alias("n_open"), F.max("committed").alias("committed"))
+    newest = F.max(F.struct("CreatedDate", "n_latest", "n_open"))  # a NULL date is the smallest
+    states = per_date.groupBy("PalletNumber").agg(newest.alias("newest"), F.max("committed").alias("committed"))
+    return states.select("PalletNumber", "committed", "newest.n_latest", "newest.n_open").filter("committed OR n_open > 0")
 
 
 def face_products(pick_faces: DataFrame, subjects=None) -> DataFrame:
@@ -48,26 +55,39 @@ def blocked_pallets(products: DataFrame, inventory: DataFrame, tasks: DataFrame,
                .select(F.col("LocationId").alias("WarehouseLocationId")).distinct())
     wanted = products.select("ProductId").distinct()
 
-    on_pallet = inventory.filter(F.col("PalletNumber").isNotNull())
-    committed = (on_pallet.filter(F.col("DeliveryNumber").isNotNull())
-                 .select("PalletNumber").distinct().withColumn("committed", F.lit(True)))
-    stock = probe(on_pallet.select("PalletNumber", "ProductId", "WarehouseLocationId"),
-                  wanted, "ProductId", "left_semi")
-    stock = (probe(stock, in_zone, "WarehouseLocationId", "left_semi")
-             .groupBy("PalletNumber", "ProductId").agg(F.count("*").alias("n_stock")))
-
-    pallets = committed.join(latest_tasks(tasks), "PalletNumber", "full")
-    state = probe(stock, pallets, "PalletNumber", "left")
-    is_committed = F.coalesce("committed", F.lit(False))
-    n_latest, n_open = F.coalesce("n_latest", F.lit(0)), F.coalesce("n_open", F.lit(0))
-    return (state
-            .filter(is_committed | (n_open > 0))
-            .select("ProductId", "PalletNumber",
-                    F.when(is_committed, REASON_COMMITTED)
-                     .when(n_open > 0, REASON_ACTIVE_TASK)
-                     .otherwise(REASON_UNKNOWN).alias("Reason"),
-                    (F.col("n_stock") * F.when(is_committed, F.greatest(n_latest, F.lit(1)))
-                     .otherwise(n_open)).alias("n_rows")))
+    stock = inventory.filter(F.col("PalletNumber").isNotNull()).select("PalletNumber", "ProductId", "WarehouseLocationId")
+    stock = probe(probe(stock, wanted, "ProductId", "left_semi"), in_zone, "WarehouseLocationId", "left_semi")
+    stock = stock.groupBy("PalletNumber", "ProductId").agg(F.count("*").alias("n_stock"))
+    blocked = probe(stock, pallet_states(inventory, tasks), "PalletNumber")
+    return blocked.select(
+        "ProductId", "PalletNumber",
+        F.when(F.col("committed"), REASON_COMMITTED).when(F.col("n_open") > 0, REASON_ACTIVE_TASK)
+         .otherwise(REASON_UNKNOWN).alias("Reason"),
+        (F.col("n_stock") * F.when(F.col("committed"), F.greatest("n_latest", F.lit(1))).otherwise(F.col("n_open"))).alias("n_rows"))
+
+
+@dataclass(frozen=True)
+class BlockedFactors:
+    """Blocked pallets by product, and the pick faces of each product, which together stand for all pairs.
+
+    ``pallets`` has ProductId, PalletNumber, Reason, n_rows and n_faces, the number of pick faces it is listed for; ``faces``
+    has LocationId and ProductId. :func:`pairs` joins them where a list is asked for.
+    """
+    pallets: DataFrame
+    faces: DataFrame
+
+    def pairs(self) -> DataFrame:
+        pallets = self.pallets.drop("n_faces")
+        return probe(pallets, self.faces, "ProductId").select("LocationId", "PalletNumber", "Reason", "n_rows")
+
+
+def blocked_factors(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
+                    area_locations: DataFrame, settings: DataFrame, subjects=None) -> BlockedFactors:
+    """:func:`blocked_pallets` of the products of the pick faces, without multiplying pallets by pick faces."""
+    faces = face_products(pick_faces, subjects)
+    blocked = blocked_pallets(faces, inventory, tasks, area_locations, settings)
+    n_faces = faces.groupBy("ProductId").agg(F.count("*").alias("n_faces"))
+    return BlockedFactors(probe(blocked, n_faces, "ProductId"), faces)
 
 
 def replenishment_blocked(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opscheck.fixed_values import BACKLOG_THRESHOLD
 from opscheck.functions.text import json_detail
+from opscheck.operators.ranking import numbered, numbered_within
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,31 @@ class Rule:
                  .otherwise(F.format_string(self.issue, n)))
 
 
+@dataclass(frozen=True)
+class StateRule:
+    """How the state of a thing read, not a number of findings, becomes a status: each state has a status and a text."""
+    states: dict[str, tuple[str, str]]
+
+    def status(self, state: Column) -> Column:
+        return self._pick(state, 0)
+
+    def headline(self, state: Column, n: Column) -> Column:
+        return F.printf(self._pick(state, 1), n)
+
+    def _pick(self, state: Column, part: int) -> Column:
+        column = F.lit(None).cast("string")
+        for name, told in self.states.items():
+            column = F.when(state == name, told[part]).otherwise(column)
+        return column
+
+
+def state_status(states: DataFrame, check: str, rule: StateRule) -> DataFrame:
+    """:func:`check_status` for a check with a :class:`StateRule`; ``states`` has ``subject``, ``state`` and ``n_findings``."""
+    state, n = F.col("state"), F.col("n_findings").cast("bigint")
+    return states.select(F.lit(check).alias("check"), F.col("subject").cast("string").alias("subject"),
+                         rule.status(state).alias("status"), n.alias("n_findings"), rule.headline(state, n).alias("headline"))
+
+
 def _absence(record: str, none: str = "issues_found") -> Rule:
     return Rule(f"No {record} found (%d)", f"%d {record}(s) found", issue_at=None, none=none)
 
@@ -58,6 +84,8 @@ RULES = {
     "lot_details": _absence("lot"),
     "raw_messages": _absence("raw message"),
     "vendor_lookup": _absence("vendor"),
+    "warehouse_code": _absence("warehouse code"),
+    "valid_order": Rule("%d reason(s) to reject the order", "The order is valid (%d)"),
     "suite_step": Rule("%d record(s) found", "No records found (%d)"),
 }
 
@@ -144,7 +172,23 @@ LISTING_ORDER = {
 }
 
 
+def _listing(check: str) -> list[Column]:
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in LISTING_ORDER.get(check, [])]
+
+
 def listed(df: DataFrame, check: str) -> DataFrame:
     """A check result in its customary order; a leading minus means descending."""
-    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in LISTING_ORDER.get(check, [])]
+    order = _listing(check)
     return df.orderBy(*order) if order else df
+
+
+def positioned(df: DataFrame, check: str, subject: str | None = None) -> DataFrame:
+    """A check result with every row's ``position`` (from 1) in its customary order, of each ``subject`` on its own if named.
+
+    NULL comes first, in a descending order last; equal rows of the order stand by their other columns.  The positions
+    come from sorted ranges, so a result of any size is listed without a task that holds all of it.
+    """
+    first = {c.lstrip("-") for c in LISTING_ORDER.get(check, [])} | {subject}
+    order = [*_listing(check), *[F.asc_nulls_first(c) for c in df.columns if c not in first]]
+    placed = numbered_within(df, [subject], order, spread=True) if subject else numbered(df, order, spread=True)
+    return placed.withColumn("position", F.col("position") + 1)

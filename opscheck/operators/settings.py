@@ -11,7 +11,14 @@ from opscheck.fixed_values import (
     WAREHOUSE_CODES_SETTING,
     ZONES_SETTING,
 )
-from opscheck.operators.keyed import first_per_key
+from opscheck.operators.keyed import first_per_key, probe
+from opscheck.operators.results import StateRule, state_status
+
+CODES_RULE = StateRule({
+    "none": ("issues_found", "No warehouse code setting found (%d)"),
+    "unreadable": ("error", "The warehouse code setting is no list of codes (%d)"),
+    "read": ("ok", "%d warehouse code(s) read"),
+})
 
 
 def setting(settings: DataFrame, package: str, code: str) -> DataFrame:
@@ -48,3 +55,21 @@ def warehouse_codes(settings: DataFrame, by: tuple[str, ...] = (),
     return (parsed.withColumn("status", status)
             .select(*by, "status", F.inline_outer(listed))
             .withColumnsRenamed({WAREHOUSE_CODE_FIELD: "WarehouseCode", SHIPPING_POINT_FIELD: "ShippingPoint"}))
+
+
+def warehouse_code_statuses(settings: DataFrame, sites: DataFrame | None = None, by: str = "site_code") -> DataFrame:
+    """One status per site: ``issues_found`` without a setting, ``error`` for one that can't be read, else ``ok``.
+
+    The status follows from how the value reads, not from a number: an empty list is ``ok`` with no
+    codes.  ``sites`` (column ``by``) adds the sites that have no such setting at all.
+    """
+    state = {"issues_found": "none", "error": "unreadable", "ok": "read"}
+    named = F.create_map(*[F.lit(x) for pair in state.items() for x in pair])
+    per_site = (warehouse_codes(settings, by=(by,)).groupBy(by)
+                .agg(F.min("status").alias("_status"), F.count("WarehouseCode").alias("n_findings"))
+                .select(F.col(by).alias("subject"), named[F.col("_status")].alias("state"), "n_findings"))
+    if sites is not None:
+        wanted = sites.select(F.col(by).alias("subject")).distinct()
+        per_site = probe(wanted, per_site, "subject", "left", unique=True).select(
+            "subject", F.coalesce("state", F.lit("none")).alias("state"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+    return state_status(per_site, "warehouse_codes", CODES_RULE)

@@ -14,8 +14,10 @@ def vendor_lookup(orders: DataFrame, third_parties: DataFrame) -> DataFrame:
     """Orders with the name and address of their vendor, NULL fields as empty texts.
 
     ``vendor_found`` tells whether the vendor exists.  Of several rows for one
-    id the first by its columns counts.
+    id the first by its columns counts.  Orders that have been looked up before are returned as they are.
     """
+    if "vendor_found" in orders.columns:
+        return orders
     vendors = (first_per_key(third_parties.select("ThirdPartyId", *VENDOR_FIELDS), "ThirdPartyId")
                .withColumn("vendor_found", F.lit(True)))
     found = probe(orders, vendors, "ThirdPartyId", "left")

@@ -16,9 +16,12 @@ from opscheck.fixed_values import (
     MESSAGING_ENVIRONMENTS,
     SITE_ENVIRONMENTS,
 )
+from opscheck.functions.text import clean
 from opscheck.operators import carcass, duplicates, holds, payloads, queues, remediation, shipping
+from opscheck.operators.keyed import probe
 from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
 from opscheck.operators.results import RULES, check_status, findings, scenario_summary
+from opscheck.operators.vendors import vendor_lookup
 from opscheck.session import shared
 
 
@@ -49,6 +52,7 @@ SCENARIOS = {
     "failed_transactions": Scenario("Failed Transactions", ("failed_transactions",)),
     "carcass_lookup": Scenario("Carcass Lookup", (
         "latest_backtag", "kill_group", "lot_details", "hot_record", "epv_record", "raw_messages")),
+    "order_builder": Scenario("Order Builder", ("vendor_lookup", "warehouse_code", "valid_order")),
 }
 
 
@@ -106,18 +110,21 @@ def message_delay(messages: DataFrame, as_of=None, threshold: int = BACKLOG_THRE
 
 
 def pallet_wont_replenish(pick_faces: DataFrame, inventory: DataFrame, tasks: DataFrame,
-                          area_locations: DataFrame, settings: DataFrame) -> ScenarioResult:
-    """Blocked pallets per pick face (column ``LocationId``).
+                          area_locations: DataFrame, settings: DataFrame,
+                          subjects: DataFrame | Sequence[str] | None = None) -> ScenarioResult:
+    """Blocked pallets per pick face (column ``LocationId``), for all of them or for those asked for.
 
-    Statuses come from counts per product, so pick faces that share a product do
-    not multiply its pallets; only the listed findings spell them out.
+    A pick face that is asked for but unknown has no blocked pallet and is ``ok``. Statuses come from counts per
+    product, so pick faces that share a product do not multiply its pallets; only the listed findings spell them out.
     """
     tables = (pick_faces, inventory, tasks, area_locations, settings)
     name = "pallet_wont_replenish"
-    found = findings(replenishment_blocked(*tables), "replenishment_blocked", "LocationId", "PalletNumber", "n_rows")
-    counted = findings(blocked_counts(*tables), "replenishment_blocked", "LocationId", n_rows="n_rows")
-    statuses = check_status(pick_faces.select(F.col("LocationId").alias("subject")), counted,
-                            list(SCENARIOS[name].checks))
+    if subjects is not None and not isinstance(subjects, DataFrame):
+        subjects = pick_faces.sparkSession.createDataFrame([(s,) for s in subjects], pick_faces.select("LocationId").schema)
+    asked = (pick_faces if subjects is None else subjects).select(F.col("LocationId").alias("subject"))
+    found = findings(replenishment_blocked(*tables, subjects=subjects), "replenishment_blocked", "LocationId", "PalletNumber", "n_rows")
+    counted = findings(blocked_counts(*tables, subjects=subjects), "replenishment_blocked", "LocationId", n_rows="n_rows")
+    statuses = check_status(asked, counted, list(SCENARIOS[name].checks))
     return ScenarioResult(found, statuses, _summary(name, statuses))
 
 
@@ -175,16 +182,50 @@ class OrderFiles:
 
 
 def order_files(orders: DataFrame, lines: DataFrame, third_parties: DataFrame,
-                codes: DataFrame | None = None, **options) -> OrderFiles:
+                codes: DataFrame | None = None, reuse: bool = False, **options) -> OrderFiles:
     """Payloads of the valid orders, and the rejected orders with a reason.
 
-    With ``codes`` an order's warehouse has to be one of the configured codes.
+    With ``codes`` an order's warehouse has to be one of the configured codes.  Vendors are looked up once;
+    ``reuse`` computes the validated orders now and keeps them in the checkpoint folder for both outputs.
     """
-    checked = payloads.validate_orders(orders, lines, third_parties)
+    looked_up = vendor_lookup(orders, third_parties)
+    checked = payloads.validate_orders(looked_up, lines, third_parties)
+    checked = shared(checked) if reuse else checked
     valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = checked.filter(F.col("reject_reason").isNotNull())
     if codes is not None:
         unknown = payloads.unknown_warehouse_codes(valid, codes)
         rejects = rejects.unionByName(unknown.withColumn("reject_reason", F.lit("unknown warehouse code")))
         valid = payloads.known_warehouse_codes(valid, codes)
-    return OrderFiles(payloads.order_payloads(valid, lines, third_parties, **options), rejects)
+    return OrderFiles(payloads.order_payloads(valid, lines, third_parties, **options),
+                      rejects.select(*orders.columns, "reject_reason"))
+
+
+def order_builder(orders: DataFrame, lines: DataFrame, third_parties: DataFrame, codes: DataFrame,
+                  reuse: bool = False) -> ScenarioResult:
+    """Whether a payload can be built for every order: its vendor, its warehouse code, and its validation.
+
+    A lookup for which an order names nothing is ``skipped``; an order that is rejected is an ``error``, since no payload
+    is built from it. The findings are the orders with all three results. ``reuse`` computes them now and keeps them in
+    the checkpoint folder.
+    """
+    checked = payloads.validate_orders(vendor_lookup(orders, third_parties), lines, third_parties)
+    configured = codes.select("WarehouseCode").filter(F.col("WarehouseCode").isNotNull()).distinct()
+    record = probe(checked, configured.withColumn("_known", F.lit(True)), "WarehouseCode", "left").select(
+        clean(F.col("OrderNumber")).alias("OrderNumber"), "ThirdPartyId", "vendor_found", "WarehouseCode",
+        F.coalesce("_known", F.lit(False)).alias("code_known"), "reject_reason")
+    record = shared(record) if reuse else record
+
+    def asked(field: str, found: str):
+        return (F.when(F.coalesce(clean(F.col(field)), F.lit("")) == "", "skipped")
+                 .when(F.col(found), "ok").otherwise("issues_found"))
+
+    states = {
+        "vendor_lookup": (asked("ThirdPartyId", "vendor_found"), F.col("vendor_found")),
+        "warehouse_code": (asked("WarehouseCode", "code_known"), F.col("code_known")),
+        "valid_order": (F.when(F.col("reject_reason").isNull(), "ok").otherwise("error"), F.col("reject_reason").isNotNull()),
+    }
+    rows = F.array(*[F.struct(F.lit(check).alias("check"), status.alias("status"), n.cast("bigint").alias("n_findings"))
+                     for check, (status, n) in states.items()])
+    statuses = record.select(F.col("OrderNumber").alias("subject"), F.inline(rows))
+    return ScenarioResult(record, statuses, _summary("order_builder", statuses))

@@ -10,7 +10,8 @@ A suite is JSON of the shape::
                   "takes": [{"source_query_id": ..., "extracted_key": ..., "target_param": ...}],
                   "creates_temp_tables": ["name"], "reads_temp_tables": ["name"]}]}
 
-Missing keys have empty defaults.  Inside the SQL of a step
+Missing keys have empty defaults, and blank blocks are left out.  A step that cannot run (no SQL, no id, a
+chain without its source) has status ``error``.  Inside the SQL of a step
 
 * ``:name`` is a parameter, bound by name;
 * a taken value is a one-column view: with target ``bad``, write
@@ -26,7 +27,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import CycleError, TopologicalSorter
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from opscheck.functions.text import row_text
 from opscheck.operators.keyed import complete
 from opscheck.operators.results import RULES, check_status, scenario_summary
+from opscheck.session import stored
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,7 @@ class SuiteResult:
     statuses: DataFrame
     summary: DataFrame
     steps: Mapping[str, DataFrame] = field(default_factory=dict)
+    problems: tuple[str, ...] = ()
 
 
 def load_suite(spark: SparkSession, path: str) -> dict:
@@ -117,55 +121,107 @@ def _taken(source: DataFrame, key: str, target: str) -> DataFrame:
     return complete(source.select(F.col(f"`{column}`").alias(target)), target).distinct()
 
 
-def _run_step(spark: SparkSession, step: dict, args: Mapping, results: dict[str, DataFrame],
-              views: _Views) -> DataFrame:
-    blocks = step.get("sql_blocks")
-    if not blocks or not all((b.get("sql") or "").strip() for b in blocks):
-        raise ValueError("a step needs SQL in every block")
-    bound = {p["name"]: args.get(p["name"], p.get("default", "")) for p in step.get("parameters", [])}
-    for take in step.get("takes", []):
-        target = _view_name(take["target_param"])
-        views.add(target, _taken(results[take["source_query_id"]], take["extracted_key"], target), replace=True)
-    for name, block in zip(_created(step), blocks[:-1]):
-        views.add(name, spark.sql(block["sql"], args=bound))
-    return spark.sql(blocks[-1]["sql"], args=bound)
+def _blocks(step: Mapping) -> list[dict]:
+    return [b for b in step.get("sql_blocks") or [] if (b.get("sql") or "").strip()]
+
+
+def _checked(suite: Mapping) -> tuple[list[dict], dict[str, str]]:
+    """The steps with an id and only their filled blocks, and what keeps some of them from running, by id."""
+    steps, problems = [], {}
+    for n, query in enumerate(suite.get("queries") or [], 1):
+        if not isinstance(query, Mapping):
+            query = {}
+        step = dict(query) | {"id": query.get("id") or f"query_{n}", "sql_blocks": _blocks(query)}
+        step |= {k: step.get(k) or [] for k in ("parameters", "takes", "creates_temp_tables", "reads_temp_tables")}
+        if not query.get("id"):
+            problems[step["id"]] = f"query {n} needs an id"
+        elif not step["sql_blocks"]:
+            problems[step["id"]] = f"query {step['id']!r} needs SQL"
+        elif any(not t.get(k) for t in step["takes"] for k in ("source_query_id", "extracted_key", "target_param")):
+            problems[step["id"]] = f"query {step['id']!r} takes a value without a source, key or target"
+        elif any(not p.get("name") for p in step["parameters"]):
+            problems[step["id"]] = f"query {step['id']!r} has a parameter without a name"
+        if step["id"] in problems:
+            step |= {"takes": [], "reads_temp_tables": [], "creates_temp_tables": [], "sql_blocks": []}
+        steps.append(step)
+    return steps, problems
 
 
 def suite_problems(suite: Mapping) -> list[str]:
-    """What a suite lacks: title, environment, business unit, queries, or SQL in each of them."""
+    """What a suite lacks: title, environment, business unit, queries, and what each query needs to run."""
     problems = [f"a suite needs {name}" for name, key in (
         ("a title", "title"), ("an environment", "environments"), ("a business unit", "business_units"),
         ("at least one query", "queries")) if not suite.get(key)]
-    return problems + [f"query {q.get('id')!r} needs SQL in every block" for q in suite.get("queries") or []
-                       if not q.get("sql_blocks") or not all((b.get("sql") or "").strip() for b in q["sql_blocks"])]
+    return problems + list(_checked(suite)[1].values())
+
+
+def _readers(steps: list[dict]) -> Counter:
+    """How many blocks, chains and outputs read each view and each step's result."""
+    texts = [(step["id"], n, block["sql"]) for step in steps for n, block in enumerate(step["sql_blocks"])]
+    readers = Counter(_view_name(t["source_query_id"]) for step in steps for t in step["takes"])
+    for step in steps:
+        readers[_view_name(step["id"])] += 1  # its findings
+        for place, name in enumerate([*_created(step), _view_name(step["id"])]):
+            named = re.compile(rf"\b{re.escape(name)}\b", re.IGNORECASE)
+            readers[name] += sum(bool(named.search(sql)) for at, n, sql in texts if at != step["id"] or n > place)
+    return readers
+
+
+def _run_step(spark: SparkSession, step: dict, args: Mapping, results: dict[str, DataFrame],
+              views: _Views, keep: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    blocks = step["sql_blocks"]
+    bound = {p["name"]: args.get(p["name"], p.get("default", "")) for p in step["parameters"]}
+    for take in step["takes"]:
+        target = _view_name(take["target_param"])
+        views.add(target, _taken(results[take["source_query_id"]], take["extracted_key"], target), replace=True)
+    for name, block in zip(_created(step), blocks[:-1]):
+        views.add(name, keep(name, spark.sql(block["sql"], args=bound)))
+    return spark.sql(blocks[-1]["sql"], args=bound)
 
 
 def run_suite(spark: SparkSession, suite: dict, args: Mapping | None = None,
-              results_path: str | None = None) -> SuiteResult:
-    """Run a suite and return its findings, statuses and summary.
-
-    Steps stay lazy and are planned together.  A step whose SQL is rejected has
-    status ``error``, and all steps that depend on it, directly or not, are
-    ``skipped``.  With ``results_path`` every step is written there and read
-    back: errors at run time are then caught per step too, and a step that feeds
-    several others is computed once.
+              results_path: str | None = None, share: bool = True, strict: bool = False) -> SuiteResult:
+    """Run a suite and return its findings, statuses, summary and ``problems`` (:func:`suite_problems`).
+
+    A step that cannot run or whose SQL is rejected has status ``error``, and all steps that depend on it, directly or
+    not, are ``skipped``.  With ``strict`` a suite with problems raises before anything runs.
+
+    A block or step with two readers or more (blocks, chains, its findings) is written once, below ``results_path`` or in the
+    checkpoint folder, and read from there; the rest stays lazy and is planned together with its reader.  ``share=False``
+    keeps everything lazy.  With ``results_path`` every step is written; errors at run time are then caught per step too.
     """
-    title = suite.get("title", "")
+    problems = suite_problems(suite)
+    if strict and problems:
+        raise ValueError("; ".join(problems))
+    title = suite.get("title") or ""
+    steps, broken = _checked(suite)
+    readers = _readers(steps)
     views = _Views(spark)
     results: dict[str, DataFrame] = {}
-    failed: dict[str, tuple[str, str]] = {}
+    failed: dict[str, tuple[str, str]] = {i: ("error", told) for i, told in broken.items()}
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        target = f"{results_path.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        """``df``, written first if several readers need it."""
+        if not share or readers[name] < 2:
+            return df
+        return written(f"_shared/{name}", df) if results_path else stored(df)
+
     try:
-        for step in _ordered(suite.get("queries", [])):
+        for step in _ordered(steps):
+            if step["id"] in failed:
+                continue
             upstream = [s for s in step["needs"] if s in failed]
             if upstream:
                 failed[step["id"]] = ("skipped", "Skipped, an upstream step failed")
                 continue
             try:
-                result = _run_step(spark, step, args or {}, results, views)
-                if results_path:
-                    target = f"{results_path.rstrip('/')}/{step['id']}"
-                    result.write.mode("overwrite").parquet(target)
-                    result = spark.read.schema(result.schema).parquet(target)
+                result = _run_step(spark, step, args or {}, results, views, keep)
+                result = written(step["id"], result) if results_path else keep(_view_name(step["id"]), result)
                 views.add(_view_name(step["id"]), result)
                 results[step["id"]] = result
             except (PySparkException, ValueError) as error:
@@ -173,20 +229,20 @@ def run_suite(spark: SparkSession, suite: dict, args: Mapping | None = None,
     finally:
         views.drop_all()
 
-    titles = {s["id"]: s.get("title", s["id"]) for s in suite.get("queries", [])}
+    titles = {s["id"]: s.get("title") or s["id"] for s in steps}
     found = _suite_findings(spark, results)
     statuses = _suite_statuses(spark, found, list(results), failed)
     labelled = F.col("check")
     if titles:
         labelled = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[F.col("check")]
     tags = {
-        "environments": tuple(suite.get("environments", [])),
-        "business_units": tuple(suite.get("business_units", [])),
+        "environments": tuple(suite.get("environments") or []),
+        "business_units": tuple(suite.get("business_units") or []),
     }
     return SuiteResult(
         found.withColumns({"suite": F.lit(title), "title": labelled} | {
             k: F.array(*[F.lit(x) for x in v]).cast("array<string>") for k, v in tags.items()}),
-        statuses, scenario_summary(statuses, title, **tags), results)
+        statuses, scenario_summary(statuses, title, **tags), results, tuple(problems))
 
 
 def _suite_findings(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
