@@ -56,6 +56,9 @@ _REPLENISHMENT = """
           AND (c.PalletNumber IS NOT NULL OR t.StatusId <> 7))
 """
 
+_SHARED_FACES = _REPLENISHMENT.replace("JOIN part p ON p.p_partkey = s.ProductId", """JOIN (
+            SELECT p_partkey, p_partkey - p_partkey % 4 AS product FROM part) p ON p.product = s.ProductId""")
+
 _CARCASS = """
     backtag AS (
         SELECT * FROM (
@@ -282,6 +285,20 @@ _PAYLOADS = """
           FROM details GROUP BY 1, 2) d
     JOIN header_lines h ON h.OrderNumber = d.OrderNumber
 """
+_BUILDER = """
+    builder AS (
+        SELECT h.OrderNumber AS subject, 'vendor_lookup' AS "check",
+               CASE WHEN v.ThirdPartyId IS NULL THEN 'issues_found' ELSE 'ok' END AS status,
+               CAST(v.ThirdPartyId IS NOT NULL AS BIGINT) AS n_findings
+        FROM headers h LEFT JOIN vendors v ON v.ThirdPartyId = h.ThirdPartyId
+        UNION ALL
+        SELECT OrderNumber, 'warehouse_code', CASE WHEN known THEN 'ok' ELSE 'issues_found' END, CAST(known AS BIGINT)
+        FROM (SELECT OrderNumber, WarehouseCode IN (SELECT c.WarehouseCode FROM codes c WHERE c.WarehouseCode IS NOT NULL) AS known
+              FROM headers)
+        UNION ALL
+        SELECT OrderNumber, 'valid_order', CASE WHEN reject_reason IS NULL THEN 'ok' ELSE 'error' END,
+               CAST(reject_reason IS NOT NULL AS BIGINT) FROM validated)
+"""
 _CHAIN = """
     SELECT CAST(c_custkey AS VARCHAR) AS CarcassId, c_nationkey AS KillGroupId, kg.ScheduleGroup{kg},
            kg.kg_PurchaseGroup, kg.kg_HeadCount, kg.KillGroupId IS NOT NULL AS kg_found{lots}
@@ -324,6 +341,22 @@ ORACLES: dict[str, str] = {
     "replenishment_blocked_rows": f"WITH {_REPLENISHMENT} SELECT LocationId, PalletNumber, Reason FROM blocked",
     "blocked_counts": f"""WITH {_REPLENISHMENT}
         SELECT LocationId, count(DISTINCT PalletNumber) AS n_pallets, count(*) AS n_rows FROM blocked GROUP BY LocationId""",
+    "blocked_pairs": f"WITH {_SHARED_FACES} SELECT LocationId, PalletNumber, Reason, count(*) AS n_rows FROM blocked GROUP BY 1, 2, 3",
+    "blocked_pallets": f"""WITH {_SHARED_FACES},
+        pairs AS (
+            SELECT p_partkey - p_partkey % 4 AS ProductId, LocationId, PalletNumber, Reason, count(*) AS n_rows
+            FROM blocked JOIN part ON p_partkey = LocationId GROUP BY 1, 2, 3, 4)
+        SELECT ProductId, PalletNumber, Reason, n_rows, count(*) AS n_faces FROM pairs GROUP BY 1, 2, 3, 4""",
+    "pick_face_products": "SELECT p_partkey AS LocationId, p_partkey - p_partkey % 4 AS ProductId FROM part",
+    "listed_allocations": f"""
+        SELECT *, row_number() OVER (PARTITION BY DeliveryNumber ORDER BY InventoryId NULLS FIRST) AS position FROM ({_UNALLOCATED})""",
+    "listed_backlog": f"""
+        SELECT *, row_number() OVER (ORDER BY PendingCount DESC, MessageName) AS position FROM ({_BACKLOG})""",
+    "listed_duplicates": f"""WITH {_CASES}
+        SELECT ProductionDate, InventoryId AS DuplicateInventoryId, Barcode,
+               row_number() OVER (ORDER BY ProductionDate, InventoryId, Barcode) AS position FROM stale""",
+    "listed_messages": "SELECT *, row_number() OVER (PARTITION BY CarcassId ORDER BY MessageId, StatusId, Data) AS position FROM ("
+                       + _MESSAGES.format(match="contains(props, CAST(s_suppkey AS VARCHAR))") + ")",
     "blocked_pallet_lines": f"""WITH {_REPLENISHMENT}
         SELECT LocationId, rpad(CAST(PalletNumber AS VARCHAR), 20, ' ') || ' ' || Reason AS line
         FROM blocked GROUP BY LocationId, PalletNumber, Reason""",
@@ -419,9 +452,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN v.ThirdPartyId IS NULL THEN 'No vendor found (0)' ELSE '1 vendor(s) found' END AS headline
         FROM headers h LEFT JOIN vendors v ON v.ThirdPartyId = h.ThirdPartyId""",
     "warehouse_codes": f"WITH {_ORDERS} SELECT * FROM codes",
+    "warehouse_code_statuses": f"""WITH {_ORDERS},
+        states AS (
+            SELECT site_code AS subject, min(status) AS status, count(WarehouseCode) AS n FROM codes GROUP BY site_code
+            UNION ALL SELECT n_name, 'issues_found', 0 FROM nation)
+        SELECT 'warehouse_codes' AS "check", subject, status, n AS n_findings, CASE status
+               WHEN 'ok' THEN n || ' warehouse code(s) read' WHEN 'error' THEN 'The warehouse code setting is no list of codes (0)'
+               ELSE 'No warehouse code setting found (0)' END AS headline FROM states""",
     "order_header_lines": f"WITH {_ORDERS} SELECT * FROM header_lines",
     "order_detail_lines": f"WITH {_ORDERS} SELECT * FROM details",
     "order_payloads": f"WITH {_ORDERS}" + _PAYLOADS.format(size=10000),
+    "order_files": f"WITH {_ORDERS} SELECT * FROM (" + _PAYLOADS.format(size=10000) + """) WHERE OrderNumber IN (
+        SELECT OrderNumber FROM validated WHERE reject_reason IS NULL
+        AND WarehouseCode IN (SELECT c.WarehouseCode FROM codes c WHERE c.WarehouseCode IS NOT NULL))""",
+    "order_builder_statuses": f"WITH {_ORDERS}, {_BUILDER} SELECT * FROM builder",
+    "order_builder_summary": f"WITH {_ORDERS}, {_BUILDER}" + _summary("Order Builder", "builder"),
     "order_payload_parts": f"WITH {_ORDERS}" + _PAYLOADS.format(size=3),
     "validate_orders": f"WITH {_ORDERS} SELECT OrderNumber, FileName, reject_reason FROM validated",
     "unknown_warehouse_codes": f"""WITH {_ORDERS} SELECT OrderNumber, WarehouseCode FROM headers
@@ -465,6 +510,13 @@ ORACLES: dict[str, str] = {
         "Pallet Won't Replenish to Location",
         "(SELECT CAST(p_partkey AS VARCHAR) AS subject, CASE WHEN EXISTS (SELECT 1 FROM blocked b "
         "WHERE b.LocationId = p_partkey) THEN 'issues_found' ELSE 'ok' END AS status FROM part)"),
+    "pallet_wont_replenish_asked": f"""WITH {_REPLENISHMENT}
+        SELECT 'replenishment_blocked' AS "check", CAST(asked AS VARCHAR) AS subject, n AS n_findings,
+               CASE WHEN n > 0 THEN 'issues_found' ELSE 'ok' END AS status,
+               CASE WHEN n > 0 THEN n || ' pallet line(s) blocked' ELSE 'No blocked pallets (0)' END AS headline
+        FROM (SELECT asked, count(LocationId) AS n FROM (
+                  SELECT s_suppkey AS asked FROM supplier UNION SELECT -s_suppkey FROM supplier)
+              LEFT JOIN blocked ON LocationId = asked GROUP BY asked)""",
     "duplicate_inventory_findings": f"""WITH {_CASES}
         SELECT 'duplicate_inventory' AS "check", '*' AS subject, CAST(InventoryId AS VARCHAR) AS finding_key,
                1 AS n_rows FROM stale

@@ -18,8 +18,8 @@ from opscheck.functions.text import field_lines, padded, row_text
 from opscheck.operators import carcass, duplicates, payloads, queues, remediation, results, shipping
 from opscheck.operators.batches import in_clause
 from opscheck.operators.holds import missing_hold_reason
-from opscheck.operators.replenishment import blocked_counts, replenishment_blocked
-from opscheck.operators.settings import warehouse_codes
+from opscheck.operators.replenishment import blocked_counts, blocked_factors, replenishment_blocked
+from opscheck.operators.settings import warehouse_code_statuses, warehouse_codes
 from opscheck.operators.vendors import vendor_lookup
 from opscheck.plans import scenarios
 from opscheck.plans.suites import run_suite
@@ -119,6 +119,15 @@ class Roles:
     def pick_faces(self):
         return adapt(self.table("part"), LocationId="p_partkey", ProductId="p_partkey")
 
+    def shared_pick_faces(self):
+        """Pick faces of which several hold one product."""
+        return adapt(self.table("part"), LocationId="p_partkey", ProductId=F.col("p_partkey") - F.col("p_partkey") % 4)
+
+    def asked_pick_faces(self):
+        """Every pick face whose number is a supplier's, and as many that do not exist."""
+        known = self.table("supplier").select(F.col("s_suppkey").alias("LocationId"))
+        return known.unionByName(known.select((-F.col("LocationId")).alias("LocationId")))
+
     def zoned_locations(self):
         return adapt(self.table("supplier"), LocationId="s_suppkey", ZoneId="s_nationkey")
 
@@ -315,6 +324,20 @@ def _vendor_statuses(r: Roles) -> DataFrame:
         ["vendor_lookup"])
 
 
+def _replenishment(r: Roles) -> tuple[DataFrame, ...]:
+    return r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings()
+
+
+def _order_builder(r: Roles) -> scenarios.ScenarioResult:
+    return scenarios.order_builder(r.order_headers(), r.order_lines(), r.third_parties(),
+                                   warehouse_codes(r.code_settings(), by=("site_code",)))
+
+
+def _sites(r: Roles) -> DataFrame:
+    """The sites of the code settings, and one per nation that has none."""
+    return r.code_settings().select("site_code").unionByName(adapt(r.table("nation"), site_code="n_name"))
+
+
 def _document_stops(r: Roles):
     return adapt(r.table("documents"), DeliveryNumber="source", ShipmentNumber="doc_id")
 
@@ -345,6 +368,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
         r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings(), per="row"),
     "blocked_counts": lambda r: blocked_counts(
         r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings()),
+    "blocked_pallets": lambda r: blocked_factors(r.shared_pick_faces(), *_replenishment(r)).pallets,
+    "blocked_pairs": lambda r: blocked_factors(r.shared_pick_faces(), *_replenishment(r)).pairs(),
+    "pick_face_products": lambda r: blocked_factors(r.shared_pick_faces(), *_replenishment(r)).faces,
+    # customary order
+    "listed_allocations": lambda r: results.positioned(
+        shipping.missing_allocations(r.inventory(), r.allocations()), "missing_allocations", "DeliveryNumber"),
+    "listed_backlog": lambda r: results.positioned(
+        queues.pending_backlog(r.messages(), AS_OF, DONE), "pending_backlog"),
+    "listed_duplicates": lambda r: results.positioned(r.stale().select(
+        "ProductionDate", "DuplicateInventoryId", "Barcode"), "duplicate_inventory"),
+    "listed_messages": lambda r: results.positioned(
+        carcass.raw_messages(r.searched_ids(), r.raw(), "error"), "raw_messages", "CarcassId"),
     # duplicates and remediation
     "duplicate_groups": lambda r: r.groups(),
     "stale_duplicates": lambda r: r.stale(),
@@ -384,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
         r.order_headers().select("OrderNumber", "ThirdPartyId"), r.third_parties()),
     "vendor_statuses": lambda r: _vendor_statuses(r),
     "warehouse_codes": lambda r: warehouse_codes(r.code_settings(), by=("site_code",)),
+    "warehouse_code_statuses": lambda r: warehouse_code_statuses(r.code_settings(), _sites(r)),
     "order_header_lines": lambda r: payloads.order_header_lines(
         r.order_headers(), r.order_lines(), r.third_parties()),
     "order_detail_lines": lambda r: payloads.order_detail_lines(r.order_lines()),
@@ -399,6 +435,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
     "order_file_rejects": lambda r: scenarios.order_files(
         r.order_headers(), r.order_lines(), r.third_parties(),
         warehouse_codes(r.code_settings(), by=("site_code",))).rejects.select("OrderNumber", "reject_reason"),
+    "order_files": lambda r: scenarios.order_files(
+        r.order_headers(), r.order_lines(), r.third_parties(),
+        warehouse_codes(r.code_settings(), by=("site_code",))).payloads,
+    "order_builder_statuses": lambda r: _order_builder(r).statuses,
+    "order_builder_summary": lambda r: _flat(_order_builder(r).summary),
     # results and scenarios
     "findings": lambda r: results.findings(
         shipping.missing_allocations(r.inventory(), r.allocations()),
@@ -421,6 +462,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
     "message_delay": lambda r: scenarios.message_delay(r.messages(), AS_OF, done=DONE).statuses,
     "pallet_wont_replenish": lambda r: _flat(scenarios.pallet_wont_replenish(
         r.pick_faces(), r.stock(), r.tasks(), r.zoned_locations(), r.zone_settings()).summary),
+    "pallet_wont_replenish_asked": lambda r: scenarios.pallet_wont_replenish(
+        r.pick_faces(), *_replenishment(r), subjects=r.asked_pick_faces()).statuses,
     "duplicate_inventory_findings": lambda r: _duplicate_inventory(r).findings.drop("detail"),
     "duplicate_inventory_summary": lambda r: _flat(_duplicate_inventory(r).summary),
     "missing_carcasses": lambda r: _flat(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,16 +51,20 @@ def load_all_sites(spark: SparkSession, sites: Iterable[Site], table: str, role:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def across_sites(spark: SparkSession, sites: Iterable[Site], check: Callable[..., DataFrame]) -> DataFrame:
+def across_sites(spark: SparkSession, sites: Iterable[Site], check: Callable[..., DataFrame],
+                 options: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Run a check on every site and stack the results, tagged with ``site_code``.
 
-    ``check`` gets a loader ``load(table, role=None)``.  Keys of different sites
-    never meet, and all sites run in one job.
+    ``check`` gets a loader ``load(table, role=None, **options)``.  ``options`` holds reader options per table
+    (of :func:`opscheck.sources.tables.load_table`, such as ``partition``), which the loader's own arguments
+    override.  Keys of different sites never meet, and all sites run in one job.
     """
     from opscheck.sources.tables import load_table
 
     def one(site: Site) -> DataFrame:
-        return check(lambda table, role=None: load_table(spark, site, table, role)).withColumn(
-            "site_code", F.lit(site.code))
+        def load(table: str, role: str | None = None, **own) -> DataFrame:
+            return load_table(spark, site, table, role, **{**(options or {}).get(table, {}), **own})
+
+        return check(load).withColumn("site_code", F.lit(site.code))
 
     return reduce(lambda a, b: a.unionByName(b), [one(s) for s in sites])

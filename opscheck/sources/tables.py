@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opscheck.roles import SCHEMAS
 from opscheck.sources.sites import Site
@@ -33,15 +37,86 @@ def jdbc_options(site: Site, table: str, columns: list[str] | None = None,
     return options | extra
 
 
+def _literal(value: object) -> str:
+    """A value as SQL text; a text or a date is quoted."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"{value!r} bounds nothing")
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return f"'{value.isoformat()}'"
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(column: str, bounds: Sequence) -> list[str]:
+    """Conditions that split a table at ``bounds`` into ranges, each row in exactly one; NULL goes with the first.
+
+    Every condition is one task's query, so a read over JDBC is as parallel as there are ranges.
+    """
+    cuts = [_literal(b) for b in sorted(set(bounds))]
+    if not cuts:
+        return ["1 = 1"]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]} OR {column} IS NULL", *between, f"{column} >= {cuts[-1]}"]
+
+
+def key_predicates(column: str, values: Sequence, n: int) -> list[str]:
+    """Conditions for a column of few values, ``n`` lists of them and one for the rows with none of them.
+
+    The values come in the order of their weight, heaviest first, and are dealt to the lists in turn, so that heavy ones part.
+    """
+    keys = [_literal(v) for v in dict.fromkeys(values)]
+    if not keys:
+        return ["1 = 1"]
+    lists = [keys[k::n] for k in range(min(n, len(keys)))]
+    rest = f"{column} IS NULL OR {column} NOT IN ({', '.join(keys)})"
+    return [f"{column} IN ({', '.join(part)})" for part in lists] + [rest]
+
+
+def sampled_bounds(sample: DataFrame, column: str, n: int) -> list:
+    """At most ``n`` - 1 distinct values that split a sample into ``n`` parts of about equal size.
+
+    Any ordered type will do: the sample's values are summed up in its own order. ``sample`` is small, such
+    as a percent of the table's pages; only the bounds come to the driver.
+    """
+    counted = sample.select(F.col(column).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("v", "n")))
+    upto = F.expr("transform(o, (x, i) -> struct(x.v AS v, aggregate(slice(o, 1, i), 0L, (s, y) -> s + y.n) AS before))")
+    placed = counted.agg(ordered.alias("o"), F.sum("n").alias("total")).select("total", F.explode(upto).alias("p"))
+    part = F.floor(F.col("p.before") * n / F.col("total"))
+    cuts = placed.select(part.alias("part"), F.col("p.v").alias("v")).groupBy("part").agg(F.min("v").alias("v"))
+    return sorted(r["v"] for r in cuts.filter("part > 0").collect())
+
+
+def sample_query(table: str, column: str, percent: float = 1.0) -> str:
+    """The query that reads a share of a table's pages for :func:`sampled_bounds`."""
+    return f"(SELECT {column} FROM {table} TABLESAMPLE ({percent:g} PERCENT)) AS t"
+
+
+def load_in_ranges(spark: SparkSession, site: Site, table: str, column: str, n: int, percent: float = 1.0,
+                   **jdbc) -> DataFrame:
+    """A table over JDBC in ``n`` ranges of ``column`` of about equal size, by bounds from a sample of its pages."""
+    options = jdbc_options(site, table, **jdbc)
+    sample = spark.read.format("jdbc").options(**options | {"dbtable": sample_query(table, column, percent)}).load()
+    return _by_predicates(spark, options, range_predicates(column, sampled_bounds(sample, column, n)))
+
+
+def _by_predicates(spark: SparkSession, options: dict[str, str], predicates: list[str]) -> DataFrame:
+    rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=predicates, properties=rest)
+
+
 def load_table(spark: SparkSession, site: Site, table: str, role: str | None = None,
-               **jdbc) -> DataFrame:
+               predicates: Sequence[str] | None = None, **jdbc) -> DataFrame:
     """One table of a site.
 
     A site whose ``database`` is a path (it contains a slash) is read as Parquet
     from ``<database>/<table>.parquet``, with the role's declared schema if one is
-    named; any other site is read over JDBC with a driver the user supplies.
+    named; any other site is read over JDBC with a driver the user supplies, in one task
+    unless ``partition`` or ``predicates`` (one task each) say otherwise.
     """
     if "/" in site.database:
         reader = spark.read.schema(SCHEMAS[role]) if role else spark.read
         return reader.parquet(f"{site.database.rstrip('/')}/{table}.parquet")
-    return spark.read.format("jdbc").options(**jdbc_options(site, table, **jdbc)).load()
+    options = jdbc_options(site, table, **jdbc)
+    if predicates:
+        return _by_predicates(spark, options, list(predicates))
+    return spark.read.format("jdbc").options(**options).load()

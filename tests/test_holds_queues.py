@@ -63,3 +63,13 @@ def test_backlog_threshold(spark, total, status):
 def test_backlog_status_of_an_empty_day(spark):
     none = make(spark, "outbound_messages", ("A", "NEW", at("2024-01-15T08:00:00")))
     assert rows(queues.backlog_status(queues.pending_backlog(none, "2023-01-01"))) == [(0, 0, "ok")]
+
+
+def test_backlog_of_the_current_day(spark):
+    from pyspark.sql import functions as F
+
+    from opscheck.operators.queues import pending_backlog
+
+    messages = spark.range(3).select(F.lit("m").alias("MessageName"), F.lit("OPEN").alias("Status"),
+                                     (F.current_date() - F.col("id").cast("int")).cast("timestamp_ntz").alias("CreateTime"))
+    assert rows(pending_backlog(messages), "PendingCount") == [(1,)]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opscheck.operators.keyed import first_per_key, probe, repeated
+from opscheck.roles import under_collation
 from tests.fixtures import rows
 
 TYPES = [("BIGINT", "BIGINT"), ("INT", "BIGINT"), ("STRING", "STRING"), ("DECIMAL(18,0)", "DECIMAL(18,0)"),
@@ -25,6 +26,23 @@ def test_collated_keys_match_regardless_of_case(spark):
     assert probe(left, right, "k").count() == 1
 
 
+def test_texts_that_are_equal_under_the_case_rule_are_routed_alike(spark):
+    """Over all characters: whatever the collation takes as equal must meet in one task."""
+    points = spark.createDataFrame(
+        [(chr(c),) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000] + [("ΑΣ",), ("ας",), ("ασ",), ("İx",), ("i̇x",)], "t STRING")
+    keyed_rows = points.select(F.collate("t", "UTF8_LCASE").alias("k"), F.monotonically_increasing_id().alias("v"))
+    firsts = keyed_rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert probe(keyed_rows, firsts, "k").count() == points.count()
+    assert firsts.count() < points.count()
+
+
+@pytest.mark.parametrize("collation, n", [("UTF8_LCASE", 2), ("UTF8_LCASE_RTRIM", 3)])
+def test_case_rule_for_all_texts_of_a_table(spark, collation, n):
+    left = under_collation(spark.createDataFrame([("AB", 1), ("ab ", 2), ("aB", 3), ("c", 4)], "k STRING, v INT"), collation=collation)
+    right = under_collation(spark.createDataFrame([("ab", 1)], "k STRING, w INT"), "k", collation=collation)
+    assert probe(left, right, "k", "left_semi").count() == n
+
+
 def test_null_safe_probe_matches_nulls(spark):
     left = spark.sql("SELECT nullif(id, 1) AS k, 'x' AS j, id AS v FROM range(3)")
     right = spark.sql("SELECT nullif(id, 1) AS k, 'x' AS j, id AS w FROM range(2)")

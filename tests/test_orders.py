@@ -156,3 +156,36 @@ def test_warehouse_codes(spark, value, status, codes):
 
 def test_warehouse_codes_without_setting(spark):
     assert rows(warehouse_codes(make(spark, "settings", ("a", "b", "c")))) == []
+
+
+def test_statuses_of_code_settings(spark):
+    from opscheck.operators.settings import warehouse_code_statuses
+
+    values = {"read": json.dumps([coded("W1", "P1"), coded("W2", "P")]), "empty": "[]", "blank": "", "null": None, "broken": "[{"}
+    settings = spark.createDataFrame([(site, *KEY, v) for site, v in values.items()],
+                                     "site_code STRING, PackageName STRING, Code STRING, Value STRING")
+    sites = keys(spark, "site_code", *values, "absent")
+    found = rows(warehouse_code_statuses(settings, sites), "subject", "status", "n_findings")
+    assert found == sorted([("read", "ok", 2), ("empty", "ok", 0), ("blank", "issues_found", 0), ("null", "issues_found", 0),
+                            ("broken", "error", 0), ("absent", "issues_found", 0)], key=repr)
+    told = {r["subject"]: r["headline"] for r in warehouse_code_statuses(settings).collect()}
+    assert told["read"] == "2 warehouse code(s) read" and "absent" not in told
+
+
+def test_order_builder_statuses(spark, orders, lines, vendors):
+    codes = warehouse_codes(make(spark, "settings", (*KEY, json.dumps([coded("W1", "P1")]))))
+    result = scenarios.order_builder(orders, lines, vendors, codes, reuse=True)
+    table = {}
+    for r in result.statuses.collect():
+        table.setdefault(r["subject"], {})[r["check"]] = r["status"]
+    assert table["1"] == {"vendor_lookup": "ok", "warehouse_code": "ok", "valid_order": "ok"}
+    assert table["5"] == {"vendor_lookup": "issues_found", "warehouse_code": "issues_found", "valid_order": "ok"}
+    assert table["3"] == {"vendor_lookup": "skipped", "warehouse_code": "skipped", "valid_order": "error"}
+    summary = {r["subject"]: (r["overall"], r["ran"], r["skipped"]) for r in result.summary.collect()}
+    assert (summary["1"], summary["3"]) == (("ok", 3, 0), ("error", 1, 2))
+
+
+def test_vendors_are_looked_up_once(spark, orders, lines, vendors):
+    files = scenarios.order_files(orders, lines, vendors)
+    plan = files.payloads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") == 1

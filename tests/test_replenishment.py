@@ -62,3 +62,22 @@ def test_counts_per_pick_face(spark, tables):
 def test_scenario_statuses(spark, tables):
     statuses = scenarios.pallet_wont_replenish(**tables).statuses
     assert rows(statuses, "subject", "status", "n_findings") == [("F1", "issues_found", 7), ("F2", "ok", 0)]
+
+
+def test_factors_stand_for_all_pairs(spark, tables):
+    from opscheck.operators.replenishment import blocked_factors
+
+    tables["pick_faces"] = make(spark, "pick_faces", ("F1", 1), ("F2", 99), ("F3", 1))
+    factors = blocked_factors(**tables)
+    assert rows(factors.pairs()) == rows(replenishment_blocked(**tables))
+    assert {r["n_faces"] for r in factors.pallets.collect()} == {2} and factors.pallets.count() == 3
+    plan = factors.pallets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FullOuter") == 0
+
+
+def test_asked_pick_faces_and_unknown_ones(spark, tables):
+    for asked in (["F1", "nowhere"], keys(spark, "LocationId", "F1", "nowhere", type_="STRING")):
+        result = scenarios.pallet_wont_replenish(**tables, subjects=asked)
+        assert rows(result.statuses, "subject", "status", "n_findings") == [("F1", "issues_found", 7), ("nowhere", "ok", 0)]
+        assert {r["subject"] for r in result.findings.collect()} == {"F1"}
+    assert rows(scenarios.pallet_wont_replenish(**tables, subjects=[]).statuses) == []

@@ -2,12 +2,19 @@ import json
 
 import pytest
 
-from opscheck.operators.results import RULES, findings, listed
+from opscheck.operators.results import LISTING_ORDER, RULES, findings, listed, positioned
 from opscheck.operators.shipping import missing_allocations
 from opscheck.plans.scenarios import SCENARIOS, scenarios_for
 from opscheck.sources.sinks import write_findings, write_lines
 from opscheck.sources.sites import across_sites, load_all_sites, load_sites
-from opscheck.sources.tables import jdbc_options, load_table
+from opscheck.sources.tables import (
+    jdbc_options,
+    key_predicates,
+    load_table,
+    range_predicates,
+    sample_query,
+    sampled_bounds,
+)
 from tests.fixtures import keys, make, rows
 
 
@@ -55,6 +62,56 @@ def test_jdbc_options(spark, registry):
     assert jdbc_options(site, "t", read_uncommitted=False)["dbtable"] == "(SELECT * FROM t) AS t"
 
 
+def test_options_per_table_reach_the_reader(spark, registry, monkeypatch):
+    from opscheck.sources import tables
+
+    seen = []
+    monkeypatch.setattr(tables, "load_table", lambda spark, site, table, role=None, **own: seen.append((site.code, table, own)) or spark.range(1))
+    sites = load_sites(spark, registry)
+    across_sites(spark, sites, lambda load: load("a").unionByName(load("b", fetchsize="5")),
+                 {"a": {"partition": ("id", 0, 10, 2)}, "b": {"fetchsize": "1"}})
+    assert seen[:2] == [("A", "a", {"partition": ("id", 0, 10, 2)}), ("A", "b", {"fetchsize": "5"})]
+
+
+@pytest.mark.parametrize("values", [[3, 1, 2, 2], ["b", "a'c", "é"], [], [5]])
+def test_predicates_put_every_row_in_one_part(spark, values):
+    kind = "STRING" if values and isinstance(values[0], str) else "INT"
+    data = [*values, None, *(["", "zz", "a"] if kind == "STRING" else [-7, 99, 4])]
+    df = keys(spark, "v", *data, type_=kind)
+    for conditions in (range_predicates("v", values), key_predicates("v", values, 2)):
+        parts = [df.filter(c).count() for c in conditions]
+        assert sum(parts) == len(data) and len(parts) <= len(set(values)) + 1
+
+
+def test_bounds_follow_the_sample(spark):
+    skewed = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS v")
+    bounds = sampled_bounds(skewed, "v", 8)
+    sizes = [skewed.filter(c).count() for c in range_predicates("v", bounds)]
+    assert sum(sizes) == 3000 and len(sizes) >= 6 and sorted(sizes)[-2] <= 800
+    assert sampled_bounds(skewed.limit(0), "v", 8) == []
+    words = keys(spark, "v", *[f"k{i:03d}" for i in range(100)], type_="STRING")
+    assert sampled_bounds(words, "v", 4) == ["k025", "k050", "k075"]
+    assert sample_query("t", "id", 2) == "(SELECT id FROM t TABLESAMPLE (2 PERCENT)) AS t"
+
+
+def test_positions_of_every_listing(spark):
+    for check, order in LISTING_ORDER.items():
+        names = [c.lstrip("-") for c in order]
+        data = [(k % 3, 10 - k, k % 2) for k in range(8)] + [(None, 1, None)]
+        df = spark.createDataFrame([(a, b, c) for a, b, c in data], f"{names[0]} INT, x INT, s INT")
+        for subject in (None, "s"):
+            by_subject = {}
+            for r in positioned(df, check, subject).collect():
+                by_subject.setdefault(r["s"] if subject else 0, []).append((r["position"], r[names[0]], r["x"]))
+            for found in by_subject.values():
+                found.sort()
+                assert [p for p, _, _ in found] == list(range(1, len(found) + 1))
+                values = [v for _, v, _ in found]
+                down = order[0].startswith("-")
+                key = (lambda v: (v is None, -(v or 0))) if down else (lambda v: (v is not None, v or 0))
+                assert values == sorted(values, key=key)
+
+
 def test_sinks(spark, tmp_path):
     found = findings(spark.createDataFrame([("D1", 2), ("D1", None)], "d STRING, id INT"), "a_check", "d", "id")
     write_findings(found, str(tmp_path / "f"))

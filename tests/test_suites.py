@@ -107,3 +107,61 @@ def test_bad_suites_are_reported(spark):
     assert (statuses["no_sql"], statuses["no_block"]) == ("error", "error") and statuses["taken_name"] != "error"
     assert spark.table("taken_name").count() == 3
     spark.catalog.dropTempView("taken_name")
+
+
+def test_problems_become_statuses(spark):
+    suite = {"title": "t", "queries": [
+        {"sql_blocks": [{"sql": "SELECT 1 AS one"}]}, step("chain", "SELECT 1", takes=[{"extracted_key": "x", "target_param": "p"}]),
+        step("after", "SELECT 1", takes=[take("chain", "x", "p")]), step("half", " ", "SELECT 2 AS two", ""), None,
+        step("nameless", "SELECT 1", parameters=[{"default": 1}])]}
+    result = run_suite(spark, suite)
+    assert statuses(result) == {"query_1": ("error", 0), "chain": ("error", 0), "after": ("skipped", 0),
+                                "half": ("issues_found", 1), "query_5": ("error", 0), "nameless": ("error", 0)}
+    assert len(result.problems) == 6 and any("without a source" in p for p in result.problems)
+    with pytest.raises(ValueError, match="needs an id"):
+        run_suite(spark, suite, strict=True)
+
+
+def test_null_lists_are_empty(spark):
+    assert run_suite(spark, {"queries": None, "environments": None}).statuses.count() == 0
+    nulls = {"id": "a", "title": None, "sql_blocks": [{"sql": "SELECT 1 AS one", "label": ""}], "takes": None,
+             "parameters": None, "creates_temp_tables": None, "reads_temp_tables": None}
+    assert statuses(run_suite(spark, {"queries": [nulls]})) == {"a": ("issues_found", 1)}
+
+
+def shared_suite():
+    return {"queries": [
+        step("base", "SELECT id, uuid() AS u FROM range(4)", "SELECT u FROM picked", creates_temp_tables=["#picked"]),
+        step("other", "SELECT u FROM picked WHERE u IN (SELECT p FROM p)", takes=[take("base", "u", "p")], reads_temp_tables=["#picked"])]}
+
+
+def test_a_block_with_several_readers_is_computed_once(spark, tmp_path):
+    result = run_suite(spark, shared_suite())
+    assert statuses(result) == {"base": ("issues_found", 4), "other": ("issues_found", 4)}
+    plan = result.steps["other"]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Range (" not in plan
+    lazy = run_suite(spark, shared_suite(), share=False)
+    assert "Range (" in lazy.steps["other"]._jdf.queryExecution().executedPlan().toString()
+    at_path = run_suite(spark, shared_suite(), results_path=str(tmp_path))
+    assert statuses(at_path)["other"] == ("issues_found", 4) and (tmp_path / "_shared" / "picked").exists()
+
+
+def test_sources_are_scanned_once(spark, tmp_path):
+    """A counter in the scan: files of a shared block are read by one job, however many steps read the block."""
+    source = spark.range(50)
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            counter.add(1)
+            yield r
+
+    spark.createDataFrame(source.rdd.mapPartitions(count), "id BIGINT").createOrReplaceTempView("counted_source")
+    suite = {"queries": [
+        step("a", "SELECT id FROM counted_source", "SELECT id FROM wanted WHERE id < 5", creates_temp_tables=["#wanted"]),
+        step("b", "SELECT id FROM wanted WHERE id > 40", reads_temp_tables=["#wanted"]),
+        step("c", "SELECT count(*) AS n FROM wanted", reads_temp_tables=["#wanted"])]}
+    result = run_suite(spark, suite)
+    assert statuses(result) == {"a": ("issues_found", 5), "b": ("issues_found", 9), "c": ("issues_found", 1)}
+    assert counter.value == 50
+    spark.catalog.dropTempView("counted_source")
