@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opscheck.session import checkpoint_folder
+
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -24,15 +24,20 @@ def row_key() -> Column:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's shared checkpoint folder, which outlives lost executors.
 
-    A folder of its own is set only where the session has none, as in tests.
+    A folder of its own is set only in a local session that has none, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -120,7 +120,8 @@ class TokenCodec:
         # fixed value: the pattern of byte-level vocabularies
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.visible = _byte_characters()
-        self.words = _AfterSpace(lambda text: self.of_match(" " + text), _MEMO)
+        self.space = chr(self.visible[0x20])
+        self.words = _AfterSpace(self._after_space, _MEMO)
         self.words.codec = self
         self.matches = _Memo(self.of_match, _MEMO // 8)
         self.mixed = _Memo(lambda text: self.of_stretch(" " + text), _MEMO // 8)
@@ -136,6 +137,13 @@ class TokenCodec:
         shown = match.encode().decode("latin-1").translate(self.visible)
         return self._serialised([t.id for t in self.model.tokenize(shown)])
 
+    def _after_space(self, word: str) -> bytes:
+        """The ids of a word after a space; its ASCII letters stand for themselves."""
+        if not word.isascii():
+            return self.of_match(" " + word)
+        made = array(self.kind, [t.id for t in self.model.tokenize(self.space + word)])
+        return made.tobytes() if sys.byteorder == "little" else self.of_match(" " + word)
+
     def of_stretch(self, text: str) -> bytes:
         return b"".join([self.words[m[1:]] if m[0] == " " and m[1:].isalpha() else self.matches[m] for m in self.pattern.findall(text)])
 

@@ -10,8 +10,8 @@ hash of their ids; every row is scored.
 
 Defined results: NULL and empty texts (and texts without a word) have one empty bag and
 get the softmax of the biases; a row whose id is NULL is scored and never trained on; of repeated
-labels of one id the highest counts, NULL labels are left out; without any usable label
-every score is 0.5; repeated rows are scored alike; further columns are not read.
+labels of one id the highest counts, NULL labels are left out; without a usable toxic label
+nothing is known to be toxic and every score is 0; texts of any length are scored whole; repeated rows are scored alike; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from opscheck.llm.common import map_rows, texts
 
 _WORD = re.compile(r"\w+")
-_MEMO = 400_000
+_MEMO = 150_000
 _BLOCK_WORDS, _BLOCK_TOKENS = 20_000, 250_000
 
 
@@ -144,8 +144,8 @@ def fit(rows: list[tuple[str, int]], p: ToxicityParameters = ToxicityParameters(
             for text, _ in rows]
     labels = np.array([label for (_, label), d in zip(rows, docs, strict=True) if len(d)], dtype=float)
     docs = [d for d in docs if len(d)]
-    if not len(docs):
-        return ToxicityModel(np.zeros(p.buckets), 0.0, p)
+    if not labels.sum():
+        return ToxicityModel(np.zeros(p.buckets), -np.inf, p)
     words = [_WordBlock(block, p) for block in _sliced(list(vocabulary), np.ones(len(vocabulary)), _BLOCK_WORDS)]
     n_words = len(vocabulary)
     del vocabulary
@@ -207,7 +207,7 @@ def score_texts(model: ToxicityModel, values, memo: dict[str, float]) -> np.ndar
             sums = np.add.reduceat(model.logits[buckets], np.concatenate(([0], np.cumsum(sizes)[:-1])))
             memo.update(zip(new, (sums / sizes).tolist(), strict=True))
         best = _bags(np.array([memo[w] for w in words]), p.window).max()
-        out[k] = 1 / (1 + np.exp(-(best + model.bias)))
+        out[k] = 0.0 if model.bias == -np.inf else 1 / (1 + np.exp(-(best + model.bias)))
     return out
 
 

@@ -5,14 +5,15 @@ distance. Centroids are fitted on at most ``max_sample`` vectors, taken in the o
 median gives lists of equal size, a few rounds of k-means with a penalty on large lists refine them. Centroids,
 at most ``max_lists``, are searched through an in-memory graph. Every vector is indexed: it is
 posted to its nearest list, and one near a boundary also to lists up to ``post_ratio`` times as far. A query reads the
-lists up to ``probe_ratio`` times as far as its nearest.
+lists up to ``probe_ratio`` times as far as its nearest. A query that finds fewer than ``k`` vectors there, such as one far
+from all others, reads four times as many lists, without regard to their distance, until it has ``k`` or has read all.
 
 A list is read in blocks of at most about ``block`` vectors by blocks of queries, so a list of any size is spread. Of
 identical vectors only the ``k + 1`` smallest ids can be among anyone's nearest, so more are not posted.
 
 Defined results: vectors that are NULL, empty, zero, or hold a NULL or non-finite component take no part, and neither do
 those whose length is not the most frequent one (of equally frequent ones the longest); ties go to the smaller vec_id; rows with a NULL vec_id
-take no part; repeated vec_ids of one vector count once, a vec_id with several vectors is a candidate with each, and
+take no part; with fewer than ``k`` other vectors all of them are found; repeated vec_ids of one vector count once, a vec_id with several vectors is a candidate with each, and
 counts once per query with its best score; a query of several vectors is answered for all of them together; further
 columns are not read.
 """
@@ -129,7 +130,7 @@ def _posted(rows: DataFrame, graph, longest: float, count: int, ratio: float) ->
                 x = _matrix(part["embedding"])
                 x = np.column_stack((x, np.sqrt(np.maximum(longest ** 2 - (x ** 2).sum(1), 0) * part["lifted"].to_numpy())))
                 found, distance = graph.value.search(x.astype(np.float32), count)
-                near = distance <= ratio ** 2 * distance[:, :1] + 1e-9
+                near = (distance <= ratio ** 2 * distance[:, :1] + 1e-9) if np.isfinite(ratio) else np.isfinite(distance)
                 yield part.drop(columns="lifted").assign(lists=[f[n].tolist() for f, n in zip(found, near, strict=True)])
 
     return rows.mapInPandas(assign, "vec_id bigint, embedding array<double>, lists array<bigint>").select(
@@ -170,8 +171,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: VectorParameters = Vector
     size = F.sqrt(squares)
     scaled = asked.withColumn("probe", F.transform("embedding", lambda x: x / size * F.lit(longest)))
     posts = durable(_posted(rows.withColumn("lifted", F.lit(True)), graph, longest, p.max_posts, p.post_ratio))
+    ratio_free = False
+    found = durable(_answered(posts, scaled, asked, graph, longest, p.max_probes, p.probe_ratio, p))
+    count = min(p.max_probes, lists)
+    while True:
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= p.k).select(F.col("query_id").alias("vec_id"))
+        short = durable(scaled.join(enough, "vec_id", "left_anti"))
+        if (count == lists and ratio_free) or short.isEmpty():
+            break
+        count, ratio_free = min(4 * count, lists), True
+        more = _answered(posts, short, asked, graph, longest, count, float("inf"), p)
+        done = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+        found = durable(done.unionByName(more))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k).select(
+        "query_id", "rank", "vec_id", "score")
+
+
+def _answered(posts: DataFrame, scaled: DataFrame, asked: DataFrame, graph, longest: float, count: int, ratio: float,
+              p: VectorParameters) -> DataFrame:
+    """``query_id``, ``vec_id`` and ``score`` of the vectors found in the ``count`` nearest lists up to ``ratio`` times as far as the first."""
     probes = _posted(scaled.select("vec_id", F.col("probe").alias("embedding"), F.lit(False).alias("lifted")),
-                     graph, longest, p.max_probes, p.probe_ratio).drop("embedding")
+                     graph, longest, count, ratio).drop("embedding")
     probes = durable(probes.join(asked, "vec_id"))
     sizes = (posts.groupBy("list").agg(F.ceil(F.count("*") / p.block).alias("post_blocks"))
              .join(probes.groupBy("list").agg(F.ceil(F.count("*") / p.block).alias("probe_blocks")), "list"))
@@ -208,5 +229,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: VectorParameters = Vector
              .applyInPandas(search, "query_id bigint, vec_id bigint, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k).select(
-        "query_id", "rank", "vec_id", "score")
+    return best.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= p.k).drop("_place")

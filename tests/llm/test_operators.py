@@ -270,3 +270,61 @@ def test_pipeline_keeps_clean_rows(spark, tmp_path):
     assert set(range(20)) <= set(out) and 22 not in out and all(x["exact"] for x in out.values())
     assert len({20, 21, 23, 24} & set(out)) == 1  # all that is left of these is one row without text
     assert re.fullmatch(r"\d+", str(out[0]["n_tokens"]))
+
+
+def jaccard_of_lines(a, b, size=10):
+    def shingles(line):
+        raw = line.encode()
+        return {raw[i:i + size] for i in range(max(len(raw) - size + 1, 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_lines_of_all_lengths_are_linked_alike(spark):
+    """One character, short periods and common texts, from below a shingle to some thousand bytes."""
+    lengths = [8, 10, 11, 60, 70, 127, 128, 129, 175, 176, 177, 200, 230, 600, 5000]
+    lines = [c * n for c in "abcdefghij" for n in lengths] + [("xyz" * n)[:n] for n in lengths] + [("ab" * n)[:n] for n in lengths]
+    r = random.Random(8)
+    for n in (120, 150, 170, 190, 400, 1500):
+        base = "".join(r.choice("abcdefgh ") for _ in range(n))
+        lines += [base, base[:-2] + "Q", base + "R"]
+    rows = list(enumerate(lines))
+    kept = {x.doc_id for x in line_decisions(table(spark, rows)).collect() if not x.n_removed}
+    parent = list(range(len(lines)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if jaccard_of_lines(lines[i], lines[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    firsts = {}
+    for k in range(len(lines)):
+        firsts.setdefault(find(k), k)
+    assert kept == set(firsts.values())
+
+
+def test_line_dedup_keeps_columns_with_its_own_names(spark):
+    rows = [(1, "a b c\nsame line here", 7, "x", "y", b"k", 1), (2, "same line here\nother", 8, None, "z", None, 2), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, removed string, _lines string, _key binary, _kept int")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert dedup_lines(df).columns == df.columns
+    assert (got[2].text, got[2].n_lines, got[2].removed, got[2]._lines, got[2]._kept) == ("other", 8, None, "z", 2)
+    assert got[1]._key == b"k" and got[3].text == ""
+
+
+def test_alignment_of_many_repeats_stays_in_its_band():
+    import time
+
+    begun = time.time()
+    a = np.zeros(100_000, np.uint64)
+    assert aligned_similarity(a, np.concatenate((a, np.ones(3, np.uint64))), 0.8) > 0.99
+    b = np.where(np.arange(100_000) % 1000 == 5, 7, 0).astype(np.uint64)
+    c = np.where(np.arange(100_000) % 1000 == 6, 9, 0).astype(np.uint64)
+    x, y = b[:6000], c[:6000]
+    assert aligned_similarity(x, y, 0.99) == pytest.approx((6000 - 6) / (6000 + 6), abs=1e-9)
+    assert time.time() - begun < 60
