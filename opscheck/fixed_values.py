@@ -21,6 +21,15 @@ ALLOCATIONS_TABLE = "DeliveryAllocations"
 QA_STATUSES_TABLE = "InventoryCasesQAStatuses"
 CASES_TABLE = "InventoryCases"
 
+# Texts of the remediation scripts
+SCRIPT_OPENING = "\nBEGIN TRAN t1\n"
+SCRIPT_CLOSING = ")\n\n-- COMMIT TRAN t1\n-- ROLLBACK TRAN t1"
+SCRIPT_CHANGES = (
+    ("WarehouseLocationId", f"'{ADJUSTMENT_LOCATION}'"),
+    ("ModifiedBy", f"'{REMEDIATION_USER}'"),
+    ("ModifiedDate", "GETDATE()"),
+)
+
 # Holds
 HOLD_STATUS = "HLD"
 
@@ -65,6 +74,14 @@ DEFAULT_PRIORITY = "50"
 DEFAULT_DELIVERY_TIME = "00:00"
 DEFAULT_GEO_CODE = "000"
 
+# Fields of order payloads, in their order
+ORDER_LINE_FIELDS = ("ProductCode", "BaseQty", "Instructions", "MinSellBy")
+ORDER_HEADER_FIELDS = (
+    "ThirdPartyId", "ReferenceOrder", "Priority", "OrderType", "Instructions", "DeliveryDate",
+    "LoadDate", "DeliveryTime", "GeoCode", "WarehouseCode", "ShipTo", "PlantCode", "SenderId",
+    "ReceiverId",
+)
+
 # Site registry defaults
 SITE_DEFAULTS = {
     "name": "Unnamed Plant",

@@ -15,16 +15,15 @@ from opscheck.fixed_values import (
     DEFAULT_PRIORITY,
     FIELD_DELIMITER,
     FILE_NAME_PREFIX,
+    ORDER_HEADER_FIELDS,
+    ORDER_LINE_FIELDS,
 )
 from opscheck.functions.text import clean, delimited
 from opscheck.operators.keyed import complete, probe
 from opscheck.operators.ranking import numbered_within
 from opscheck.operators.vendors import VENDOR_FIELDS, vendor_lookup
 
-LINE_FIELDS = ["ProductCode", "BaseQty", "Instructions", "MinSellBy"]
-HEADER_FIELDS = ["ThirdPartyId", "ReferenceOrder", "Priority", "OrderType", "Instructions", "DeliveryDate",
-                 "LoadDate", "DeliveryTime", "GeoCode", "WarehouseCode", "ShipTo", "PlantCode", "SenderId",
-                 "ReceiverId"]
+LINE_FIELDS, HEADER_FIELDS = list(ORDER_LINE_FIELDS), list(ORDER_HEADER_FIELDS)
 
 
 def line_counts(lines: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from opscheck.fixed_values import (
     CASES_TABLE,
     QA_STATUSES_TABLE,
     REMEDIATION_USER,
+    SCRIPT_CHANGES,
+    SCRIPT_CLOSING,
+    SCRIPT_OPENING,
 )
 from opscheck.operators.batches import id_lists
 from opscheck.operators.keyed import probe
@@ -94,18 +97,16 @@ def render_scripts(plan: DataFrame, plant: Column | str, server: str, batch: int
     COMMIT and ROLLBACK stay commented out, for the operator to choose.
     """
     lists = id_lists(plan, "InventoryId", batch, ",\n    ", by=["step", "action", "target_table"])
-    update = F.concat(
-        F.lit("UPDATE "), "target_table",
-        F.lit(f"\n    SET WarehouseLocationId = '{ADJUSTMENT_LOCATION}',"
-              f"\n        ModifiedBy          = '{REMEDIATION_USER}',"
-              "\n        ModifiedDate        = GETDATE()"))
-    delete = F.concat(F.lit("DELETE FROM "), "target_table")
+    width = max(len(column) for column, _ in SCRIPT_CHANGES)
+    changes = ",\n        ".join(f"{column:<{width}} = {value}" for column, value in SCRIPT_CHANGES)
+    statement = (F.when(F.col("action") == "UPDATE", F.concat(F.lit("UPDATE "), "target_table", F.lit("\n    SET " + changes)))
+                  .otherwise(F.concat(F.lit("DELETE FROM "), "target_table")))
     script = F.concat_ws(
         "\n",
         F.concat(F.lit("-- "), F.lit(plant) if isinstance(plant, str) else plant),
         F.lit(f"-- {server}"),
-        F.lit("\nBEGIN TRAN t1\n"),
-        F.when(F.col("action") == "UPDATE", update).otherwise(delete),
+        F.lit(SCRIPT_OPENING),
+        statement,
         F.concat(F.lit("WHERE InventoryId IN (\n    "), "literals"),
-        F.lit(")\n\n-- COMMIT TRAN t1\n-- ROLLBACK TRAN t1"))
+        F.lit(SCRIPT_CLOSING))
     return lists.select("step", "target_table", "batch", "n_ids", script.alias("script"))

@@ -467,6 +467,7 @@ ORACLES: dict[str, str] = {
         AND WarehouseCode IN (SELECT c.WarehouseCode FROM codes c WHERE c.WarehouseCode IS NOT NULL))""",
     "order_builder_statuses": f"WITH {_ORDERS}, {_BUILDER} SELECT * FROM builder",
     "order_builder_summary": f"WITH {_ORDERS}, {_BUILDER}" + _summary("Order Builder", "builder"),
+    "written_payloads": f"WITH {_ORDERS}" + _PAYLOADS.format(size=10000),
     "order_payload_parts": f"WITH {_ORDERS}" + _PAYLOADS.format(size=3),
     "validate_orders": f"WITH {_ORDERS} SELECT OrderNumber, FileName, reject_reason FROM validated",
     "unknown_warehouse_codes": f"""WITH {_ORDERS} SELECT OrderNumber, WarehouseCode FROM headers
@@ -484,6 +485,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN count(InventoryId) > 0 THEN count(InventoryId) || ' inventory id(s) without an allocation'
                     ELSE 'All inventory is allocated (0)' END AS headline
         FROM customer LEFT JOIN ({_UNALLOCATED}) ON DeliveryNumber = c_custkey GROUP BY c_custkey""",
+    "written_findings": f"WITH {_LOAD} SELECT * FROM found",
     "load_wont_close_findings": f"WITH {_LOAD} SELECT * FROM found",
     "load_wont_close_statuses": f"""WITH {_LOAD}
         SELECT "check", subject, status, n_findings, CASE "check"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from opscheck.operators.vendors import vendor_lookup
 from opscheck.plans import scenarios
 from opscheck.plans.suites import run_suite
 from opscheck.roles import adapt, under_collation
+from opscheck.session import checkpoint_folder
+from opscheck.sources.sinks import write_findings, write_order_payloads
 from opscheck.sources.sites import Site, across_sites
 
 AS_OF = "2024-01-15"
@@ -338,6 +341,13 @@ def _sites(r: Roles) -> DataFrame:
     return r.code_settings().select("site_code").unionByName(adapt(r.table("nation"), site_code="n_name"))
 
 
+def _written(r: Roles, build: Callable[[str], None]) -> DataFrame:
+    """What ``build`` writes to a folder of the shared one, read back."""
+    path = f"{checkpoint_folder(r.spark)}/written-{uuid.uuid4().hex}"
+    build(path)
+    return r.spark.read.parquet(path)
+
+
 def _document_stops(r: Roles):
     return adapt(r.table("documents"), DeliveryNumber="source", ShipmentNumber="doc_id")
 
@@ -438,12 +448,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_roles(
     "order_files": lambda r: scenarios.order_files(
         r.order_headers(), r.order_lines(), r.third_parties(),
         warehouse_codes(r.code_settings(), by=("site_code",))).payloads,
+    "written_payloads": lambda r: _written(r, lambda path: write_order_payloads(payloads.order_payloads(
+        r.order_headers(), r.order_lines(), r.third_parties()), path)),
     "order_builder_statuses": lambda r: _order_builder(r).statuses,
     "order_builder_summary": lambda r: _flat(_order_builder(r).summary),
     # results and scenarios
     "findings": lambda r: results.findings(
         shipping.missing_allocations(r.inventory(), r.allocations()),
         "missing_allocations", "DeliveryNumber", "InventoryId"),
+    "written_findings": lambda r: _written(r, lambda path: write_findings(_load_wont_close(r).findings, path)),
     "check_status": lambda r: results.check_status(
         r.deliveries().select(F.col("DeliveryNumber").alias("subject")),
         results.findings(shipping.missing_allocations(r.inventory(), r.allocations()),
