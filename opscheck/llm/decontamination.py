@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows with slot consistency.
 
 Numbers, names and units become typed placeholders, so a question that was only
-re-parameterised keeps its template. Windows of ``window`` template tokens are hashed
+re-parameterised keeps its template. A run of capitalised words is one name, also where a sentence begins with
+it; number words are numbers, and a run of them is one. Windows of ``window`` template tokens are hashed
 and equi-joined; a benchmark item's windows found at one distance in a text form an
 alignment. An alignment counts if its slots agree: every value of the item stands
 for one value of the text and the other way round. A text is contaminated by an
@@ -38,6 +39,11 @@ UNITS = set("""
     day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees
     kmh mph hz khz mhz ghz kb mb gb tb watt watts volt volts joule joules kelvin celsius fahrenheit
 """.split()) | {"$", "€", "£", "%", "°"}
+# Words read as numbers.
+NUMBER_WORDS = set("""
+    zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
+    eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen
+""".split())
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[$€£%°]|[.!?\n]")
 _END, _NUMBER, _NAME, _UNIT, _WORD = range(5)
 TYPES = {_NUMBER: "number", _NAME: "name", _UNIT: "unit"}
@@ -62,12 +68,14 @@ class _Templates:
     def _code(self, token: str) -> int:
         """Hash of the template token, above four bits: its kind and whether it begins with a capital."""
         lowered = token.lower()
-        kind = (_END if token in ".!?\n" else _NUMBER if token[0].isdigit() else _UNIT if lowered in UNITS else _WORD)
+        kind = (_END if token in ".!?\n" else _NUMBER if token[0].isdigit() or lowered in NUMBER_WORDS
+                else _UNIT if lowered in UNITS else _WORD)
         value = lowered if kind == _WORD else f"<{kind}>"
-        return xxhash.xxh64_intdigest(value) >> 4 << 4 | (kind == _WORD and token[0].isupper()) << 3 | kind
+        return (xxhash.xxh64_intdigest(value) >> 5 << 5 | (lowered in NUMBER_WORDS) << 4
+                | (kind == _WORD and token[0].isupper()) << 3 | kind)
 
     def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens; places of those that are no sentence ends, their template hashes and kinds."""
+        """Values of the template tokens, their places among the tokens, template hashes and kinds."""
         tokens, memo = _TOKEN.findall(text), self.memo
         if len(memo) > _MEMO:
             memo.clear()
@@ -77,11 +85,21 @@ class _Templates:
         codes = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
         kinds = (codes & np.uint64(7)).astype(np.int8)
         initial = np.concatenate(([True], kinds[:-1] == _END))[:len(kinds)]
-        named = (codes & np.uint64(8) != 0) & ~initial
-        hashes = codes >> np.uint64(4)
+        capital = codes & np.uint64(8) != 0
+        named = capital & ~initial
+        named[:-1] |= capital[:-1] & named[1:]  # a sentence that begins with several capitalised words begins with a name
+        hashes = codes >> np.uint64(5)
         kinds[named], hashes[named] = _NAME, _NAME
-        kept = np.flatnonzero(kinds != _END)
-        return tokens, kept, hashes[kept], kinds[kept]
+        worded = codes & np.uint64(16) != 0
+        goes_on = np.zeros(len(kinds), bool)
+        goes_on[1:] = (named[1:] & named[:-1]) | (worded[1:] & worded[:-1])
+        kept = np.flatnonzero((kinds != _END) & ~goes_on)
+        values = tokens
+        if goes_on.any():
+            values = list(tokens)
+            for k in np.flatnonzero(goes_on)[::-1].tolist():
+                values[k - 1] = f"{values[k - 1]} {values[k]}"
+        return values, kept, hashes[kept], kinds[kept]
 
 
 def _window_hashes(hashes: np.ndarray, kinds: np.ndarray, size: int, p: DecontaminationParameters) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,10 @@ thresholds with the highest balanced accuracy there.
 The counts cover every ruled URL and are joined, never sent to the driver: a table of
 n-grams, and one of their contexts. A window that many URLs share is scored once.
 
-Defined results: a NULL url, or one without ``://``, has an empty host and path and no rule, and is judged
+The models read the whole URL: its host in lower case and all that follows, query and fragment included, or all of a URL
+without ``://``.
+
+Defined results: a NULL url, or one without ``://``, has an empty host and path and no rule; a NULL or empty one is judged
 by its end alone; with only one kind of ruled URLs everything else gets that
 verdict, without any it is allowed; repeated rows and repeated page_ids get a row each; URLs of any length
 are judged whole; further columns are not read.
@@ -47,6 +50,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
+def address_of(url: Column) -> Column:
+    """What the models read: the host and everything after it; a text without ``://`` is read as it is."""
+    url = F.coalesce(url, F.lit(""))
+    rest = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*(.*)\z", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), rest)).otherwise(url)
+
+
 def ruled(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, or NULL."""
     out = F.lit(None).cast("string")
@@ -94,8 +104,9 @@ def _ratios(needed: DataFrame, grams: DataFrame, contexts: DataFrame, p: UrlPara
 
 def judged_urls(pages: DataFrame, rules=RULES, p: UrlParameters = UrlParameters()) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``ratio`` (log-likelihood difference per character)."""
-    urls = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).withColumn("address", F.concat("host", "path"))
+    urls = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                        address_of(F.col("url")).alias("address"))
+    urls = urls.withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for pair in rules for x in pair])
     distinct = (urls.groupBy("address", "host", "path", "rule").agg(F.count("*").alias("n"))
                 .withColumn("by_rule", F.when(F.col("rule").isNotNull(), F.element_at(verdicts, F.col("rule"))))
@@ -118,8 +129,8 @@ def judged_urls(pages: DataFrame, rules=RULES, p: UrlParameters = UrlParameters(
         threshold = _threshold(judged.filter("fold = 0"), p)
     by_ratio = F.when(F.col("ratio") >= F.lit(threshold), "allow").otherwise("block")
     verdict = F.coalesce("by_rule", by_ratio).alias("verdict")
-    scored = scored.select("host", "path", verdict, "ratio")
-    return (probe(urls.select("page_id", "host", "path", "rule"), scored, ["host", "path"])
+    scored = scored.select("host", "address", verdict, "ratio")
+    return (probe(urls.select("page_id", "host", "path", "rule", "address"), scored, ["host", "address"])
             .select("page_id", "host", "path", "rule", "verdict", "ratio"))
 
 

@@ -328,3 +328,34 @@ def test_alignment_of_many_repeats_stays_in_its_band():
     x, y = b[:6000], c[:6000]
     assert aligned_similarity(x, y, 0.99) == pytest.approx((6000 - 6) / (6000 + 6), abs=1e-9)
     assert time.time() - begun < 60
+
+
+def test_names_of_several_words_and_number_words(spark):
+    items = spark.createDataFrame([
+        (1, "Mary Ann Smith bought some apples at the market and paid with a note. How many apples did Mary Ann Smith bring back home?", "d", "h", "s"),
+        (2, "A baker sells twelve loaves every morning and three cakes in the afternoon. How many loaves are sold in five days?", None, None, None)],
+        "item_id long, text string, doc_id string, hash string, slots string")
+    docs = table(spark, [
+        (10, "Intro here. Dan Brown bought some apples at the market and paid with a note. How many apples did Dan Brown bring back home? End."),
+        (11, "Well, a baker sells twenty five loaves every morning and 4 cakes in the afternoon. How many loaves are sold in six days?"),
+        (12, "Dan Brown bought some apples at the market and paid with a note. How many apples did Eve Stone bring back home?"),
+        (13, "A market without any of those questions, though Dan Brown and twelve apples are in it. " * 300), (14, None), (15, "")])
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in contaminated(docs, items).collect()}
+    assert {(10, 1, True), (11, 2, True)} <= got and not {d for d, _, _ in got} & {13, 14, 15}
+    whole = {r.doc_id: r.share for r in contaminated(docs, items).collect()}
+    assert whole[10] == 1 and whole.get(12, 0) < 1  # two names for the item's one
+
+
+def test_the_whole_url_is_judged(spark):
+    good, bad = "good stuff reading", "zzqx zzqx casino"
+    rows = [(k, f"http://a{k}.example.net/en/{w}?q={w}") for k, w in enumerate(good.split() * 8)]
+    rows += [(100 + k, f"http://b{k}.shop.net/x?q={w}") for k, w in enumerate(bad.split() * 8)]
+    rows += [(200, "http://c.com/p?q=casino"), (201, "http://c.com/p?q=reading"), (202, "casino zzqx"), (203, "reading good"), (204, None),
+             (205, "http://c.com/" + "reading/" * 1000), (205, "http://c.com/p#zzqx-casino-zzqx")]
+    found = judged_urls(spark.createDataFrame([(*r, "h", "w", "a") for r in rows], "page_id long, url string, host string, window string, address string"))
+    ratios = {}
+    for r in found.collect():
+        ratios.setdefault(r.page_id, []).append(r.ratio)
+    assert found.count() == len(rows)
+    assert ratios[200][0] < ratios[201][0] and ratios[202][0] < ratios[203][0]
+    assert min(ratios[205]) < ratios[201][0] <= max(ratios[205]) + 1
