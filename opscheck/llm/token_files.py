@@ -74,27 +74,27 @@ class _Memo(dict):
 
     def __missing__(self, text: str) -> bytes:
         found = self.older.get(text)
-        if found is None:
-            found = self.make(text)
+        return self.keep(text, self.make(text) if found is None else found)
+
+    def keep(self, text: str, value: bytes) -> bytes:
         if len(text) <= 40:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
-            self[text] = found
-        return found
+            self[text] = value
+        return value
 
 
 class _AfterSpace(_Memo):
-    """The ids of stretches after a space; those that are no word are kept apart, or put together from a word and a mark."""
+    """The ids of stretches after a space; those that are no word are kept apart until they come again."""
 
     codec: TokenCodec
 
     def __missing__(self, text: str) -> bytes:
-        if text.isalpha():  # letters in the sense of the pattern
+        if text.isalpha() or text in self.older:  # letters in the sense of the pattern
             return super().__missing__(text)
-        if text[-1:] in _MARKS and text[:-1].isalpha():
-            return self[text[:-1]] + self.codec.matches[text[-1]]
-        return self.codec.mixed[text]
+        mixed = self.codec.mixed
+        return self.keep(text, mixed[text]) if text in mixed or text in mixed.older else mixed[text]
 
 
 class TokenCodec:
@@ -124,7 +124,7 @@ class TokenCodec:
         self.words = _AfterSpace(self._after_space, _MEMO)
         self.words.codec = self
         self.matches = _Memo(self.of_match, _MEMO // 8)
-        self.mixed = _Memo(lambda text: self.of_stretch(" " + text), _MEMO // 8)
+        self.mixed = _Memo(self._mixed, _MEMO // 8)
 
     def _serialised(self, ids: list[int]) -> bytes:
         made = array(self.kind, ids)
@@ -144,6 +144,12 @@ class TokenCodec:
         made = array(self.kind, [t.id for t in self.model.tokenize(self.space + word)])
         return made.tobytes() if sys.byteorder == "little" else self.of_match(" " + word)
 
+    def _mixed(self, text: str) -> bytes:
+        """The ids of a stretch after a space that is no word, most often a word and a mark."""
+        if text[-1:] in _MARKS and text[:-1].isalpha():
+            return self.words[text[:-1]] + self.matches[text[-1]]
+        return self.of_stretch(" " + text)
+
     def of_stretch(self, text: str) -> bytes:
         return b"".join([self.words[m[1:]] if m[0] == " " and m[1:].isalpha() else self.matches[m] for m in self.pattern.findall(text)])
 
