@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opscheck.operators.ranking import numbered
 from opscheck.roles import SCHEMAS
 from opscheck.sources.sites import Site
 
@@ -74,16 +75,13 @@ def key_predicates(column: str, values: Sequence, n: int) -> list[str]:
 def sampled_bounds(sample: DataFrame, column: str, n: int) -> list:
     """At most ``n`` - 1 distinct values that split a sample into ``n`` parts of about equal size.
 
-    Any ordered type will do: the sample's values are summed up in its own order. ``sample`` is small, such
-    as a percent of the table's pages; only the bounds come to the driver.
+    Any ordered type will do, and a sample of any size: its values are numbered in sorted ranges, and of every
+    ``n``-th of the positions the first value is a bound. Only the bounds come to the driver.
     """
-    counted = sample.select(F.col(column).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct("v", "n")))
-    upto = F.expr("transform(o, (x, i) -> struct(x.v AS v, aggregate(slice(o, 1, i), 0L, (s, y) -> s + y.n) AS before))")
-    placed = counted.agg(ordered.alias("o"), F.sum("n").alias("total")).select("total", F.explode(upto).alias("p"))
-    part = F.floor(F.col("p.before") * n / F.col("total"))
-    cuts = placed.select(part.alias("part"), F.col("p.v").alias("v")).groupBy("part").agg(F.min("v").alias("v"))
-    return sorted(r["v"] for r in cuts.filter("part > 0").collect())
+    values = numbered(sample.select(F.col(column).alias("v")).filter("v IS NOT NULL"), [F.col("v")], "position", spread=True)
+    part = F.floor(F.col("position") * n / F.lit(max(1, values.count()))).alias("part")
+    firsts = values.groupBy(part).agg(F.min("v").alias("v")).filter("part > 0")
+    return sorted({r["v"] for r in firsts.collect()})
 
 
 def sample_query(table: str, column: str, percent: float = 1.0) -> str:
