@@ -116,4 +116,28 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """
 
-ORACLES = {"op12_collocations": COLLOCATIONS, "op13_merkle_manifest": merkle()}
+#: All strings of 50 bytes, the smallest doc_id of each, and the runs of a document's bytes that they cover.
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    starts AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM d),
+    strings AS (SELECT doc_id, p, b[p + 1:p + 50] AS s FROM starts),
+    first AS (SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING max(doc_id) > min(doc_id)),
+    hits AS (SELECT doc_id, p FROM strings JOIN first USING (s) WHERE least < doc_id),
+    breaks AS (
+        SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM hits),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM breaks),
+    runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM numbered GROUP BY doc_id, run),
+    kept AS (
+        SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS e FROM runs
+        UNION ALL
+        SELECT d.doc_id, coalesce(max(runs.e), 0), octet_length(any_value(b)) FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id
+        GROUP BY d.doc_id),
+    texts AS (
+        SELECT doc_id, string_agg(hex(b[a + 1:e]), '' ORDER BY a) AS bytes, sum(e - a) AS n_kept
+        FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, octet_length(b) - n_kept::BIGINT AS n_removed,
+       (SELECT count(*) FROM runs WHERE runs.doc_id = d.doc_id) AS n_spans, lower(sha256(unhex(bytes))) AS kept_sha256
+FROM d JOIN texts USING (doc_id)
+"""
+
+ORACLES = {"op3_exact_repeats": REPEATS, "op12_collocations": COLLOCATIONS, "op13_merkle_manifest": merkle()}
