@@ -16,7 +16,7 @@ Documents are dealt to shards by ranges of doc_id after compression, so only fra
 are those before it in its shard, known when the container is written, plus those of the shards before, a sum over one row per shard.
 
 The dictionary is trained on at most ``sample`` documents of at most ``sample_bytes`` bytes each, chosen by a
-hash of doc_id; a sample too small for training serves as the dictionary itself.
+hash of doc_id and text; a sample too small for training serves as the dictionary itself.
 
 Defined results: NULL and empty texts have the end id only; NULL doc_ids come first; equal doc_ids stand in the order of
 their texts' digests, repeated rows one after another; a text of any length is one frame; an empty
@@ -203,8 +203,8 @@ def trained_dictionary(samples: Sequence[bytes], size: int) -> bytes:
 
 
 def _sampled(docs: DataFrame, p: TokenParameters) -> DataFrame:
-    """At most ``sample`` short documents, by a hash of doc_id."""
-    short = docs.select("text", F.xxhash64("doc_id").alias("hash")).filter(
+    """At most ``sample`` short documents, by a hash of doc_id and text, so that no doc_id of many rows fills the sample."""
+    short = docs.select("text", F.xxhash64("doc_id", "text").alias("hash")).filter(
         F.octet_length("text").between(1, p.sample_bytes))
     every = max(1, docs.count() // (4 * p.sample))  # keeps most texts from being sent on
     return short.filter(F.pmod("hash", F.lit(every)) == 0).orderBy("hash", "text").limit(p.sample).select("text")
