@@ -50,7 +50,7 @@ from opscheck.session import stored
 _MAGIC, _VERSION = b"TOKIDS", 1
 _HEADER = "<6sBBQ32sQ"
 _INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_tokens", "<u8"), ("end", "<u8")])
-_MEMO = 160_000  # words, twice that number at most
+_MEMO = 150_000  # words, twice that number at most
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ class TokenCodec:
     those of words are kept. For any other kind of vocabulary the library encodes whole texts.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, settings: str | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -113,7 +113,7 @@ class TokenCodec:
         self.library = Tokenizer.from_str(content)
         self.model, self.width = self.library.model, 2 if self.library.get_vocab_size() < 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        described = _described(content)
+        described = json.loads(settings or _settings(content))
         split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.apart = described.get("normalizer") is None and all((described.get("pre_tokenizer") or {}).get(k) == v for k, v in split.items())
         self.special = [x["content"] for x in described.get("added_tokens", [])]
@@ -171,16 +171,16 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
 
 
-def _described(content: str) -> dict:
-    """What a tokenizers file says beside its model."""
+def _settings(content: str) -> str:
+    """What a tokenizers file says beside its model, which is most of it and which only the library needs."""
     described = json.loads(content)
     described.pop("model", None)
-    return described
+    return json.dumps(described)
 
 
 @lru_cache(maxsize=1)
-def _codec(content: str) -> TokenCodec:
-    return TokenCodec(content)
+def _codec(content: str, settings: str) -> TokenCodec:
+    return TokenCodec(content, settings)
 
 
 def _dictionary(content: bytes):
@@ -221,13 +221,13 @@ def write_token_files(docs: DataFrame, path: str, p: TokenParameters = TokenPara
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest, bytearray(dictionary), codec.width)], "hash binary, content binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
     width = codec.width
-    model = spark.sparkContext.broadcast((content, dictionary))
+    model = spark.sparkContext.broadcast((content, _settings(content), dictionary))
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        content, dictionary = model.value
-        codec, shared = _codec(content), _dictionary(dictionary)
+        content, settings, dictionary = model.value
+        codec, shared = _codec(content, settings), _dictionary(dictionary)
         pack = zstandard.ZstdCompressor(level=p.level, dict_data=shared, write_content_size=True, write_checksum=True)
         end = p.end_id.to_bytes(codec.width, "little")
         for batch in batches:
