@@ -12,6 +12,11 @@ could still join two classes is verified: the longest common subsequence M of tw
 shingle sequences of lengths A and B, found in a band that no acceptable alignment leaves, must
 give M / (A + B - M) >= ``similarity``. Linked texts form classes (connected components).
 
+What sketches and hubs miss is then found exactly. In one order of all labelled shingles two texts similar enough
+share one of their first A - ceil(``similarity`` A) + 1; pairs of different classes that share as many of
+these as they need are verified too, so no link between two classes is left out. The
+shingles that are frequent in a sample come last in that order; this decides the time only.
+
 Defined results: texts of equal words (NULL, empty and wordless texts among them: no words)
 are one class; a text of fewer words than a shingle is one shingle; texts of any length
 are compared whole; repeated rows are of one class; rows with a NULL doc_id are classed by their text, and a
@@ -29,10 +34,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opscheck.llm.common import durable, map_rows, row_key, texts
+from opscheck.llm.common import durable, few, map_rows, row_key, texts
 from opscheck.llm.components import components
 from opscheck.operators.keyed import probe
 
@@ -49,6 +54,10 @@ class NearDuplicateParameters:
     sketches: int = 16
     orders: int = 2
     group: int = 4
+    sample: int = 64
+    hot_sampled: int = 3  # texts of the sample; a shingle in more comes last in the order
+    most_hot: int = 200_000
+    most_broadcast: int = 200_000  # shingles and texts to compare at the end; more are joined by a shuffle
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -154,18 +163,49 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return matched / (total - matched) if matched >= needed else 0.0
 
 
+def _hot(docs: DataFrame, p: NearDuplicateParameters) -> np.ndarray:
+    """Labelled shingles that are frequent in a sample of the texts, ascending; at most ``most_hot``."""
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
+        for batch in batches:
+            for t in batch["text"]:
+                yield pd.DataFrame({"token": labelled(shingles(known.hashes(_WORD.findall(t.lower())), p.shingle)).view(np.int64)})
+
+    sampled = texts(docs).select("text").filter(F.pmod(F.xxhash64("text"), F.lit(p.sample)) == 0).distinct()
+    found = (sampled.mapInPandas(split, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
+             .filter(F.col("n") > p.hot_sampled).orderBy(F.desc("n"), "token").limit(p.most_hot).select("token").toPandas())
+    return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def needed_prefix(size: int, p: NearDuplicateParameters) -> int:
+    """How many first shingles of a text of ``size`` shingles hold one of every text similar enough."""
+    return size - int(np.ceil(p.similarity * size - 1e-6)) + 1 if size else 0
+
+
+def prefix(kmers: np.ndarray, hot: np.ndarray, p: NearDuplicateParameters) -> list[int]:
+    """The first ``needed_prefix`` labelled k-mers in the common order: those of ``hot`` last, else by value."""
+    ordered = np.sort(kmers)
+    if len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, ordered), len(hot) - 1)] == ordered
+        ordered = np.concatenate((ordered[~late], ordered[late]))
+    return ordered[:needed_prefix(len(kmers), p)].view(np.int64).tolist()
+
+
 def _sketched(docs: DataFrame, p: NearDuplicateParameters) -> DataFrame:
-    """Per row: its key and id, the digest of its words, and its sketch."""
+    """Per row: its key and id, the digest of its words, its sketch, its number of shingles and the first of them."""
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, p))  # under 2 MB
+
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
             words = [_WORD.findall(t.lower()) for t in batch["text"]]
             kmers = [labelled(shingles(known.hashes(w), p.shingle)) for w in words]
             yield batch[["key", "doc_id"]].assign(digest=[xxhash.xxh128_digest(" ".join(w).encode()) for w in words],
-                                                  sketch=[order_min_hash(k, p) for k in kmers])
+                                                  sketch=[order_min_hash(k, p) for k in kmers], size=[len(k) for k in kmers],
+                                                  prefix=[prefix(k, hot.value, p) for k in kmers])
 
     keyed = texts(docs).withColumn("key", row_key())
-    return map_rows(keyed, sketch, "key binary, doc_id bigint, digest binary, sketch array<bigint>")
+    return map_rows(keyed, sketch, "key binary, doc_id bigint, digest binary, sketch array<bigint>, size int, prefix array<bigint>")
 
 
 def _candidates(sketches: DataFrame, p: NearDuplicateParameters) -> DataFrame:
@@ -190,6 +230,29 @@ def _candidates(sketches: DataFrame, p: NearDuplicateParameters) -> DataFrame:
     return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("votes"))
 
 
+def _unmet(rows: DataFrame, classed: DataFrame, p: NearDuplicateParameters) -> DataFrame:
+    """All pairs ``a``, ``b`` of digests of different classes that share as many first shingles as similar texts must."""
+    classed = classed.select("digest", "size", F.xxhash64("root").alias("class"))
+    tokens = probe(rows.select("digest", "prefix"), classed.select("digest", "class"), "digest").select(F.explode("prefix").alias("token"), "class")
+    everyone = Window.partitionBy("token")
+    mixed = tokens.withColumns({"least": F.min("class").over(everyone), "most": F.max("class").over(everyone)})
+    mixed = few(mixed.filter("least <> most").select("token").distinct(), p.most_broadcast)
+    members = rows.select("digest", F.explode("prefix").alias("token")).join(mixed, "token", "left_semi").distinct()
+    members = durable(probe(members, classed, "digest"))
+    # first which classes meet, so that the members of one class are never paired with each other
+    classes = members.select("token", "class").distinct()
+    meet = (classes.withColumnRenamed("class", "class_a").join(classes.withColumnRenamed("class", "class_b"), "token")
+            .filter("class_a < class_b"))
+    first = members.select("token", F.col("class").alias("class_a"), F.col("digest").alias("a"), F.col("size").alias("size_a"))
+    second = members.select("token", F.col("class").alias("class_b"), F.col("digest").alias("b"), F.col("size").alias("size_b"))
+    pairs = meet.join(first, ["token", "class_a"]).join(second, ["token", "class_b"])
+    pairs = pairs.filter(F.least("size_a", "size_b") >= p.similarity * F.greatest("size_a", "size_b") - 1e-6)
+    least = F.ceil(p.similarity * (F.col("size_a") + F.col("size_b")) / (1 + p.similarity) - 1e-6)
+    beyond = F.ceil(p.similarity * F.greatest("size_a", "size_b") - 1e-6) - 1  # at most so many are shared behind the first ones
+    return (pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+            .filter(F.col("n") >= least - beyond).select("a", "b"))
+
+
 def _verified(pairs: DataFrame, contents: DataFrame, p: NearDuplicateParameters) -> DataFrame:
     """The pairs whose texts are similar enough."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,12 +285,12 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParameters = NearDuplicateP
     """A row per row: ``key``, ``doc_id``, ``root`` (the class), ``class_id`` (its smallest doc_id) and ``n_in_class``."""
     rows = durable(_sketched(docs, p))
     distinct = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("key").alias("key"),
-                                                  F.first("sketch").alias("sketch")))
+                                                  F.first("sketch").alias("sketch"), F.first("size").alias("size")))
     candidates = durable(_candidates(distinct, p))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     needed = probe(distinct.select("digest", "key"), ends, "digest", "left_semi")
-    contents = durable(probe(texts(docs).select(row_key().alias("key"), "text"), needed, "key")
-                       .groupBy("digest").agg(F.first("text").alias("text")))
+    keyed = texts(docs).select(row_key().alias("key"), "text")
+    contents = durable(probe(keyed, needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
 
     # each text's best candidate first; later only what could still join two classes
     turned = candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes")
@@ -241,10 +304,22 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParameters = NearDuplicateP
     open_pairs = probe(open_pairs, mine.withColumnsRenamed({"a": "b", "ra": "rb"}), "b", "left")
     open_pairs = open_pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = durable(_verified(open_pairs, contents, p))
-    roots = components(links.unionByName(more))
+    links = links.unionByName(more)
+
+    def classes_of(roots: DataFrame) -> DataFrame:
+        classed = probe(distinct.drop("sketch"), roots.withColumnRenamed("node", "digest"), "digest", "left")
+        return classed.withColumn("root", F.coalesce("root", "digest"))
 
-    classed = probe(distinct.select("digest", "doc_id", "n"), roots.withColumnRenamed("node", "digest"), "digest", "left")
-    classed = classed.withColumn("root", F.coalesce("root", "digest"))
+    roots = components(links)
+    unmet = durable(_unmet(rows, durable(classes_of(roots)), p))
+    if not unmet.isEmpty():
+        ends = unmet.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        needed = few(probe(distinct.select("digest", "key"), ends, "digest", "left_semi"), p.most_broadcast)
+        contents = durable(keyed.join(needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
+        more = durable(_verified(unmet, contents, p))
+        roots = components(links.unionByName(more)) if not more.isEmpty() else roots
+
+    classed = classes_of(roots)
     classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_in_class"))
     classed = probe(classed.select("digest", "root"), classes, "root").select("digest", "root", "class_id", "n_in_class")
     return probe(rows.select("key", "doc_id", "digest"), classed, "digest").drop("digest")

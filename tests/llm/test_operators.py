@@ -14,8 +14,8 @@ import pytest
 from opscheck.llm import secrets as sec
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
-from opscheck.llm.line_dedup import dedup_lines, line_decisions
-from opscheck.llm.near_duplicates import aligned_similarity, near_duplicates
+from opscheck.llm.line_dedup import LineParameters, dedup_lines, line_decisions
+from opscheck.llm.near_duplicates import NearDuplicateParameters, aligned_similarity, near_duplicates, shingles
 from opscheck.llm.pieces import MARK, PieceCodec, PieceParameters, decoded, encoded
 from opscheck.llm.repeats import RepeatParameters, repeated_spans
 from opscheck.llm.toxicity import fit, held_out, score_texts, toxicity_scores
@@ -107,6 +107,35 @@ def test_near_duplicates_form_classes(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_miss_no_link(spark):
+    """One sketch proposes few pairs, and half of the texts share a long passage; the classes are still those of all pairs."""
+    r = random.Random(11)
+    p = NearDuplicateParameters(sketches=1, sample=2)
+    passage, rows = words(r, 40).split(), []
+    for k in range(40):
+        base = [str(r.randrange(500)) for _ in range(60)] + (passage if k % 2 else [])
+        for c in range(4):
+            copy = list(base)
+            copy[r.randrange(len(copy))] = f"changed{k}x{c}"
+            rows.append((10 * k + c, " ".join(copy[c:])))
+    hashed = [shingles(np.array([hash(w) & (2**63 - 1) for w in t.split()], np.uint64), p.shingle) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if aligned_similarity(hashed[i], hashed[j], p.similarity) >= p.similarity - 1e-9:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(table(spark, rows), p).collect()}
+    assert got == {rows[k][0]: rows[find(k)][0] for k in range(len(rows))}
+    assert 40 <= len(set(got.values())) < 150
+
+
 def test_contamination_with_other_numbers_and_names(spark):
     item = "Every morning Alice bakes 12 loaves of bread and sells 5 loaves to Bob, then Alice eats 2 loaves of the rest at home."
     changed = item.replace("Alice", "Carol").replace("12", "40").replace("Bob", "Dan").replace("5", "9")
@@ -308,6 +337,36 @@ def test_lines_of_all_lengths_are_linked_alike(spark):
     assert kept == set(firsts.values())
 
 
+def test_buckets_miss_no_pair_of_lines(spark):
+    """Lines of equal minima fall into one bucket, where most are near copies of neither the hub nor the first of their group."""
+    r = random.Random(3)
+    p = LineParameters(bands=1, rows=1, again=0, similarity=.7, group=1000)
+    start = "aaaaaaaaaabbbbbbbbbbcccccccccc"
+    lines = []
+    for _ in range(60):
+        base = start + "".join(r.choice("defgh ") for _ in range(40)) + "."
+        lines += [base, base[:-4] + "Q..."]
+    sets = [{x.encode()[k:k + 10] for k in range(len(x) - 9)} for x in lines]
+    masks = random.Random(p.seed).getrandbits(63)
+    hashes = [x.s for x in spark.createDataFrame([(k, bytearray(s)) for k, found in enumerate(sets) for s in found], "k int, b binary")
+              .selectExpr("k", f"xxhash64(b) ^ {masks}L AS s").groupBy("k").agg({"s": "min"}).withColumnRenamed("min(s)", "s").orderBy("k").collect()]
+    parent = list(range(len(lines)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if hashes[i] == hashes[j] and len(sets[i] & sets[j]) >= p.similarity * len(sets[i] | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    kept = {x.doc_id for x in line_decisions(table(spark, list(enumerate(lines))), p).collect() if not x.n_removed}
+    assert kept == {find(k) for k in range(len(lines))}
+    assert len(kept) < 110
+
+
 def test_line_dedup_keeps_columns_with_its_own_names(spark):
     rows = [(1, "a b c\nsame line here", 7, "x", "y", b"k", 1), (2, "same line here\nother", 8, None, "z", None, 2), (3, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, removed string, _lines string, _key binary, _kept int")
