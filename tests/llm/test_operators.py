@@ -14,7 +14,7 @@ import pytest
 from opscheck.llm import secrets as sec
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
-from opscheck.llm.line_dedup import LineParameters, dedup_lines, line_decisions
+from opscheck.llm.line_dedup import LineParameters, _instances, _likely, _sketches, dedup_lines, line_decisions
 from opscheck.llm.near_duplicates import NearDuplicateParameters, aligned_similarity, near_duplicates, shingles
 from opscheck.llm.pieces import MARK, PieceCodec, PieceParameters, decoded, encoded
 from opscheck.llm.repeats import RepeatParameters, repeated_spans
@@ -367,6 +367,27 @@ def test_buckets_miss_no_pair_of_lines(spark):
     assert len(kept) < 110
 
 
+def test_sketches_leave_out_only_pairs_that_differ(spark):
+    """Unrelated lines of a bucket are not compared whole, and no pair that is similar enough is left out."""
+    r, p = random.Random(8), LineParameters()
+    lines = []
+    for n in (0, 1, 2, 4, 8, 30, 120, 400) * 2:
+        base = words(r, n) or "short"
+        lines += [base, base + " end", base[len(base) // 8:], base[:len(base) // 2] + words(r, n // 2), base * 3]
+    rows = table(spark, list(enumerate(lines)))
+    found = _instances(rows).groupBy("hash").agg({"line": "min"}).withColumnRenamed("min(line)", "line")
+    sketches = _sketches(found, found.select("hash"), p)
+    pairs = found.select("hash").crossJoin(found.selectExpr("hash AS hub")).filter("hash < hub")
+    text = {x["hash"]: x["line"].encode() for x in found.collect()}
+    sets = {h: {b[k:k + p.shingle] for k in range(max(1, len(b) - p.shingle + 1))} for h, b in text.items()}
+    everyone = {(x["hash"], x["hub"]) for x in pairs.collect()}
+    similar = {(a, b) for a, b in everyone if len(sets[a] & sets[b]) >= p.similarity * len(sets[a] | sets[b])}
+    likely = {(x["hash"], x["hub"]) for x in _likely(pairs, sketches, p).collect()}
+    assert similar and similar <= likely and len(likely) < len(everyone) / 4
+    sizes = {x["hash"]: x["sketch"][0] for x in sketches.collect()}
+    assert all(sizes[h] >= len(s) for h, s in sets.items())
+
+
 def test_line_dedup_keeps_columns_with_its_own_names(spark):
     rows = [(1, "a b c\nsame line here", 7, "x", "y", b"k", 1), (2, "same line here\nother", 8, None, "z", None, 2), (3, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, removed string, _lines string, _key binary, _kept int")
