@@ -39,7 +39,7 @@ from opscheck.session import stored
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = ".,;:!?\n\x0b\x0c\r"  # fixed values: what ends a piece
 _TO_BYTES = bytes.maketrans(_UPPER.encode() + _ENDS.encode(), _LOWER.encode() + b"." * len(_ENDS))
-_CHUNK, _HELD_WORDS, _HELD_CODES = 2_000_000, 300_000, 2_000_000
+_CHUNK, _HELD_WORDS, _HELD_CODES = 2_000_000, 300_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -267,8 +267,8 @@ def _counted(arrays: DataFrame, trie: DoubleArray, vocabulary, p: CollocationPar
                 sizes.append(len(parts))
             yield pd.DataFrame({"lang": firsts, "phrase": phrases, "k": sizes, "a": batch["a"]})
 
-    slots = arrays.sparkSession.sparkContext.defaultParallelism  # else more tasks would each send a vector of more phrases
-    summed = arrays.coalesce(slots).mapInPandas(count, "state bigint, a bigint").groupBy("state").agg(F.sum("a").alias("a"))
+    # a task's arrays can arrive as one batch, so the partitions stay as they were read and do not grow with the input
+    summed = arrays.mapInPandas(count, "state bigint, a bigint").groupBy("state").agg(F.sum("a").alias("a"))
     return summed.filter(F.col("a") >= p.least).mapInPandas(name, "lang string, phrase string, k int, a bigint")
 
 

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from opscheck.llm.collocations import CollocationParameters, DoubleArray, advance, collocations
+from opscheck.llm.collocations import CollocationParameters, DoubleArray, _counted, advance, collocations
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, a int, rank string, code int"
 
@@ -93,3 +93,13 @@ def test_double_array_has_exactly_its_phrases(n_words, n):
         states = advance(trie.base, trie.check, states[:-1], words[d:])
         want = [known.get(tuple(words[i:i + d + 1].tolist()), 0) for i in range(len(words) - d)]
         assert states.tolist() == want
+
+
+def test_counting_keeps_the_partitions_of_the_arrays(spark):
+    """Partitions that grow with the input would reach a worker as one batch each."""
+    arrays = spark.createDataFrame([(np.array([1, 2, 1, 0], "<i4").tobytes(),)] * 60, "ids binary").repartition(9)
+    trie, known = DoubleArray(2), spark.sparkContext.broadcast([("en", ["a", "b"])])
+    trie.add(np.array([1]), np.array([2]))
+    counted = _counted(arrays, trie, known, CollocationParameters(least=20))
+    assert "Coalesce" not in counted._jdf.queryExecution().toString()
+    assert [tuple(x) for x in counted.collect()] == [("en", "a b", 2, 60)]
