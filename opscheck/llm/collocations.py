@@ -233,20 +233,31 @@ def _pairs(arrays: DataFrame, trie: DoubleArray, k: int, p: CollocationParameter
     return stored(counted.filter(F.col("a") >= p.least).select("code"))
 
 
-def _counted(arrays: DataFrame, trie: DoubleArray, vocabulary, p: CollocationParameters) -> DataFrame:
-    """``lang``, ``phrase``, ``k`` and ``a`` of every phrase of the trie, by bincounts of the accepting states."""
-    shared = arrays.sparkSession.sparkContext.broadcast((trie.base, trie.check))  # at most max_nodes, checked
+def _vectors(arrays: DataFrame, shared, p: CollocationParameters) -> DataFrame:
+    """``state`` and ``a``, its number of places, from every task; as many tasks as slots, since each of more would send a vector of its own.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    As rows of an RDD a task's arrays come one after the other, while a batch of ``mapInPandas`` would grow with the input.
+    """
+    def count(rows: Iterator) -> Iterator[tuple[int, int]]:
         base, check = shared.value
         totals = np.zeros(len(check), dtype=np.int64)
-        for ids in _arrays(batches):
+        for row in rows:
+            ids = np.frombuffer(row.ids, dtype="<i4")
             states = ids.astype(np.int64)
             for d in range(1, p.longest):
                 states = advance(base, check, states[:-1], ids[d:])
                 totals += np.bincount(states[states > 0], minlength=len(totals))
-        if len(reached := np.flatnonzero(totals)):
-            yield pd.DataFrame({"state": reached, "a": totals[reached]})
+        reached = np.flatnonzero(totals)
+        return zip(reached.tolist(), totals[reached].tolist(), strict=True)
+
+    spark = arrays.sparkSession
+    sent = arrays.rdd.coalesce(spark.sparkContext.defaultParallelism).mapPartitions(count)
+    return spark.createDataFrame(sent, "state bigint, a bigint", verifySchema=False)
+
+
+def _counted(arrays: DataFrame, trie: DoubleArray, vocabulary, p: CollocationParameters) -> DataFrame:
+    """``lang``, ``phrase``, ``k`` and ``a`` of every phrase of the trie, by bincounts of the accepting states."""
+    shared = arrays.sparkSession.sparkContext.broadcast((trie.base, trie.check))  # at most max_nodes, checked
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         check = shared.value[1]
@@ -267,8 +278,7 @@ def _counted(arrays: DataFrame, trie: DoubleArray, vocabulary, p: CollocationPar
                 sizes.append(len(parts))
             yield pd.DataFrame({"lang": firsts, "phrase": phrases, "k": sizes, "a": batch["a"]})
 
-    # a task's arrays can arrive as one batch, so the partitions stay as they were read and do not grow with the input
-    summed = arrays.mapInPandas(count, "state bigint, a bigint").groupBy("state").agg(F.sum("a").alias("a"))
+    summed = _vectors(arrays, shared, p).groupBy("state").agg(F.sum("a").alias("a"))
     return summed.filter(F.col("a") >= p.least).mapInPandas(name, "lang string, phrase string, k int, a bigint")
 
 

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from opscheck.llm.collocations import CollocationParameters, DoubleArray, _counted, advance, collocations
+from opscheck.llm.collocations import CollocationParameters, DoubleArray, _counted, _vectors, advance, collocations
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, a int, rank string, code int"
 
@@ -103,3 +103,12 @@ def test_counting_keeps_the_partitions_of_the_arrays(spark):
     counted = _counted(arrays, trie, known, CollocationParameters(least=20))
     assert "Coalesce" not in counted._jdf.queryExecution().toString()
     assert [tuple(x) for x in counted.collect()] == [("en", "a b", 2, 60)]
+
+
+def test_vectors_of_counts_do_not_grow_with_the_partitions(spark):
+    arrays = spark.createDataFrame([(np.array([1, 2, 1, 0], "<i4").tobytes(),)] * 60, "ids binary").repartition(30)
+    trie = DoubleArray(2)
+    trie.add(np.array([1]), np.array([2]))
+    sent = _vectors(arrays, spark.sparkContext.broadcast((trie.base, trie.check)), CollocationParameters()).collect()
+    assert len(sent) <= spark.sparkContext.defaultParallelism
+    assert sum(x.a for x in sent) == 60
