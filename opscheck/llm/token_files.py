@@ -50,7 +50,7 @@ from opscheck.session import stored
 _MAGIC, _VERSION = b"TOKIDS", 1
 _HEADER = "<6sBBQ32sQ"
 _INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_tokens", "<u8"), ("end", "<u8")])
-_MEMO = 160_000  # words, twice that number at most
+_MEMO = 200_000  # words, twice that number at most
 
 
 @dataclass(frozen=True)
@@ -91,10 +91,16 @@ class _AfterSpace(_Memo):
     codec: TokenCodec
 
     def __missing__(self, text: str) -> bytes:
-        if text.isalpha() or text in self.older:  # letters in the sense of the pattern
-            return super().__missing__(text)
-        mixed = self.codec.mixed
-        return self.keep(text, mixed[text]) if text in mixed or text in mixed.older else mixed[text]
+        value = self.older.get(text)
+        if value is None:
+            if text.isalpha():  # letters in the sense of the pattern
+                value = self.make(text)
+            else:
+                mixed = self.codec.mixed
+                value = mixed.get(text) or mixed.older.get(text)
+                if value is None:
+                    return mixed.keep(text, mixed.make(text))
+        return self.keep(text, value)
 
 
 class TokenCodec:
@@ -138,14 +144,15 @@ class TokenCodec:
         return self._serialised([t.id for t in self.model.tokenize(shown)])
 
     def _after_space(self, word: str) -> bytes:
-        """The ids of a word after a space; its ASCII letters stand for themselves."""
-        if not word.isascii():
-            return self.of_match(" " + word)
-        made = array(self.kind, [t.id for t in self.model.tokenize(self.space + word)])
-        return made.tobytes() if sys.byteorder == "little" else self.of_match(" " + word)
+        """The ids of a word after a space; ASCII letters stand for themselves."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+        return self._serialised([t.id for t in self.model.tokenize(self.space + shown)])
 
     def _mixed(self, text: str) -> bytes:
-        """The ids of a stretch after a space that is no word, most often a word and a mark."""
+        """The ids of a stretch after a space that is no word, most often a word and marks."""
+        word = text.rstrip(_PLAIN)
+        if word != text and word.isalpha():
+            return self.words[word] + self.matches[text[len(word):]]
         if text[-1:] in _MARKS and text[:-1].isalpha():
             return self.words[text[:-1]] + self.matches[text[-1]]
         return self.of_stretch(" " + text)
@@ -161,6 +168,7 @@ class TokenCodec:
 
 
 _MARKS = frozenset(".,;:!?)\"\n")
+_PLAIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # marks that are one match of the pattern together
 _STRETCHES, _OPEN_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
 
