@@ -34,12 +34,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opscheck.llm.common import durable, few, map_rows, row_key, texts
 from opscheck.llm.components import components
 from opscheck.operators.keyed import probe
+from opscheck.session import stored
 
 _WORD = re.compile(r"\w+")
 _MEMO = 150_000
@@ -65,20 +66,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words:
-    """Hashes of a text's words, kept in a memo."""
+class _Words(dict):
+    """Hashes of words, kept in a memo."""
 
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
     def hashes(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        if len(self) > _MEMO:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -198,11 +196,13 @@ def _sketched(docs: DataFrame, p: NearDuplicateParameters) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
-            words = [_WORD.findall(t.lower()) for t in batch["text"]]
-            kmers = [labelled(shingles(known.hashes(w), p.shingle)) for w in words]
-            yield batch[["key", "doc_id"]].assign(digest=[xxhash.xxh128_digest(" ".join(w).encode()) for w in words],
-                                                  sketch=[order_min_hash(k, p) for k in kmers], size=[len(k) for k in kmers],
-                                                  prefix=[prefix(k, hot.value, p) for k in kmers])
+            for low in range(0, len(batch), 250):  # the words of a whole batch would fill the memory
+                part = batch.iloc[low:low + 250]
+                words = [_WORD.findall(t.lower()) for t in part["text"]]
+                kmers = [labelled(shingles(known.hashes(w), p.shingle)) for w in words]
+                yield part[["key", "doc_id"]].assign(digest=[xxhash.xxh128_digest(" ".join(w).encode()) for w in words],
+                                                     sketch=[order_min_hash(k, p) for k in kmers], size=[len(k) for k in kmers],
+                                                     prefix=[prefix(k, hot.value, p) for k in kmers])
 
     keyed = texts(docs).withColumn("key", row_key())
     return map_rows(keyed, sketch, "key binary, doc_id bigint, digest binary, sketch array<bigint>, size int, prefix array<bigint>")
@@ -230,15 +230,12 @@ def _candidates(sketches: DataFrame, p: NearDuplicateParameters) -> DataFrame:
     return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("votes"))
 
 
-def _unmet(rows: DataFrame, classed: DataFrame, p: NearDuplicateParameters) -> DataFrame:
+def _unmet(classed: DataFrame, p: NearDuplicateParameters) -> DataFrame:
     """All pairs ``a``, ``b`` of digests of different classes that share as many first shingles as similar texts must."""
-    classed = classed.select("digest", "size", F.xxhash64("root").alias("class"))
-    tokens = probe(rows.select("digest", "prefix"), classed.select("digest", "class"), "digest").select(F.explode("prefix").alias("token"), "class")
-    everyone = Window.partitionBy("token")
-    mixed = tokens.withColumns({"least": F.min("class").over(everyone), "most": F.max("class").over(everyone)})
-    mixed = few(mixed.filter("least <> most").select("token").distinct(), p.most_broadcast)
-    members = rows.select("digest", F.explode("prefix").alias("token")).join(mixed, "token", "left_semi").distinct()
-    members = durable(probe(members, classed, "digest"))
+    tokens = classed.select("digest", "size", F.xxhash64("root").alias("class"), F.explode("prefix").alias("token"))  # a text's are distinct
+    mixed = tokens.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    mixed = few(mixed.filter("least <> most").select("token"), p.most_broadcast)
+    members = stored(tokens.join(mixed, "token", "left_semi"))
     # first which classes meet, so that the members of one class are never paired with each other
     classes = members.select("token", "class").distinct()
     meet = (classes.withColumnRenamed("class", "class_a").join(classes.withColumnRenamed("class", "class_b"), "token")
@@ -283,14 +280,14 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def near_duplicates(docs: DataFrame, p: NearDuplicateParameters = NearDuplicateParameters()) -> DataFrame:
     """A row per row: ``key``, ``doc_id``, ``root`` (the class), ``class_id`` (its smallest doc_id) and ``n_in_class``."""
-    rows = durable(_sketched(docs, p))
-    distinct = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("key").alias("key"),
-                                                  F.first("sketch").alias("sketch"), F.first("size").alias("size")))
+    rows = stored(_sketched(docs, p))
+    distinct = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("key").alias("key"),
+                                                 F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     candidates = durable(_candidates(distinct, p))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     needed = probe(distinct.select("digest", "key"), ends, "digest", "left_semi")
     keyed = texts(docs).select(row_key().alias("key"), "text")
-    contents = durable(probe(keyed, needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
+    contents = stored(probe(keyed, needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
 
     # each text's best candidate first; later only what could still join two classes
     turned = candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes")
@@ -306,20 +303,20 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParameters = NearDuplicateP
     more = durable(_verified(open_pairs, contents, p))
     links = links.unionByName(more)
 
-    def classes_of(roots: DataFrame) -> DataFrame:
-        classed = probe(distinct.drop("sketch"), roots.withColumnRenamed("node", "digest"), "digest", "left")
+    def classes_of(roots: DataFrame, *columns: str) -> DataFrame:
+        classed = probe(distinct.select("digest", *columns), roots.withColumnRenamed("node", "digest"), "digest", "left")
         return classed.withColumn("root", F.coalesce("root", "digest"))
 
     roots = components(links)
-    unmet = durable(_unmet(rows, durable(classes_of(roots)), p))
+    unmet = durable(_unmet(stored(classes_of(roots, "size", "prefix")), p))
     if not unmet.isEmpty():
         ends = unmet.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         needed = few(probe(distinct.select("digest", "key"), ends, "digest", "left_semi"), p.most_broadcast)
-        contents = durable(keyed.join(needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
+        contents = stored(keyed.join(needed, "key").groupBy("digest").agg(F.first("text").alias("text")))
         more = durable(_verified(unmet, contents, p))
         roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
-    classed = classes_of(roots)
+    classed = classes_of(roots, "doc_id", "n")
     classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_in_class"))
     classed = probe(classed.select("digest", "root"), classes, "root").select("digest", "root", "class_id", "n_in_class")
     return probe(rows.select("key", "doc_id", "digest"), classed, "digest").drop("digest")
