@@ -29,7 +29,7 @@ from opscheck.llm.common import TOKENIZERS, map_rows, texts
 
 MARK = "▁"
 _OWN_MARK = "\ud800"  # stands for a mark of the text itself; no text holds half a surrogate pair
-_MEMO, _MEMO_WORD = 500_000, 48
+_MEMO, _MEMO_WORD = 300_000, 48  # words of one of the two halves of the memo, characters of such a word
 
 
 @dataclass(frozen=True)
@@ -49,12 +49,13 @@ class PieceCodec:
                                                 or model.is_unused(i))]
         self.scores = {model.id_to_piece(i): (model.get_score(i), i) for i in usual}
         self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(size) if model.is_byte(i)}
-        self.trie: dict[str, tuple] = {}  # by character: the score of the piece that ends there, if any, and the children
-        for piece, (score, _) in sorted(self.scores.items(), key=lambda x: len(x[0])):  # shorter pieces first
+        # by character: the score and id of the piece that ends there (none: a score that never wins) and the children
+        self.trie: dict[str, tuple] = {}
+        for piece, (score, i) in sorted(self.scores.items(), key=lambda x: len(x[0])):  # shorter pieces first
             children = self.trie
             for character in piece[:-1]:
-                children = children.setdefault(character, (None, {}))[1]
-            children[piece[-1]] = (score, children.get(piece[-1], (None, {}))[1])
+                children = children.setdefault(character, (-np.inf, (), {}))[2]
+            children[piece[-1]] = (score, (i,), children.get(piece[-1], (-np.inf, (), {}))[2])
         self.longest = max(map(len, self.scores))
         self.unknown = min(s for s, _ in self.scores.values()) - 10.0
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.scores.items()}
@@ -62,6 +63,7 @@ class PieceCodec:
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
         self.words = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # what the memo was when it was last full; what is used goes over
 
     def _ids(self, piece: str) -> list[int]:
         if piece in self.scores:
@@ -71,7 +73,7 @@ class PieceCodec:
     def viterbi(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in order, a list for each committed stretch."""
         length, longest, unreached, root = len(text), self.longest, -np.inf, self.trie
-        start, nothing = 0, (None, {})  # best and back: of the boundaries from ``start`` on
+        start, nothing = 0, (unreached, (), {})  # best and back: of the boundaries from ``start`` on
         best, back = [0.0] + [unreached] * min(length, 2 * longest), [0] * (min(length, 2 * longest) + 1)
         for begin in range(length):
             at = end = begin - start
@@ -79,8 +81,8 @@ class PieceCodec:
                 best += [unreached] * longest
                 back += [0] * longest
             here = best[at]  # reached: every boundary is, from the one before it at the latest
-            score, children = root.get(text[begin], nothing)
-            if score is None:
+            score, known, children = root.get(text[begin], nothing)
+            if not known:
                 score = self.unknown
             end += 1
             if here + score > best[end]:
@@ -88,9 +90,9 @@ class PieceCodec:
             for character in text[begin + 1:begin + longest]:
                 if (node := children.get(character)) is None:
                     break
-                score, children = node
+                score, known, children = node
                 end += 1
-                if score is not None and here + score > best[end]:
+                if here + score > best[end]:
                     best[end], back[end] = here + score, begin
             if (at + 1) % longest == 0 or begin == length - 1:
                 boundary = length if begin == length - 1 else self._meeting(
@@ -101,6 +103,32 @@ class PieceCodec:
                     best = [x - base for x in best[boundary - start:]]
                     back, start = back[boundary - start:], boundary
 
+    def _whole(self, word: str) -> tuple[int, ...]:
+        """The ids that :meth:`viterbi` finds for a short ``word``, whose boundaries are all held until its end."""
+        root, length = self.trie, len(word)
+        best, back, ids = [0.0] + [-np.inf] * length, [0] * (length + 1), [()] * (length + 1)
+        for begin in range(length):
+            here, end = best[begin], begin + 1
+            node = root.get(word[begin])
+            if node is None or not node[1]:
+                score, known, children = self.unknown, tuple(self._ids(word[begin])), node and node[2]
+            else:
+                score, known, children = node
+            if (total := here + score) > best[end]:
+                best[end], back[end], ids[end] = total, begin, known
+            if children:
+                for character in word[end:]:
+                    if (node := children.get(character)) is None:
+                        break
+                    score, known, children = node
+                    end += 1
+                    if (total := here + score) > best[end]:
+                        best[end], back[end], ids[end] = total, begin, known
+        path, end = ids[length], back[length]
+        while end:
+            path, end = ids[end] + path, back[end]
+        return path
+
     def _meeting(self, back: list[int], start: int, reached: list[int]) -> int:
         """The last boundary that the paths to all ``reached`` ones, which go on from there, run through."""
         open_ends = set(reached)
@@ -122,14 +150,19 @@ class PieceCodec:
             return []
         marked = MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK)
         ids: list[int] = []
+        memo, older = self.memo, self.older
         for word in self.words.findall(marked):
-            known = self.memo.get(word)
+            known = memo.get(word)
             if known is None:
-                known = tuple(i for part in self.viterbi(word) for i in part)
                 if len(word) <= _MEMO_WORD:
-                    if len(self.memo) >= _MEMO:
-                        self.memo.clear()
-                    self.memo[word] = known
+                    known = older.get(word)
+                    if known is None:
+                        known = self._whole(word)
+                    if len(memo) >= _MEMO:
+                        self.older, self.memo = older, memo = memo, {}
+                    memo[word] = known
+                else:
+                    known = [i for part in self.viterbi(word) for i in part]
             ids += known
         return ids
 

@@ -185,6 +185,25 @@ def test_pieces_round_trip_and_best_path(spark):
     assert collections.Counter(map(tuple, decoded(ids).collect())) == collections.Counter((i, t or "") for i, t in rows)
 
 
+def test_pieces_of_short_words_are_found_at_once_and_stay_known(monkeypatch):
+    with open(PieceParameters().model, "rb") as file:
+        codec = PieceCodec(file.read())
+    r = random.Random(6)
+    drawn = ["".join(r.choice(["a", "th", "e", "é", "漢", "ing", "ation", "1", "🙂"]) for _ in range(r.randint(1, 24))) for _ in range(400)]
+    expected = {w: [i for part in codec.viterbi(MARK + w) for i in part] for w in drawn}
+    monkeypatch.setattr("opscheck.llm.pieces._MEMO", 5)
+    monkeypatch.setattr(codec, "viterbi", lambda word: pytest.fail(f"{word} is short"))
+    short = [w for w in drawn if len(w) < 48]
+    assert len(short) > 300 and all(codec.encode(w) == expected[w] for w in short)
+    assert len(codec.memo) <= 5 and len(codec.older) <= 5
+    codec.encode("often")
+    found = []
+    monkeypatch.setattr(codec, "_whole", lambda word: found.append(word) or ())
+    for w in ("one", "two", "three", "four", "often", "five", "six", "seven", "eight", "often"):
+        codec.encode(w)
+    assert f"{MARK}often" not in found and len(found) == 8
+
+
 def test_fuzzy_lines(spark):
     r = random.Random(4)
     lines = [words(r, r.choice([1, 5, 20, 60])) for _ in range(40)]
