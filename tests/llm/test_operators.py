@@ -14,7 +14,7 @@ import pytest
 from opscheck.llm import secrets as sec
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
-from opscheck.llm.line_dedup import LineParameters, _instances, _likely, _sketches, dedup_lines, line_decisions
+from opscheck.llm.line_dedup import LineParameters, _instances, _likely, _sketches, _unmet, dedup_lines, line_decisions
 from opscheck.llm.near_duplicates import NearDuplicateParameters, aligned_similarity, near_duplicates, shingles
 from opscheck.llm.pieces import MARK, PieceCodec, PieceParameters, decoded, encoded
 from opscheck.llm.repeats import RepeatParameters, repeated_spans
@@ -407,6 +407,28 @@ def test_sketches_leave_out_only_pairs_that_differ(spark):
     assert all(sizes[h] >= len(s) for h, s in sets.items())
 
 
+def test_components_of_a_bucket_meet_only_if_they_can_be_similar(spark):
+    """Components in one bucket that share half of their text are not paired; pairs across components that are similar enough all are."""
+    r, p = random.Random(9), LineParameters()
+    shared, lines, classes = words(r, 40), [], []
+    for k in range(12):
+        base = f"{shared} {words(r, 30)}"
+        for cut in range(6):
+            lines.append(base[:len(base) - 9 * cut] + f" {cut}")
+            classes.append(k if cut < 4 else 100 + len(lines))  # the last two were not linked before
+    rows = table(spark, list(enumerate(lines)))
+    found = _instances(rows).groupBy("hash").agg({"line": "min"}).withColumnRenamed("min(line)", "line")
+    at = {x["line"]: x["hash"] for x in found.collect()}
+    text = {h: t.encode() for t, h in at.items()}
+    sets = {h: {b[k:k + p.shingle] for k in range(max(1, len(b) - p.shingle + 1))} for h, b in text.items()}
+    of = {at[t]: k for t, k in zip(lines, classes, strict=True)}
+    met = spark.createDataFrame([(1, h, h, h) for h in of], "band bigint, hash bigint, hub bigint, first bigint")
+    known = spark.createDataFrame([(h, k) for h, k in of.items() if k < 100], "hash bigint, class bigint")
+    unmet = [tuple(sorted(x)) for x in _unmet(met, known, _sketches(found, met, p), p).select("hash", "hub").collect()]
+    similar = {(a, b) for a in of for b in of if a < b and of[a] != of[b] and len(sets[a] & sets[b]) >= p.similarity * len(sets[a] | sets[b])}
+    assert similar and similar <= set(unmet) and len(unmet) == len(set(unmet)) <= 1.2 * len(similar)
+
+
 def test_line_dedup_keeps_columns_with_its_own_names(spark):
     rows = [(1, "a b c\nsame line here", 7, "x", "y", b"k", 1), (2, "same line here\nother", 8, None, "z", None, 2), (3, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, removed string, _lines string, _key binary, _kept int")
