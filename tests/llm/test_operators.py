@@ -14,7 +14,8 @@ import pytest
 from opscheck.llm import secrets as sec
 from opscheck.llm.decontamination import contaminated
 from opscheck.llm.licenses import licensed_files
-from opscheck.llm.line_dedup import LineParameters, _instances, _likely, _sketches, _unmet, dedup_lines, line_decisions
+from opscheck.llm import line_dedup
+from opscheck.llm.line_dedup import LineParameters, _bands, _instances, _likely, _sketches, _unmet, dedup_lines, line_decisions
 from opscheck.llm.near_duplicates import NearDuplicateParameters, aligned_similarity, near_duplicates, shingles
 from opscheck.llm.pieces import MARK, PieceCodec, PieceParameters, decoded, encoded
 from opscheck.llm.repeats import RepeatParameters, repeated_spans
@@ -429,6 +430,50 @@ def test_components_of_a_bucket_meet_only_if_they_can_be_similar(spark):
     assert similar and similar <= set(unmet) and len(unmet) == len(set(unmet)) <= 1.2 * len(similar)
 
 
+def test_signatures_and_sketches_read_all_shingles_of_lines_of_any_length(spark):
+    r, p = random.Random(12), LineParameters(bands=2, rows=1, again=0)
+    lines = ["".join(r.choice("abcé ") for _ in range(n)) or "x" for n in [*range(45), 300]]
+    found = spark.createDataFrame(list(enumerate(lines)), "hash bigint, line string")
+    sets = {k: {x.encode()[i:i + 10] for i in range(max(1, len(x.encode()) - 9))} for k, x in enumerate(lines)}
+    of = spark.createDataFrame([bytearray(s) for s in set().union(*sets.values())], "binary").selectExpr("value", "xxhash64(value) AS s")
+    hashes = {bytes(x.value): x.s for x in of.collect()}
+    seeded = random.Random(p.seed)
+    masks = [seeded.getrandbits(63) for _ in range(2)]
+    least = [(k, *[min(hashes[s] ^ m for s in x) for m in masks]) for k, x in sets.items()]
+    want = spark.createDataFrame(least, "hash bigint, a bigint, b bigint").selectExpr("hash", "explode(array(xxhash64(0, a), xxhash64(1, b))) AS band")
+    assert sorted(_bands(found, p).collect()) == sorted(want.collect())
+    for x in _sketches(found, found.select("hash"), p).collect():
+        text = lines[x.hash].encode()
+        bits = {hashes[s] >> 6 & p.sketch - 1: 0 for s in sets[x.hash]}
+        for s in sets[x.hash]:
+            bits[hashes[s] >> 6 & p.sketch - 1] |= 1 << (hashes[s] & 63)
+        assert x.sketch[0] == max(1, len(text) - 9)
+        assert [w & (1 << 64) - 1 for w in x.sketch[1:]] == [bits.get(j, 0) for j in range(p.sketch)]
+
+
+def test_texts_are_split_once_for_their_lines(spark):
+    plan = _instances(table(spark, [(1, "a\nb")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_pairs_of_lines_are_judged_by_methods_that_java_compiles(spark, monkeypatch):
+    """Conditions on whole sketches make methods above 8000 bytes, which Java only interprets; Spark has to leave them to small ones."""
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", {}
+    for name in ("_likely", "_unmet"):
+        def judged(*args, name=name, judge=getattr(line_dedup, name)):
+            seen[name] = spark.conf.get(limit)
+            return judge(*args)
+
+        monkeypatch.setattr(line_dedup, name, judged)
+    before = spark.conf.get(limit)
+    r = random.Random(3)
+    base = [words(r, 40) for _ in range(6)]
+    rows = [(2 * k + j, x + " end" * j) for k, x in enumerate(base) for j in range(2)]
+    gone = {x.doc_id for x in line_decisions(table(spark, rows)).collect() if x.n_removed}
+    assert gone == {1, 3, 5, 7, 9, 11}
+    assert seen == {"_likely": "8000", "_unmet": "8000"} and spark.conf.get(limit) == before
+
+
 def test_line_dedup_keeps_columns_with_its_own_names(spark):
     rows = [(1, "a b c\nsame line here", 7, "x", "y", b"k", 1), (2, "same line here\nother", 8, None, "z", None, 2), (3, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, removed string, _lines string, _key binary, _kept int")
